@@ -16,9 +16,10 @@ from itertools import chain
 
 from tokenizers import Tokenizer
 
-#: Entries a memo holds before it starts anew, and the longest chunk it keeps.
-MEMO_ENTRIES = 1_000_000
+#: Entries a memo holds before it starts anew, the longest chunk it keeps, and bytes of text cut at once.
+MEMO_ENTRIES = 700_000
 MEMO_CHUNK_BYTES = 96
+SLICE_BYTES = 2 << 20
 
 
 @lru_cache(maxsize=2)
@@ -82,6 +83,14 @@ class Chunks:
         return self.total(self.of([(b" " * (i > 0) + x).decode("utf-8", "replace") for i, x in enumerate(out)]))
 
     def totals(self, texts: list[bytes]) -> Iterator:
+        lo = held = 0
+        for hi, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= SLICE_BYTES or hi == len(texts):
+                yield from self._totals(texts[lo:hi])
+                lo, held = hi, 0
+
+    def _totals(self, texts: list[bytes]) -> Iterator:
         cut = [text.split(b" ") for text in texts]
         heads, tails = set(), set()
         for parts in cut:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 from tokenizers import Tokenizer
 
 #: Entries a memo holds before it starts anew, the longest chunk it keeps, and bytes of text cut at once.
@@ -52,25 +53,29 @@ class Chunks:
     """What ``total`` makes of the values of a text's chunks, for texts as bytes.
 
     ``of`` turns chunk texts into values; ``total`` raises TypeError on None (``sum`` and ``b"".join`` do).
+    A full memo takes nothing more until most chunks of a slice are missing from it; then it starts anew.
     """
 
-    def __init__(self, of, total):
+    def __init__(self, of, total, of_led=None):
         self.of, self.total = of, total
+        #: Values of chunks given without their leading space.
+        self.of_led = of_led or (lambda parts: of([(b" " + x).decode("utf-8", "replace") for x in parts]))
         #: Values by chunk: a text's first one, and the later ones without their leading space.
         self.first: dict[bytes, object] = {}
         self.later: dict[bytes, object] = {}
 
-    def _learn(self, memo: dict, lead: bytes, found: set[bytes]) -> list[bytes]:
-        """Fill the memo for what a batch holds; what is too long to stay there."""
+    def _learn(self, memo: dict, of, found: set[bytes]) -> list[bytes]:
+        """Fill the memo for what a slice holds; what is not to stay there."""
         new = found.difference(memo)
-        if new and len(memo) + len(new) > MEMO_ENTRIES:
+        if len(memo) >= MEMO_ENTRIES and 2 * len(new) > len(found):
             memo.clear()
             new = found
+        room = len(memo) + len(new) <= MEMO_ENTRIES
         ends = {x for x in new if not x or x.endswith(SPACES)}
         memo.update(dict.fromkeys(ends))
         rest = list(new - ends)
-        memo.update(zip(rest, self.of([(lead + x).decode("utf-8", "replace") for x in rest]), strict=True))
-        return [x for x in new if len(x) > MEMO_CHUNK_BYTES]
+        memo.update(zip(rest, of(rest), strict=True))
+        return [x for x in new if len(x) > MEMO_CHUNK_BYTES] if room else list(new)
 
     def _slowly(self, parts: list[bytes]):
         """A text with parts that are empty or end in white space: they stay with the next one."""
@@ -96,13 +101,14 @@ class Chunks:
         for parts in cut:
             heads.add(parts[0])
             tails.update(parts)
-        long = ((self.first, self._learn(self.first, b"", heads)), (self.later, self._learn(self.later, b" ", tails)))
+        alone = lambda parts: self.of([x.decode("utf-8", "replace") for x in parts])
+        passing = ((self.first, self._learn(self.first, alone, heads)), (self.later, self._learn(self.later, self.of_led, tails)))
         for parts in cut:
             try:
                 yield self.total(chain((self.first[parts[0]],), map(self.later.__getitem__, parts[1:])))
             except TypeError:
                 yield self._slowly(parts)
-        for memo, keys in long:
+        for memo, keys in passing:
             for x in keys:
                 memo.pop(x, None)
 
@@ -115,10 +121,23 @@ def packed(ids: list[int], code: str) -> bytes:
     return out.tobytes()
 
 
-def id_bytes(tokenizer: Tokenizer, code: str):
-    """For Chunks: the ids of chunk texts, packed."""
+def id_memo(tokenizer: Tokenizer, code: str) -> Chunks:
+    """Chunks whose values are the library's ids, packed."""
+    led = np.array([t is not None and t.startswith("Ġ") for t in map(tokenizer.id_to_token, range(tokenizer.get_vocab_size()))])
+    dtype = f"<u{array(code).itemsize}"
 
     def of(texts: list[str]) -> list[bytes]:
         return [packed(e.ids, code) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return of
+    def of_led(parts: list[bytes]) -> list[bytes]:
+        """Many chunks as one text: the tokens that start with a space, the only ones, are where chunks start."""
+        if not parts:
+            return []
+        ids = np.array(tokenizer.encode_batch_fast([(b" " + b" ".join(parts)).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype)
+        at = np.flatnonzero(led[ids])
+        if len(at) != len(parts):
+            return of([(b" " + x).decode("utf-8", "replace") for x in parts])
+        raw, cuts = ids.tobytes(), (np.append(at, len(ids)) * ids.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    return Chunks(of, b"".join, of_led)

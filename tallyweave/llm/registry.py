@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import common
 from .decontaminate import contamination
 from .language_id import identify, learn_languages
+from .mixing import Mix
 from .token_counts import token_counts
 from .token_store import token_output
 
@@ -23,6 +24,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0).counts()
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -40,6 +45,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op4_source_mix": op4_source_mix,
     "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_language_id": op10_language_id,

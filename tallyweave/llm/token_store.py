@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .chunks import Chunks, id_bytes, packed, splits_at_spaces, tokenizer_of
+from .chunks import Chunks, id_memo, packed, splits_at_spaces, tokenizer_of
 
 _memos: dict = {}
 
@@ -40,7 +40,7 @@ def _memo(data: bytes, code: str) -> Chunks:
     key = (zlib.crc32(data), code)
     if key not in _memos:
         _memos.clear()
-        _memos[key] = Chunks(id_bytes(tokenizer_of(data), code), b"".join)
+        _memos[key] = id_memo(tokenizer_of(data), code)
     return _memos[key]
 
 
@@ -122,10 +122,10 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, uri: str, *, end_id:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        one, encode = _memo(held.value, code), id_bytes(tokenizer_of(held.value), code)
+        one = _memo(held.value, code)
         ids, doc_ids, offsets, nulls = [], [], [0], 0
         for keys, texts in common.table_rows(batches):
-            for key, found in zip(keys, one.totals(texts) if by_chunks else encode([t.decode("utf-8", "replace") for t in texts]), strict=True):
+            for key, found in zip(keys, one.totals(texts) if by_chunks else one.of([t.decode("utf-8", "replace") for t in texts]), strict=True):
                 ids += (found, end)
                 nulls += key is None
                 doc_ids.append(key or 0)

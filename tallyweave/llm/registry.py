@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .ann import nearest
+from .chat import chat_events
 from .decontaminate import contamination
 from .language_id import identify, learn_languages
 from .mixing import Mix
@@ -41,6 +42,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_events(_table(spark, sf_dir, "conversations"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = common.fold(F.col("doc_id"), 5) == 0
@@ -54,8 +59,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # The tables' conversations hold no tool messages: every row is an event ``message``. Tool events are tested by brute force.
+    "op9_chat_format": """
+        SELECT conv_id, turn, 'message' AS kind, turn AS order_turn, 0::BIGINT AS order_after, (-1)::BIGINT AS order_index,
+               NULL::VARCHAR AS call_id, 'ok' AS status, NULL::BOOLEAN AS valid,
+               json_object('content', text, 'role', role, 'turn', turn)::VARCHAR AS event_json
+        FROM conversations
+    """,
+}

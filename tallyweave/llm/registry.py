@@ -16,6 +16,7 @@ from .language_id import identify, learn_languages
 from .mixing import Mix
 from .token_counts import token_counts
 from .token_store import token_output
+from .toxicity import learn_toxicity, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,13 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = common.fold(F.col("doc_id"), 4) == 2
+    model = learn_toxicity(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity(docs, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0).counts()
 
@@ -55,6 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_toxicity": op2_toxicity,
     "op4_source_mix": op4_source_mix,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_token_counts": op7_token_counts,

@@ -11,8 +11,8 @@ from __future__ import annotations
 import sys
 from array import array
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -52,7 +52,7 @@ SPACES = tuple(chr(c).encode() for c in range(0x3001) if chr(c).isspace())
 class Chunks:
     """What ``total`` makes of the values of a text's chunks, for texts as bytes.
 
-    ``of`` turns chunk texts into values; ``total`` raises TypeError on None (``sum`` and ``b"".join`` do).
+    ``of`` turns chunk texts into values; ``total`` raises TypeError on Ellipsis (``sum`` and ``b"".join`` do).
     A full memo takes nothing more until most chunks of a slice are missing from it; then it starts anew.
     """
 
@@ -60,26 +60,21 @@ class Chunks:
         self.of, self.total = of, total
         #: Values of chunks given without their leading space.
         self.of_led = of_led or (lambda parts: of([(b" " + x).decode("utf-8", "replace") for x in parts]))
-        #: Values by chunk: a text's first one, and the later ones without their leading space.
-        self.first: dict[bytes, object] = {}
-        self.later: dict[bytes, object] = {}
-
-    def _learn(self, memo: dict, of, found: set[bytes]) -> list[bytes]:
-        """Fill the memo for what a slice holds; what is not to stay there."""
-        new = found.difference(memo)
-        if len(memo) >= MEMO_ENTRIES and 2 * len(new) > len(found):
-            memo.clear()
-            new = found
-        room = len(memo) + len(new) <= MEMO_ENTRIES
-        ends = {x for x in new if not x or x.endswith(SPACES)}
-        memo.update(dict.fromkeys(ends))
-        rest = list(new - ends)
-        memo.update(zip(rest, of(rest), strict=True))
-        return [x for x in new if len(x) > MEMO_CHUNK_BYTES] if room else list(new)
+        #: Values by chunk without its leading space; a text's first chunk, which has none, is kept with one.
+        self.memo: dict[bytes, object] = {}
+
+    def _learned(self, new: set[bytes]) -> dict[bytes, object]:
+        """Values of chunks; Ellipsis for those that are empty or end in white space."""
+        found: dict[bytes, object] = dict.fromkeys((x for x in new if not x or x.endswith(SPACES) and x != b" "), ...)
+        rest = [x for x in new if x not in found]
+        led, first = [x for x in rest if x[0] != 32], [x for x in rest if x[0] == 32]
+        found.update(zip(led, self.of_led(led), strict=True))
+        found.update(zip(first, self.of([x[1:].decode("utf-8", "replace") for x in first]), strict=True))
+        return found
 
     def _slowly(self, parts: list[bytes]):
         """A text with parts that are empty or end in white space: they stay with the next one."""
-        out = [parts[0]]
+        out = [parts[0][1:]]
         for part in parts[1:]:
             if not out[-1] or out[-1].endswith(SPACES):
                 out[-1] += b" " + part
@@ -96,21 +91,31 @@ class Chunks:
                 lo, held = hi, 0
 
     def _totals(self, texts: list[bytes]) -> Iterator:
-        cut = [text.split(b" ") for text in texts]
-        heads, tails = set(), set()
-        for parts in cut:
-            heads.add(parts[0])
-            tails.update(parts)
-        alone = lambda parts: self.of([x.decode("utf-8", "replace") for x in parts])
-        passing = ((self.first, self._learn(self.first, alone, heads)), (self.later, self._learn(self.later, self.of_led, tails)))
-        for parts in cut:
+        memo, rows, new, n = self.memo, [], set(), 0
+        for text in texts:
+            parts = text.split(b" ")
+            parts[0] = b" " + parts[0]
+            values = list(map(memo.get, parts))
+            holes, at = [], -1
+            with suppress(ValueError):
+                while True:
+                    at = values.index(None, at + 1)
+                    holes.append(at)
+            new.update(map(parts.__getitem__, holes))
+            n += len(holes)
+            rows.append((parts, values, holes))
+        found = self._learned(new)
+        if len(memo) >= MEMO_ENTRIES and 3 * n > sum(len(x[0]) for x in rows):
+            memo.clear()
+        if len(memo) + len(found) <= MEMO_ENTRIES:
+            memo.update(x for x in found.items() if len(x[0]) <= MEMO_CHUNK_BYTES)
+        for parts, values, holes in rows:
+            for i in holes:
+                values[i] = found[parts[i]]
             try:
-                yield self.total(chain((self.first[parts[0]],), map(self.later.__getitem__, parts[1:])))
+                yield self.total(values)
             except TypeError:
                 yield self._slowly(parts)
-        for memo, keys in passing:
-            for x in keys:
-                memo.pop(x, None)
 
 
 def packed(ids: list[int], code: str) -> bytes:

@@ -13,6 +13,7 @@ from .ann import nearest
 from .chat import chat_events
 from .decontaminate import contamination
 from .language_id import identify, learn_languages
+from .lm_score import lm_scores
 from .mixing import Mix
 from .token_counts import token_counts
 from .token_store import token_output
@@ -34,6 +35,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = common.fold(F.col("doc_id"), 10) == 0
+    scores = lm_scores(_table(spark, sf_dir, "documents"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0).counts()
 
@@ -64,6 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_toxicity": op2_toxicity,
+    "op3_lm_score": op3_lm_score,
     "op4_source_mix": op4_source_mix,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_token_counts": op7_token_counts,

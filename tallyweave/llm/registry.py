@@ -12,6 +12,7 @@ from . import common
 from .ann import nearest
 from .chat import chat_events
 from .decontaminate import contamination
+from .jaccard_join import jaccard_components
 from .language_id import identify, learn_languages
 from .lm_score import lm_scores
 from .mixing import Mix
@@ -45,6 +46,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0).counts()
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_lm_score": op3_lm_score,
     "op4_source_mix": op4_source_mix,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,

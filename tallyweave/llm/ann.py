@@ -8,7 +8,7 @@ stored vector is its norm times the sum of one table entry for each of its codes
 of each query are then scored exactly on the original vectors in double precision.
 
 Queries and index are dealt into blocks of bounded size and every pair of blocks is scored in a task of
-its own; a task returns at most ``shortlist`` rows a query. Equal vectors are indexed once, with their
+its own; a task returns a query's share of ``shortlist`` and six standard deviations of it. Equal vectors are indexed once, with their
 smallest k + 1 ids (no result can hold more of them), so a large group of copies can't fill a shortlist.
 
 Nulls and other cases: vectors that are null, zero, of another length than most of the sample's, or hold
@@ -137,6 +137,9 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, shortlist: int
     if not n_index or not n_queries:
         return empty
     index_blocks, query_blocks = -(-n_index // BLOCK_VECTORS), -(-n_queries // BLOCK_QUERIES)
+    # Vectors are dealt to blocks by a hash, so of a query's best ones a block holds no more than this but in one case in millions.
+    share = shortlist / index_blocks
+    most = min(shortlist, int(share + 6 * share**0.5 + 6))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("ib", every(index_blocks))
     right = index.withColumn("ib", F.pmod(F.xxhash64("first"), F.lit(index_blocks)).cast("int")).withColumn("qb", every(query_blocks))
@@ -147,7 +150,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, shortlist: int
             stored = stored.combine_chunks()
             ids = stored["first"].to_numpy()
             codes = np.frombuffer(b"".join(stored["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            norms, keep = stored["norm"].to_numpy(), min(shortlist, len(ids))
+            norms, keep = stored["norm"].to_numpy(), min(most, len(ids))
             wanted = asked["query_id"].to_numpy()
             matrix = _matrix(asked["qv"].combine_chunks())
             for lo in range(0, len(wanted), 128):

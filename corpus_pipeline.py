@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: stages over ``documents``, each written to the shared folder and read again before the next.
+
+Each stage is ``(name, function)``; a function takes (spark, docs, sf_dir) and returns a DataFrame. All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +10,53 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyweave.llm import common
+from tallyweave.llm.decontaminate import remove_passages
+from tallyweave.llm.jaccard_join import one_of_each
+from tallyweave.llm.mixing import Mix
 from tallyweave.llm.token_store import token_output
+from tallyweave.llm.toxicity import learn_toxicity, with_toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = learn_toxicity(docs, labels, common.fold(F.col("doc_id"), 4) != 2)
+    return with_toxicity(docs, model).where(F.col("_score") < 0.3).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by a Jaccard similarity of 0.9 of their 3-word shingles, one stays."""
+    return one_of_each(docs, width=3, percent=90)
+
+
+def cut_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that share 10 words with a test item are cut out; documents that are mostly such passages go."""
+    out = remove_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, max_coverage=0.5)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them, shuffled within their shards."""
+    return Mix(docs, weights=(5, 2, 1), cap=3.0).shuffled().select(*docs.columns)
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in ascending order of doc_id, and what each document's ids in them are."""
     return token_output(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("token_output", tokens)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", cut_test_items),
+    ("mixing", mix),
+    ("token_output", write_tokens),
+]
 
+#: A conditional random field and a tokenizer are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -66,7 +66,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), common.text_bytes(text_column).alias("text"))
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), common.text_bytes(text_column).alias("text"), F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"))
 
 
 def frequent_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
@@ -88,7 +88,7 @@ def frequent_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def document_sets(texts: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, sign, prefix): size and 128-bit signature of each set and its first tokens in order, packed."""
+    """(doc_id, text_hash, n, sign, prefix): size and 128-bit signature of each set and its first tokens in order, packed."""
     spark = texts.sparkSession
     by_token = np.argsort(frequent, kind="stable")
     held = spark.sparkContext.broadcast((frequent[by_token], by_token))  # FREQUENT tokens at most
@@ -117,9 +117,9 @@ def document_sets(texts: DataFrame, frequent: np.ndarray, width: int, percent: i
                 if (rank(first) >= 0).any():
                     first = s[np.lexsort((s, rank(s)))[:p]]
                 prefix.append(first.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sign, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "sign", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sign, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "text_hash", "n", "sign", "prefix"])
 
-    return texts.mapInArrow(shingle, "doc_id long, n long, sign binary, prefix binary")
+    return texts.mapInArrow(shingle, "doc_id long, text_hash long, n long, sign binary, prefix binary")
 
 
 def needed(a, b, percent: int):
@@ -259,8 +259,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links."""
+def jaccard_classes(docs: DataFrame, *, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per document: doc_id, text_hash, n_shingles, root (null for an empty set), component_id and n_links."""
     spark = docs.sparkSession
     texts = _texts(docs, id_column, text_column)
     frequent = frequent_tokens(texts, width, percent)
@@ -281,7 +281,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, percent: int = 90, id
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
+            at = batch.column(3).to_numpy()
             hit = np.flatnonzero((held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
             found = [shingle_set(t, width) for t in batch.column(1).take(pa.array(hit)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "sign", "set"])
@@ -300,6 +300,27 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, percent: int = 90, id
     named = reps.select("rep", "sign", "first", "copies").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
     named = named.join(links.groupBy(F.col("rep").alias("l")).agg(F.sum("links").alias("links")), F.col("rep") == F.col("l"), "left")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = named.join(smallest, "root").select(F.col("sign").alias("s"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = named.join(smallest, "root").select(F.col("sign").alias("s"), "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = sets.drop("prefix").join(known, F.col("sign") == F.col("s"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sign").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root", F.when(F.col("sign").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links."""
+    return jaccard_classes(docs, **options).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The documents, all columns kept, with one document of each component: that of the smallest id.
+
+    Documents without words belong to no group and all stay.
+    """
+    classes = jaccard_classes(docs, id_column=id_column, text_column=text_column, **options)
+    stay = classes.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
+    own = F.xxhash64(F.col(text_column).cast("string"))
+    wordless = F.col(text_column).isNull() | F.col(text_column).cast("string").rlike(r"\A[ \t-\r]*\z")
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    rows = docs.where(~wordless).select(row.alias("_row"), F.col(id_column).cast("long").alias("_i"), own.alias("_h"))
+    found = rows.join(stay, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    once = F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.xxhash64("_row")))  # rows that repeat one another
+    return found.withColumn("_nth", once).where("_nth = 1").select("_row.*").unionByName(docs.where(wordless))

@@ -8,7 +8,8 @@ any common order of all tokens; the order puts the tokens that occur in many pre
 Index-level skipping: a token's list of prefix entries is kept in blocks of equal set size, each sorted
 by position. A probing set skips a whole block where size and its own position can't reach the needed
 overlap, and takes only the leading part of a block whose positions can. Entries without a partner are
-dropped; the others of a list meet under the list's anchor (its smallest representative).
+dropped; the others of a list meet under the list's anchor (its smallest representative), or under one
+anchor for all lists that share sets where these connect no more than ``GROUP`` sets.
 
 Answer-level skipping: in a group, the overlaps of a set with all others are derived from those of the
 most similar set computed before: only the lists of the tokens in which the two differ are read. A group
@@ -186,6 +187,15 @@ def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(common.shuffle_partitions(spark), "token").mapInArrow(lists, "anchor long, rep long").distinct()
 
 
+def grouped_once(pairs: DataFrame) -> DataFrame:
+    """(anchor, rep) with one group for each set whose lists connect at most ``GROUP`` sets: it is sent once, not once a list."""
+    roots = components(pairs.select(F.col("anchor").alias("a"), F.col("rep").alias("b")))
+    placed = pairs.join(roots, F.col("rep") == F.col("node"), "left").select("anchor", "rep", F.coalesce("root", "rep").alias("root"))
+    sizes = placed.select("root", "rep").distinct().groupBy("root").agg(F.count("*").alias("together"))
+    anchor = F.when(F.col("together") <= GROUP, F.col("root")).otherwise(F.col("anchor"))
+    return common.materialize(placed.join(sizes, "root").select(anchor.alias("anchor"), "rep").distinct(), "groups")
+
+
 def group_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each set's linked sets (itself not among them), its overlaps derived from a similar set's where that reads less."""
     g = len(sets)
@@ -268,7 +278,7 @@ def jaccard_classes(docs: DataFrame, *, width: int = 3, percent: int = 90, id_co
     classes = sets.where(F.col("sign").isNotNull()).groupBy("sign").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     reps = common.materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
-    pairs = common.materialize(candidate_groups(reps, percent), "groups")
+    pairs = grouped_once(common.materialize(candidate_groups(reps, percent), "groups"))
     sizes = pairs.groupBy("anchor").agg(F.count("*").alias("size"))
     wanted = pairs.groupBy("rep").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))  # a representative's lists: no more than its prefix
     wanted = common.materialize(wanted.join(reps.select("rep", "sign", "first", "copies"), "rep"), "wanted")

@@ -17,14 +17,14 @@ from tallyweave.llm.decontaminate import remove_passages
 from tallyweave.llm.jaccard_join import one_of_each
 from tallyweave.llm.mixing import Mix
 from tallyweave.llm.token_store import token_output
-from tallyweave.llm.toxicity import learn_toxicity, with_toxicity
+from tallyweave.llm.toxicity import learn_toxicity, without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = learn_toxicity(docs, labels, common.fold(F.col("doc_id"), 4) != 2)
-    return with_toxicity(docs, model).where(F.col("_score") < 0.3).select(*docs.columns)
+    return without_toxic(docs, model, threshold=0.3)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def cut_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, shuffled within their shards."""
-    return Mix(docs, weights=(5, 2, 1), cap=3.0).shuffled().select(*docs.columns)
+    return Mix(docs, weights=(5, 2, 1), cap=3.0).shuffled()
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,28 @@ def table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
     for batch in batches:
         if batch.num_rows:
             yield [c.to_pylist() for c in batch.columns]
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_rows(df: DataFrame, f, schema) -> DataFrame:
+    """``mapInArrow`` for columns of any names, which ``f`` finds by position."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(f, schema)

@@ -164,13 +164,15 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
-_FOUND = T.StructType([T.StructField("_spans", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_words", T.LongType())])
-_ARROW_FOUND = pa.schema([("_spans", pa.list_(pa.int32())), ("_items", pa.list_(pa.string())), ("_words", pa.int64())])
+def with_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, chunk_words: int = 200_000, text_column: str = "text") -> tuple[DataFrame, list[str]]:
+    """The documents with three columns more, and the names of these, which no other column has.
 
-
-def with_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, chunk_words: int = 200_000, text_column: str = "text") -> DataFrame:
-    """The documents with ``_spans`` (word ranges hit: start, end, start, end, ...), ``_items`` and ``_words``."""
-    spark, out, schema = docs.sparkSession, None, T.StructType([*docs.schema.fields, *_FOUND.fields])
+    They are the word ranges hit (start, end, start, end, ...), the items' ids and the number of words.
+    """
+    spark, out, more = docs.sparkSession, None, common.fresh(docs, "spans", "items", "words")
+    kinds = (T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType()), T.LongType())
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, more, kinds)])
+    arrow = pa.schema(zip(("spans", "items", "words"), (pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64()), strict=True))
     names, at = list(docs.columns), docs.columns.index(text_column)
     for one in automata(benchmark, window, chunk_words):
         if out is not None:
@@ -182,28 +184,28 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, chunk_
                 if not batch.num_rows:
                     continue
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
-                before = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_spans", "_items")), strict=True) if again else repeat(((), ()))
+                before = zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True) if again else repeat(((), ()))
                 rows = []
                 for text, (spans, items) in zip(texts, before):  # noqa: B905  before may be endless
                     words = words_of(text or b"")
                     new, named = held.value.matches(words)
                     if spans:
                         new = _merged(list(zip(spans[::2], spans[1::2], strict=True)), new)
-                    rows.append({"_spans": [x for s in new for x in s], "_items": sorted((named - {None}).union(items)), "_words": len(words)})
-                found = pa.RecordBatch.from_pylist(rows, _ARROW_FOUND)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *found.columns], [*names, *_FOUND.names])
+                    rows.append({"spans": [x for s in new for x in s], "items": sorted((named - {None}).union(items)), "words": len(words)})
+                found = pa.RecordBatch.from_pylist(rows, arrow)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *found.columns], [*names, *more])
 
-        out = (docs if out is None else out).mapInArrow(scan, schema)
-    return out
+        out = common.map_rows(docs if out is None else out, scan, schema)
+    return out, more
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated. One narrow pass; no shuffle."""
     kept = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    hit = F.aggregate(F.sequence(F.lit(0), F.size("_spans") - 1), F.lit(0).cast("long"), lambda n, i: n + F.when(i % 2 == 1, F.col("_spans")[i]).otherwise(-F.col("_spans")[i]))
-    found = with_hits(kept, benchmark, window=window, **options)
-    n_hit = F.when(F.size("_spans") == 0, F.lit(0).cast("long")).otherwise(hit)
-    return found.select("doc_id", F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"))
+    found, _ = with_hits(kept, benchmark, window=window, **options)
+    length = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 1), F.lit(0).cast("long"), lambda n, i: n + F.when(i % 2 == 1, F.col("spans")[i]).otherwise(-F.col("spans")[i]))
+    n_hit = F.when(F.size("spans") == 0, F.lit(0).cast("long")).otherwise(length)
+    return found.select("doc_id", F.col("words").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_coverage: float = 0.5, min_span: int = 1, text_column: str = "text", **options) -> DataFrame:
@@ -212,7 +214,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, *, window: int = 10,
     A document of whose words more than ``max_coverage`` are hit goes whole; from the others every hit
     span of at least ``min_span`` words is cut out of the text. Documents without hits stay as they are.
     """
-    found = with_hits(docs, benchmark, window=window, text_column=text_column, **options)
+    found, _ = with_hits(docs, benchmark, window=window, text_column=text_column, **options)
     names, at = list(docs.columns), docs.columns.index(text_column)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +230,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, *, window: int = 10,
             out[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return found.mapInArrow(cut, docs.schema)
+    return common.map_rows(found, cut, docs.schema)
 
 
 def _without(text: str, span: list[int], min_span: int) -> str:

@@ -168,7 +168,7 @@ def plan_mix(sized: DataFrame, *, weights: Sequence[float], cap: float, blocks:
 def _prepared(docs: DataFrame, id_column: str, source_column: str, text_column: str) -> DataFrame:
     """Each document whole in ``_row``, beside its source and hash."""
     keys = [F.col(id_column), F.col(source_column).cast("string"), F.col(text_column).cast("string")]
-    return docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), keys[1].alias("_source"), F.xxhash64(*keys).alias("_h"))
+    return docs.select(F.struct(*common.columns(docs)).alias("_row"), keys[1].alias("_source"), F.xxhash64(*keys).alias("_h"))
 
 
 def document_sizes(docs: DataFrame, *, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
@@ -207,10 +207,10 @@ class Mix:
         return drawn.select(F.col("_id").alias(self.columns["id_column"]), F.col("_size").alias("size"), F.col("_p_source_size").alias("source_size"), F.col("_p_target").alias("target"), (F.col("_size") * F.size("_draws")).alias("taken"))
 
     def rows(self) -> DataFrame:
-        """The documents, all columns kept, once for each draw, with ``_shard`` and ``_place``."""
+        """``_row`` (a whole document), ``shard`` and ``place``, once for each draw."""
         drawn = _draws(_prepared(self.docs, **self.columns), self.plans, self.blocks, self.seed)
-        return drawn.select("_row", F.explode("_draws").alias("_draw")).select("_row.*", F.col("_draw.shard").alias("_shard"), F.col("_draw.place").alias("_place"))
+        return drawn.select("_row", F.explode("_draws").alias("_draw")).select("_row", "_draw.*")
 
     def shuffled(self) -> DataFrame:
-        """The drawn documents dealt to their shards and shuffled locally; the documents' columns only."""
-        return self.rows().repartition(self.shards, "_shard").sortWithinPartitions("_shard", "_place").drop("_shard", "_place")
+        """The drawn documents, with their own columns, dealt to their shards and shuffled locally."""
+        return self.rows().repartition(self.shards, "shard").sortWithinPartitions("shard", "place").select("_row.*")

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .decontaminate import WORD, WORD_BYTES, words_of
@@ -199,9 +200,12 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, most_to
     return fit([bytes(r.t) for r in rows], np.array([r.y for r in rows], np.int64)) if rows else None
 
 
-def with_toxicity(docs: DataFrame, model: ToxicSpans | None, *, text_column: str = "text") -> DataFrame:
-    """The documents, all columns kept, with ``_score`` and ``_spans`` (start and end of each span, in characters)."""
-    names, at = list(docs.columns), docs.columns.index(text_column)
+def with_toxicity(docs: DataFrame, model: ToxicSpans | None, *, text_column: str = "text") -> tuple[DataFrame, list[str]]:
+    """The documents with two columns more, and the names of these, which no other column has.
+
+    They are the score and the spans (start and end of each, in characters).
+    """
+    names, at, more = list(docs.columns), docs.columns.index(text_column), common.fresh(docs, "score", "spans")
     held = docs.sparkSession.sparkContext.broadcast(model)  # features of the bounded sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +220,10 @@ def with_toxicity(docs: DataFrame, model: ToxicSpans | None, *, text_column: str
                     hi += 1
                 scores[lo:hi], spans[lo:hi] = _tag(held.value, texts[lo:hi], memo)
                 lo = hi
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.list_(pa.int32())))], [*names, "_score", "_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.list_(pa.int32())))], [*names, *more])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{kept}, _score double, _spans array<array<int>>")
+    kinds = (T.DoubleType(), T.ArrayType(T.ArrayType(T.IntegerType())))
+    return common.map_rows(docs, score, T.StructType([*docs.schema.fields, *map(T.StructField, more, kinds)])), more
 
 
 def _tag(model: ToxicSpans, texts: list[bytes], memo: dict[bytes, float]) -> tuple[list[float], list[list[list[int]]]]:
@@ -249,4 +253,11 @@ def _tag(model: ToxicSpans, texts: list[bytes], memo: dict[bytes, float]) -> tup
 def toxicity(docs: DataFrame, model: ToxicSpans | None, *, threshold: float = 0.3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: doc_id, score, predicted (1 if score >= threshold) and spans. One narrow pass."""
     kept = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return with_toxicity(kept, model).select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"), F.col("_spans").alias("spans"))
+    scored, _ = with_toxicity(kept, model)
+    return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+
+
+def without_toxic(docs: DataFrame, model: ToxicSpans | None, *, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
+    """The documents that score less than the threshold, all columns kept."""
+    scored, (score, _) = with_toxicity(docs, model, text_column=text_column)
+    return scored.where(F.col(score) < threshold).select(*common.columns(docs))

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from tallyweave.llm import ann, chat, common, decontaminate, jaccard_join, language_id, lm_score, mixing, token_counts, token_store, toxicity
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_tokens string, score string, block string, h string"
+SCHEMA = "doc_id long, text string, lang string, source string, score string, spans string, `a.b` string, _row string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -214,9 +214,9 @@ def test_mix(docs, empty):
         largest = max(len(WORD.findall(r[1] or "")) for r in made if r[3] == s)
         assert abs(plans[s].gap) <= max(3, 0.02 * sizes[s], largest / 2)
     drawn = mix.rows().collect()
-    assert {r._shard for r in drawn} <= set(range(5))
+    assert {r.shard for r in drawn} <= set(range(5))
     for r in drawn:
-        taken[r.source] += len(WORD.findall(r.text or ""))
+        taken[r._row.source] += len(WORD.findall(r._row.text or ""))
     assert {s: taken[s] for s in order} == {s: round(goals[s] - plans[s].gap) for s in order}
     assert Counter(map(tuple, mixing.Mix(docs, shards=5).counts().collect())) == Counter(map(tuple, found))
     assert mix.shuffled().columns == docs.columns
@@ -334,6 +334,8 @@ def test_toxicity(spark, docs, empty):
     marked = [made[i][1][a:b] for i in range(0, 400, 5) for a, b in found[i].spans]
     assert sum("zz" in m for m in marked) > 0.9 * len(marked) > 100
     assert toxicity.toxicity(empty, model).collect() == []
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.count() == len(rows())
     none = toxicity.learn_toxicity(df, marks.limit(0), F.lit(True))
     assert none is None and {r.score for r in toxicity.toxicity(docs, none).collect()} == {0.0}
 

@@ -8,8 +8,8 @@ any common order of all tokens; the order puts the tokens that occur in many pre
 Index-level skipping: a token's list of prefix entries is kept in blocks of equal set size, each sorted
 by position. A probing set skips a whole block where size and its own position can't reach the needed
 overlap, and takes only the leading part of a block whose positions can. Entries without a partner are
-dropped; the others of a list meet under the list's anchor (its smallest representative), or under one
-anchor for all lists that share sets where these connect no more than ``GROUP`` sets.
+dropped; the others of a list meet under the list's anchor (its smallest representative). What travels
+to a group is the text, which compresses well, and is shingled there; hashes would not compress.
 
 Answer-level skipping: in a group, the overlaps of a set with all others are derived from those of the
 most similar set computed before: only the lists of the tokens in which the two differ are read. A group
@@ -187,15 +187,6 @@ def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(common.shuffle_partitions(spark), "token").mapInArrow(lists, "anchor long, rep long").distinct()
 
 
-def grouped_once(pairs: DataFrame) -> DataFrame:
-    """(anchor, rep) with one group for each set whose lists connect at most ``GROUP`` sets: it is sent once, not once a list."""
-    roots = components(pairs.select(F.col("anchor").alias("a"), F.col("rep").alias("b")))
-    placed = pairs.join(roots, F.col("rep") == F.col("node"), "left").select("anchor", "rep", F.coalesce("root", "rep").alias("root"))
-    sizes = placed.select("root", "rep").distinct().groupBy("root").agg(F.count("*").alias("together"))
-    anchor = F.when(F.col("together") <= GROUP, F.col("root")).otherwise(F.col("anchor"))
-    return common.materialize(placed.join(sizes, "root").select(anchor.alias("anchor"), "rep").distinct(), "groups")
-
-
 def group_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each set's linked sets (itself not among them), its overlaps derived from a similar set's where that reads less."""
     g = len(sets)
@@ -227,13 +218,13 @@ def group_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.
         yield i, np.flatnonzero(linked)
 
 
-def _join_group(table: pa.Table, percent: int) -> pa.Table:
+def _join_group(table: pa.Table, width: int, percent: int) -> pa.Table:
     """Star edges and counts of links of one group, or of one pair of its parts."""
     reps = table["rep"].to_numpy()
     part, cross = table["part"].to_numpy(), table["left"][0].as_py() != table["right"][0].as_py()
     anchor, copies = table["anchor"][0].as_py(), table["copies"].to_numpy()
     anchors = table["anchors"].to_pylist()
-    sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
+    sets = [shingle_set(t, width) for t in table["text"].to_pylist()]
     root = np.arange(len(reps))
     links = np.zeros(len(reps), np.int64)
     several = np.fromiter((len(a) > 1 for a in anchors), bool, len(anchors))
@@ -278,7 +269,7 @@ def jaccard_classes(docs: DataFrame, *, width: int = 3, percent: int = 90, id_co
     classes = sets.where(F.col("sign").isNotNull()).groupBy("sign").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     reps = common.materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
-    pairs = grouped_once(common.materialize(candidate_groups(reps, percent), "groups"))
+    pairs = common.materialize(candidate_groups(reps, percent), "groups")
     sizes = pairs.groupBy("anchor").agg(F.count("*").alias("size"))
     wanted = pairs.groupBy("rep").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))  # a representative's lists: no more than its prefix
     wanted = common.materialize(wanted.join(reps.select("rep", "sign", "first", "copies"), "rep"), "wanted")
@@ -293,17 +284,18 @@ def jaccard_classes(docs: DataFrame, *, width: int = 3, percent: int = 90, id_co
         for batch in batches:
             at = batch.column(3).to_numpy()
             hit = np.flatnonzero((held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            found = [shingle_set(t, width) for t in batch.column(1).take(pa.array(hit)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "sign", "set"])
+            texts = batch.column(1).take(pa.array(hit))
+            signs = [xxhash.xxh3_128_digest(shingle_set(t, width).tobytes()) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array(signs, pa.binary()), texts], ["doc", "sign", "text"])
 
     slots = texts.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
-    full = slots.mapInArrow(again, "doc long, sign binary, set binary")
-    full = full.join(wanted.withColumnRenamed("sign", "s"), (F.col("sign") == F.col("s")) & F.col("doc").eqNullSafe(F.col("first"))).select("rep", "anchors", "copies", "set").dropDuplicates(["rep"])
+    full = slots.mapInArrow(again, "doc long, sign binary, text binary")
+    full = full.join(wanted.withColumnRenamed("sign", "s"), (F.col("sign") == F.col("s")) & F.col("doc").eqNullSafe(F.col("first"))).select("rep", "anchors", "copies", "text").dropDuplicates(["rep"])
 
     parts = F.ceil(F.col("size") / GROUP).cast("int")
     dealt = full.withColumn("anchor", F.explode("anchors")).join(sizes, "anchor").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other"))
-    joined = dealt.select("anchor", "left", "right", "part", "rep", "copies", "anchors", "set").groupBy("anchor", "left", "right").applyInArrow(lambda t: _join_group(t, percent), "rep long, root long, links long")
+    joined = dealt.select("anchor", "left", "right", "part", "rep", "copies", "anchors", "text").groupBy("anchor", "left", "right").applyInArrow(lambda t: _join_group(t, width, percent), "rep long, root long, links long")
     links = common.materialize(joined, "links")
 
     roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -329,7 +321,7 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     stay = classes.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
     own = F.xxhash64(F.col(text_column).cast("string"))
     wordless = F.col(text_column).isNull() | F.col(text_column).cast("string").rlike(r"\A[ \t-\r]*\z")
-    row = F.struct(*(F.col(c) for c in docs.columns))
+    row = F.struct(*common.columns(docs))
     rows = docs.where(~wordless).select(row.alias("_row"), F.col(id_column).cast("long").alias("_i"), own.alias("_h"))
     found = rows.join(stay, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
     once = F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.xxhash64("_row")))  # rows that repeat one another

@@ -89,7 +89,7 @@ class Sketch:
         raise MergeUnsupportedError("this sketch does not merge", name=self.name)
 
     def merge(self, *states: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-        if len({tuple(s.columns) for s in states}) > 1:
+        if len({tuple(sorted(s.columns)) for s in states}) > 1:
             raise MergeTypeError("states of different sketches", name=self.name)
         return self.combine(reduce(DataFrame.unionByName, states), by)
 
@@ -121,3 +121,13 @@ def discover(query_type: str | None = None, *, deterministic_only: bool = False,
     """Registered methods by name that answer a question."""
     found = [k.spec() for _, k in sorted(REGISTRY.items())]
     return [m for m in found if (query_type is None or query_type in m.query_types) and (m.deterministic or not deterministic_only) and tier in (None, m.tier) and keep(m)]
+
+
+def all_names() -> list[str]:
+    return sorted(REGISTRY)
+
+
+def spec_of(name: str) -> MethodSpec:
+    if name not in REGISTRY:
+        raise InvalidSketchParameterError("no such sketch", name=name, known=all_names())
+    return REGISTRY[name].spec()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,24 @@ FLOOR = 1e-12
 COLUMN = {CARDINALITY: "key", QUANTILE: "value", FREQUENCY: "key", HEAVY_HITTERS: "key"}
 
 
+@dataclass(frozen=True)
+class MetricSpec:
+    """A metric's name, unit and direction; ``score`` is higher for better."""
+
+    name: str
+    unit: str = ""
+    lower_is_better: bool = True
+
+    def score(self, value: float) -> float:
+        return -value if self.lower_is_better else value
+
+
+def family_loss(family: str, estimate, truth, q: float = 0.5) -> float:
+    """The loss of a family; for quantiles ``estimate`` is the estimate's rank, for heavy hitters both are sets of keys."""
+    losses = {CARDINALITY: cardinality_loss, FREQUENCY: frequency_loss, HEAVY_HITTERS: heavy_hitter_loss}
+    return quantile_loss(estimate, q) if family == QUANTILE else losses[family](estimate, truth)
+
+
 def cardinality_loss(estimate: float, truth: float) -> float:
     return abs(estimate - truth) / truth if truth > 0 else 0.0
 

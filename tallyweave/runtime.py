@@ -9,6 +9,9 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from .errors import BackendMissingError, InvalidBackendModeError
 
 
 def now_sec() -> float:
@@ -38,3 +41,21 @@ def env_probe(spark: SparkSession | None = None) -> dict[str, str]:
     if spark is not None:
         found |= {"master": spark.sparkContext.master, "parallelism": str(spark.sparkContext.defaultParallelism)}
     return found
+
+
+#: Functions that the built-in sketches need.
+BUILT_INS = ("hll_sketch_agg", "theta_sketch_agg", "kll_sketch_agg_double", "approx_top_k")
+
+
+def backend_available() -> bool:
+    """Whether this Spark has the built-in sketches."""
+    return all(hasattr(F, name) or name == "approx_top_k" for name in BUILT_INS)
+
+
+def require_backend(mode: str = "auto") -> str:
+    """The tier that a mode stands for: 0 for built-in sketches, 1 for this library's."""
+    if mode not in {"auto", "tier0", "tier1"}:
+        raise InvalidBackendModeError("backend is auto, tier0 or tier1", backend=mode)
+    if mode == "tier0" and not backend_available():
+        raise BackendMissingError("this Spark lacks built-in sketches", needed=BUILT_INS)
+    return "tier1" if mode == "tier1" or not backend_available() else "tier0"

@@ -21,7 +21,7 @@ from ..sources.stream import Stream
 
 
 class RunningSketch:
-    """A mergeable sketch's state under ``path``, one version a micro-batch; the two newest are kept."""
+    """A mergeable sketch's state under ``path``, one version for each micro-batch."""
 
     def __init__(self, sketch: Sketch, path: str, by: tuple[str, ...] = ()):
         self.sketch, self.path, self.by = sketch, path.rstrip("/"), by
@@ -39,8 +39,10 @@ class RunningSketch:
         state.write.mode("overwrite").parquet(self._version(number))
         self.newest = number
 
-    def estimate(self, spark: SparkSession, query: Query) -> DataFrame:
-        return self.sketch.estimate(spark.read.parquet(self._version(self.newest or 0)), query, self.by)
+    def estimate(self, spark: SparkSession, query: Query, batch: int | None = None) -> DataFrame:
+        """The answer after the newest batch of this run, or after a given one."""
+        at = self.newest or 0 if batch is None else batch
+        return self.sketch.estimate(spark.read.parquet(self._version(at)), query, self.by)
 
 
 def windowed_distinct(events: DataFrame, time: str, key: str, window: str, late: str, *by: str) -> DataFrame:

@@ -17,7 +17,7 @@ from tallyweave.plans.allocate import Context, FixedSplit, FrozenOptimum, GridSe
 from tallyweave.plans.budget import BudgetPlan, fit_parameter, largest_remainder
 from tallyweave.plans.experiment import gate, run_experiment
 from tallyweave.plans.laws import ErrorLaw, crosscheck, fit_error_law, fit_error_laws
-from tallyweave.runtime import PeakTracker, env_probe
+from tallyweave.runtime import PeakTracker, backend_available, env_probe, require_backend
 from tallyweave.sources.generate import StreamSpec, generate
 from tallyweave.sources.stream import Stream
 
@@ -104,6 +104,8 @@ def test_losses(spark):
     assert score.one_minus_f1(keys(1, 2), keys(2, 3)).first().value == 0.5 and score.one_minus_f1(keys(), keys()).first().value == 0
     assert score.gate_score({CARDINALITY: 0.05, QUANTILE: 0.02}) == pytest.approx(1)
     assert score.geometric_mean({"a": 2.0, "b": 8.0}, {"a": 3, "b": 1}) == pytest.approx(2 ** (6 / 4))
+    assert score.MetricSpec("x").score(2) == -2 and score.MetricSpec("x", lower_is_better=False).score(2) == 2
+    assert score.family_loss(QUANTILE, 0.4, None) == pytest.approx(0.1) and score.family_loss(HEAVY_HITTERS, {1}, {1}) == 0
     with pytest.raises(errors.MetricOutOfBoundsError):
         score.normalised({CARDINALITY: -1})
 
@@ -168,6 +170,9 @@ def test_command_line(spark, capsys, tmp_path):
     assert main(["bench", "--datasets", "uniform", "--n", "600", "--domain", "900", "--out", str(tmp_path / "g.json")]) == 0
     assert capsys.readouterr().out.split()[0] in {"PASS", "FAIL"} and (tmp_path / "g.json").exists()
     assert env_probe(spark)["parallelism"]
+    assert backend_available() and require_backend() == "tier0" and require_backend("tier1") == "tier1"
+    with pytest.raises(errors.InvalidBackendModeError):
+        require_backend("x")
     with PeakTracker() as t:
         pass
     assert t.peak >= 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyweave import errors
 from tallyweave.functions.hashing import derive, hash_array_u64
 from tallyweave.operators import all_sketches, exact, folds
-from tallyweave.operators.base import CARDINALITY, FREQUENCY, HEAVY_HITTERS, QUANTILE, Query, discover
+from tallyweave.operators.base import CARDINALITY, FREQUENCY, HEAVY_HITTERS, QUANTILE, Query, all_names, discover, spec_of
 from tallyweave.operators.bottom_k import BottomK, shared_seed
 from tallyweave.operators.cardinality import ExactTruncate, HyperLogLog, KMinimumValues, LinearCounting
 from tallyweave.operators.codec import check_size, pack, pack_rows, unpack
@@ -223,7 +223,9 @@ def test_empty_streams(spark):
 
 
 def test_registry_and_guards(stream):
-    assert len(all_sketches()) == 23
+    assert len(all_sketches()) == 23 == len(all_names()) and spec_of("count_min").mergeable
+    with pytest.raises(errors.InvalidSketchParameterError):
+        spec_of("none")
     assert {m.name for m in discover(CARDINALITY, tier=1)} == {"hyper_log_log", "k_minimum_values", "linear_counting", "exact_truncate", "bottom_k"}
     assert all(m.deterministic for m in discover(QUANTILE, deterministic_only=True))
     with pytest.raises(errors.EstimateUnavailableError):

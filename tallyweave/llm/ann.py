@@ -43,7 +43,7 @@ class AdditiveQuantiser:
         self.codebooks, self.beam = codebooks.astype(np.float32), beam
 
     @classmethod
-    def fit(cls, sample: np.ndarray, books: int = 12, words: int = 256, beam: int = 4, rounds: int = 8, seed: int = 5) -> AdditiveQuantiser:
+    def fit(cls, sample: np.ndarray, books: int = 32, words: int = 256, beam: int = 4, rounds: int = 6, seed: int = 5) -> AdditiveQuantiser:
         rng = np.random.default_rng(seed)
         rest = _directions(sample)
         words = max(1, min(words, len(rest)))
@@ -106,7 +106,7 @@ def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, shortlist: int = 200, books: int = 12, beam: int = 4, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, shortlist: int = 200, books: int = 32, beam: int = 4, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's ``k`` vectors of largest inner product found."""
     spark = vectors.sparkSession
     usable = vectors.where(_usable(F.col(vector_column)) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<float>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))

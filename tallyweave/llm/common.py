@@ -108,3 +108,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def map_rows(df: DataFrame, f, schema) -> DataFrame:
     """``mapInArrow`` for columns of any names, which ``f`` finds by position."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(f, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most_bytes``, so that what a worker unpacks at once is bounded."""
+    for batch in batches:
+        if batch.num_rows:
+            rows = max(1, batch.num_rows * most_bytes // max(batch.nbytes, 1))
+            yield from (batch.slice(lo, rows) for lo in range(0, batch.num_rows, rows))

@@ -164,77 +164,80 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, chunk_words: int = 200_000, text_column: str = "text") -> tuple[DataFrame, list[str]]:
-    """The documents with three columns more, and the names of these, which no other column has.
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, chunk_words: int, text_column: str, finish, schema: T.StructType) -> DataFrame:
+    """What ``finish(batch, texts, rows)`` makes of the documents; a row is (spans, items, number of words).
 
-    They are the word ranges hit (start, end, start, end, ...), the items' ids and the number of words.
+    spans are the word ranges hit: start, end, start, end, ... All automata but the last add to two columns that
+    travel with the documents; the last one's pass finishes.
     """
-    spark, out, more = docs.sparkSession, None, common.fresh(docs, "spans", "items", "words")
-    kinds = (T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType()), T.LongType())
-    schema = T.StructType([*docs.schema.fields, *map(T.StructField, more, kinds)])
-    arrow = pa.schema(zip(("spans", "items", "words"), (pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64()), strict=True))
-    names, at = list(docs.columns), docs.columns.index(text_column)
-    for one in automata(benchmark, window, chunk_words):
-        if out is not None:
-            out = common.materialize(out, "decontaminate")
+    spark, out, at, width = docs.sparkSession, docs, docs.columns.index(text_column), len(docs.columns)
+    spans_name, items_name = common.fresh(docs, "spans", "items")
+    carried = T.StructType([*docs.schema.fields, T.StructField(spans_name, T.ArrayType(T.IntegerType())), T.StructField(items_name, T.ArrayType(T.StringType()))])
+    several = automata(benchmark, window, chunk_words)
+    one, first = next(several), True
+    while one is not None:
+        following = next(several, None)
         held = spark.sparkContext.broadcast(one)  # at most chunk_words words
 
-        def scan(batches: Iterator[pa.RecordBatch], again=out is not None, held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                texts = batch.column(at).cast(pa.binary()).to_pylist()
-                before = zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True) if again else repeat(((), ()))
+        def scan(batches: Iterator[pa.RecordBatch], first=first, last=following is None, held=held) -> Iterator[pa.RecordBatch]:
+            for batch in common.slices(batches):
+                texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+                before = repeat(((), ())) if first else zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)
                 rows = []
                 for text, (spans, items) in zip(texts, before):  # noqa: B905  before may be endless
-                    words = words_of(text or b"")
+                    words = words_of(text)
                     new, named = held.value.matches(words)
                     if spans:
                         new = _merged(list(zip(spans[::2], spans[1::2], strict=True)), new)
-                    rows.append({"spans": [x for s in new for x in s], "items": sorted((named - {None}).union(items)), "words": len(words)})
-                found = pa.RecordBatch.from_pylist(rows, arrow)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *found.columns], [*names, *more])
-
-        out = common.map_rows(docs if out is None else out, scan, schema)
-    return out, more
+                    rows.append(([x for s in new for x in s], sorted((named - {None}).union(items)), len(words)))
+                own = pa.RecordBatch.from_arrays(batch.columns[:width], [f"c{i}" for i in range(width)])
+                if last:
+                    yield finish(own, texts, rows)
+                else:
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.string()))], carried.names)
+
+        out = common.map_rows(out, scan, schema if following is None else carried)
+        if following is not None:
+            out = common.materialize(out, "decontaminate")
+        one, first = following, False
+    return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, chunk_words: int = 200_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated. One narrow pass; no shuffle."""
-    kept = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    found, _ = with_hits(kept, benchmark, window=window, **options)
-    length = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 1), F.lit(0).cast("long"), lambda n, i: n + F.when(i % 2 == 1, F.col("spans")[i]).otherwise(-F.col("spans")[i]))
-    n_hit = F.when(F.size("spans") == 0, F.lit(0).cast("long")).otherwise(length)
-    return found.select("doc_id", F.col("words").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    kept = docs.select(common.column(id_column).alias("doc_id"), common.column(text_column).cast("string").alias("text"))
+    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType())
+
+    def finish(batch: pa.RecordBatch, texts: list[bytes], rows: list[tuple]) -> pa.RecordBatch:
+        found = [(n, sum(s[1::2]) - sum(s[::2]), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), bool(s)) for s, items, n in rows]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))], ["doc_id", *names])
+
+    return _scanned(kept, benchmark, window, chunk_words, "text", finish, T.StructType([kept.schema[0], *map(T.StructField, names, kinds)]))
 
 
-def remove_passages(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_coverage: float = 0.5, min_span: int = 1, text_column: str = "text", **options) -> DataFrame:
+def remove_passages(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_coverage: float = 0.5, min_span: int = 1, chunk_words: int = 200_000, text_column: str = "text") -> DataFrame:
     """The documents without the test passages in them, all columns kept.
 
     A document of whose words more than ``max_coverage`` are hit goes whole; from the others every hit
     span of at least ``min_span`` words is cut out of the text. Documents without hits stay as they are.
     """
-    found, _ = with_hits(docs, benchmark, window=window, text_column=text_column, **options)
     names, at = list(docs.columns), docs.columns.index(text_column)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans, n_words = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 2).to_pylist()
-            keep, new = [], []
-            for i, (text, span, n) in enumerate(zip(texts, spans, n_words, strict=True)):
-                if span and sum(span[1::2]) - sum(span[::2]) > max_coverage * n:
-                    continue
-                keep.append(i)
-                new.append(_without(text, span, min_span) if span else text)
-            out = batch.take(pa.array(keep, pa.int64())).columns[: len(names)]
-            out[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(out, names)
+    def finish(batch: pa.RecordBatch, texts: list[bytes], rows: list[tuple]) -> pa.RecordBatch:
+        covered = [(sum(s[1::2]) - sum(s[::2])) > max_coverage * n for s, _, n in rows]
+        keep = [i for i, (row, gone) in enumerate(zip(rows, covered, strict=True)) if not (row[0] and gone)]
+        out = list(batch.columns)
+        if any(rows[i][0] for i in keep):
+            own = out[at].to_pylist()
+            out[at] = pa.array([_without(texts[i], r[0], min_span) if r[0] else own[i] for i, r in enumerate(rows)], pa.string())
+        return pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in out] if len(keep) < len(rows) else out, names)
 
-    return common.map_rows(found, cut, docs.schema)
+    return _scanned(docs, benchmark, window, chunk_words, text_column, finish, docs.schema)
 
 
-def _without(text: str, span: list[int], min_span: int) -> str:
-    data = text.encode()
+def _without(data: bytes, span: list[int], min_span: int) -> str:
     at = [m.span() for m in WORD.finditer(data.translate(WORD_BYTES))]
     out, last = [], 0
     for a, b in zip(span[::2], span[1::2], strict=True):

@@ -116,20 +116,28 @@ def fit(texts: list[bytes], toxic: np.ndarray, *, relabel: int = 2, rounds: int
     toxic = toxic.astype(bool)
     if toxic.all() or not toxic.any():
         return None
-    words = [words_of(t) for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
     ids: dict[bytes, int] = {}
-    tokens = np.fromiter((ids.setdefault(w, len(ids)) for d in words for w in d), np.int64, int(lengths.sum()))
-    # Features of at least two documents, with their numbers of toxic and clean documents.
-    seen = [Counter(), Counter()]
-    for d, y in zip(words, toxic, strict=True):
-        seen[int(y)].update({f for w in set(d) for f in features(w)})
-    names = {f: i for i, f in enumerate(sorted(f for f, n in (seen[0] + seen[1]).items() if n >= 2))}
+    documents = []
+    in_toxic: Counter = Counter()
+    for text, y in zip(texts, toxic, strict=True):
+        words = words_of(text)
+        documents.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
+        if y:
+            in_toxic.update({f for w in set(words) for f in features(w)})
+    lengths = np.fromiter(map(len, documents), np.int64, len(documents))
+    tokens = np.concatenate(documents)
+    # Features of at least two toxic documents; what only clean ones hold is left to the bias.
+    names = {f: i for i, f in enumerate(sorted(f for f, n in in_toxic.items() if n >= 2))}
     none = len(names)
     table = np.array([[names.get(f, none) for f in features(w)] for w in ids], np.int64).reshape(-1, 5)
+    toxic_counts, clean_counts = np.array([in_toxic[f] for f in names], np.int64), np.zeros(none + 1, np.int64)
+    del in_toxic
+    for document, y in zip(documents, toxic, strict=True):
+        if not y:
+            clean_counts[np.unique(table[np.unique(document)])] += 1
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    share = lambda y, n: np.log((np.array([seen[y][f] for f in names]) + 0.5) / (n + 1))
-    telling = np.append((share(1, n_toxic) - share(0, n_clean) >= 3) & (np.array([seen[1][f] for f in names]) >= 3), False)
+    odds_ratio = np.log((toxic_counts + 0.5) / (n_toxic + 1)) - np.log((clean_counts[:none] + 0.5) / (n_clean + 1))
+    telling = np.append((odds_ratio >= 3) & (toxic_counts >= 3), False)
     inside = np.repeat(toxic, lengths)
     labels = telling[table].any(1)[tokens] & inside
     starts = np.cumsum(lengths) - lengths
@@ -210,7 +218,7 @@ def with_toxicity(docs: DataFrame, model: ToxicSpans | None, *, text_column: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, float] = {}
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             scores, spans, lo = [0.0] * len(texts), [[] for _ in texts], 0
             while lo < len(texts) and held.value is not None:

@@ -18,6 +18,18 @@ from pyspark.sql import functions as F
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+#: What a Python worker keeps from task to task: one operator's memo at a time.
+_kept: dict = {}
+
+
+def kept_memo(key: object, make):
+    """A worker's memo under ``key``, made by ``make`` if there is none; memos of other operators are let go."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as Spark's setting names it.
 
@@ -111,7 +123,11 @@ def map_rows(df: DataFrame, f, schema) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most_bytes``, so that what a worker unpacks at once is bounded."""
+    """The same rows in batches of about ``most_bytes``, so that what a worker unpacks at once is bounded.
+
+    For operators that keep no memo: those that others kept in this worker are let go.
+    """
+    _kept.clear()
     for batch in batches:
         if batch.num_rows:
             rows = max(1, batch.num_rows * most_bytes // max(batch.nbytes, 1))

@@ -74,7 +74,7 @@ def frequent_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
     """Tokens that are among the smallest of many sets, the most frequent last."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 16 << 20):
             heads = []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
@@ -104,7 +104,7 @@ def document_sets(texts: DataFrame, frequent: np.ndarray, width: int, percent: i
             at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
             return np.where(tokens[at] == s, ranks[at], -1)
 
-        for batch in batches:
+        for batch in common.slices(batches):
             n, sign, prefix = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
@@ -281,7 +281,7 @@ def jaccard_classes(docs: DataFrame, *, width: int = 3, percent: int = 90, id_co
     held = spark.sparkContext.broadcast(bits)  # 2**FILTER_BITS bits
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             at = batch.column(3).to_numpy()
             hit = np.flatnonzero((held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
             texts = batch.column(1).take(pa.array(hit))

@@ -16,6 +16,7 @@ are counted whole.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,15 +60,9 @@ def chunk_counts(tokenizer: Tokenizer, whole: frozenset[str]):
     return of
 
 
-_memos: dict = {}
-
-
 def _memo(data: bytes, whole: frozenset[str]) -> Chunks:
-    key = hash(data)
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = Chunks(chunk_counts(tokenizer_of(data), whole), sum)
-    return _memos[key]
+    """A worker's memo, which outlives the task."""
+    return common.kept_memo(("counts", zlib.crc32(data)), lambda: Chunks(chunk_counts(tokenizer_of(data), whole), sum))
 
 
 def _library_counts(data: bytes, kind: str):

@@ -32,16 +32,9 @@ from pyspark.sql import functions as F
 from . import common
 from .chunks import Chunks, id_memo, packed, splits_at_spaces, tokenizer_of
 
-_memos: dict = {}
-
-
 def _memo(data: bytes, code: str) -> Chunks:
     """A worker's memo, which outlives the task."""
-    key = (zlib.crc32(data), code)
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = id_memo(tokenizer_of(data), code)
-    return _memos[key]
+    return common.kept_memo(("ids", zlib.crc32(data), code), lambda: id_memo(tokenizer_of(data), code))
 
 
 @dataclass(frozen=True)

@@ -35,8 +35,8 @@ from .decontaminate import WORD, WORD_BYTES, words_of
 #: Labelled documents that the field is fitted on, at most.
 MOST_TOXIC, MOST_CLEAN = 1_000, 2_000
 #: Words whose emissions a worker remembers, and bytes of text scored at once.
-MEMO_WORDS = 1_000_000
-SLICE_BYTES = 6 << 20
+MEMO_WORDS = 300_000
+SLICE_BYTES = 4 << 20
 #: What stands for a document without words: logit of its highest marginal, expected toxic words.
 NO_LOGIT, NO_WORDS = -12.0, 1e-6
 

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyweave.llm import ann, chat, common, decontaminate, jaccard_join, language_id, lm_score, mixing, token_counts, token_store, toxicity
+from tallyweave.llm import ann, chat, chunks, common, decontaminate, jaccard_join, language_id, lm_score, mixing, token_counts, token_store, toxicity
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, score string, spans string, `a.b` string, _row string"
@@ -67,6 +67,16 @@ def test_token_counts(docs, name):
     assert found == Counter((r[0], len((r[1] or "").encode()), (n := count(r[1] or "")), n > 20) for r in rows())
 
 
+def test_chunks_join_to_whole_texts_around_any_code_point():
+    """All white space and every 53rd code point, beside spaces on either side."""
+    tokenizer = Tokenizer.from_file(BPE)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 53 == 0 or chr(c).isspace())]
+    texts = [form.format(c) for c in points for form in ("a{0} b", "a {0}b", "{0} b", " {0} {0} c")]
+    found = chunks.id_memo(chunks.tokenizer_of(open(BPE, "rb").read()), "H").totals([t.encode() for t in texts])
+    whole = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(np.frombuffer(a, "<u2").tolist() == b.ids for a, b in zip(found, whole, strict=True))
+
+
 def test_whole_tokens_are_single_pre_tokens():
     tokenizer = Tokenizer.from_file(BPE)
     whole = token_counts.whole_tokens(tokenizer)

@@ -33,7 +33,7 @@ from . import common
 from .decontaminate import WORD, WORD_BYTES, words_of
 
 #: Labelled documents that the field is fitted on, at most.
-MOST_TOXIC, MOST_CLEAN = 1_000, 2_000
+MOST_TOXIC, MOST_CLEAN = 800, 1_600
 #: Words whose emissions a worker remembers, and bytes of text scored at once.
 MEMO_WORDS = 300_000
 SLICE_BYTES = 4 << 20

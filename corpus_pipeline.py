@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a Jaccard similarity of 0.9 of their 3-word shingles, one stays."""
-    return one_of_each(docs, width=3, percent=90)
+    """Of each group of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles, one stays."""
+    return one_of_each(docs, width=5, percent=80)
 
 
 def cut_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

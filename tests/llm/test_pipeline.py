@@ -102,6 +102,40 @@ def test_stages(spark, tables):
     assert Counter(map(tuple, whole)) == Counter(map(tuple, found))
 
 
+def test_near_copies_go_from_a_similarity_of_five_words(spark):
+    """Copies around 0.8 of 5-word shingles, most of them below 0.9 of 3-word shingles, against brute force."""
+    rng = np.random.default_rng(23)
+    made = []
+    for i in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 5_000, int(rng.integers(60, 160)))]
+        made.append((i, " ".join(base)))
+        for k in range(3):
+            text = list(base)
+            for at in rng.choice(len(base), int(rng.integers(1, 5)), replace=False):
+                text[at] = f"e{i}x{k}"
+            made.append((100 * (k + 1) + i, " ".join(text)))
+    made += [(1000, "a b c d"), (1001, "a b c d"), (1002, "a b c e"), (1003, ""), (1004, None)]
+
+    def shingles(text, width):
+        w = WORD.findall(low(text))
+        return frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+    wide, narrow = ([shingles(t, width) for _, t in made] for width in (5, 3))
+    alike = lambda s, i, j, percent: bool(s[i]) and bool(s[j]) and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j])
+    pairs = [(i, j) for i in range(len(made)) for j in range(i) if alike(wide, i, j, 80)]
+    assert sum(not alike(narrow, i, j, 90) for i, j in pairs) >= 20
+    root = list(range(len(made)))
+    for _ in made:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    smallest = {}
+    for (doc, _), r in zip(made, root, strict=True):
+        smallest[r] = min(doc, smallest.get(r, doc))
+    docs = spark.createDataFrame([(i, t, "en", "s0", None if t is None else len(t)) for i, t in made], COLUMNS).repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(smallest.values())
+
+
 def test_stages_take_empty_tables(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:

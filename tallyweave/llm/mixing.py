@@ -1,14 +1,15 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A source's documents fall into at most ``blocks`` blocks by a hash. Its target is turned into an exact
-quota of block draws: as many whole passes over all its blocks as fit, then the first blocks of a
-pseudo-random permutation, then the first documents of the next block by another hash and up to
-``refine`` single documents that bring the words taken closest to the target. A tree splits the vector
+quota of block draws: as many whole passes over all its blocks as fit, then the blocks of a pseudo-random
+permutation, those that do not fit skipped. What is missing then is closed in rounds: each deals the
+documents not yet taken to small buckets by another hash and takes buckets that fit, or takes the largest
+single document that fits, until none does; a last one may overshoot where that is closer. A tree splits the vector
 of quotas among the output shards: each node gives its left half a multivariate-hypergeometric share of
 its draws, so all quotas are met exactly. A shard's draws are a range of each source's permuted draws,
 disjoint from other shards' ranges, and are shuffled locally by a hash.
 
-What is kept per source is bounded by ``blocks`` and ``shards``; the decision for a document depends
+What is kept per source is bounded by ``blocks`` a round and ``shards``; the decision for a document depends
 on its source and hash alone, so no document is shuffled to be drawn. Reruns give the same draws.
 
 Sources are a property of the collection and their table (one row each) goes to the driver; more than
@@ -21,13 +22,14 @@ are drawn together; an empty table gives an empty result; other columns are pass
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -86,19 +88,19 @@ class SourcePlan:
     ranks: list[int]
     n_blocks: int
     n_full: int
-    next_block: int | None
     #: Words still missing after the whole blocks, then after all that is taken.
     gap: float
-    upto: int | None = None
+    #: Rounds' (seed, number of buckets, buckets taken), and hashes of single documents taken.
+    picks: list[tuple[int, int, list[int]]] = field(default_factory=list)
     extra: list[int] = field(default_factory=list)
     bounds: list[int] = field(default_factory=list)
 
     @property
     def quota(self) -> int:
-        return self.passes * self.n_blocks + self.n_full + (self.upto is not None or bool(self.extra))
+        return self.passes * self.n_blocks + self.n_full + bool(self.picks or self.extra)
 
 
-_PLAN = "source string, source_size long, target double, passes int, ranks array<int>, n_blocks long, n_full long, next_block int, gap double, upto long, extra array<long>, bounds array<long>"
+_PLAN = "source string, source_size long, target double, passes int, ranks array<int>, n_blocks long, n_full long, gap double, picks array<struct<seed long, of long, buckets array<long>>>, extra array<long>, bounds array<long>"
 
 
 def _source_plan(source: str | None, words: dict[int, int], target: float, cap: float, blocks: int, seed: int) -> SourcePlan:
@@ -107,17 +109,28 @@ def _source_plan(source: str | None, words: dict[int, int], target: float, cap:
     rest = max(0.0, target - passes * size)
     rng = np.random.default_rng([seed, source is None, *(source or "").encode()])
     order = rng.permutation(sorted(words)).tolist()
+    # A block's room stays free, for single documents that fit well.
+    chosen, _ = _fitting([words[b] for b in order], rest - float(np.median(list(words.values())))) if rest >= 1 else ([], 0)
+    held = set(chosen)
+    order = [order[i] for i in chosen] + [b for i, b in enumerate(order) if i not in held]
     ranks = [-1] * blocks
     for rank, block in enumerate(order):
         ranks[block] = rank
-    after = np.cumsum([words[b] for b in order])
-    n_full = int(np.searchsorted(after, rest, "right")) if rest >= 1 else 0
-    following = order[n_full] if rest >= 1 and n_full < len(order) else None
-    return SourcePlan(source, size, target, passes, ranks, len(order), n_full, following, rest - (int(after[n_full - 1]) if n_full else 0))
+    return SourcePlan(source, size, target, passes, ranks, len(order), len(chosen), rest - sum(words[b] for b in order[: len(chosen)]))
+
+
+def _fitting(words: Sequence[int], room: float) -> tuple[list[int], float]:
+    """The places of those that fit in what the ones before leave of the room, and what is left of it."""
+    out = []
+    for i, n in enumerate(words):
+        if n <= room:
+            out.append(i)
+            room -= n
+    return out, room
 
 
 def _frame(spark: SparkSession, plans: list[SourcePlan]) -> DataFrame:
-    rows = [(p.source, p.size, p.target, p.passes, p.ranks, p.n_blocks, p.n_full, p.next_block, float(p.gap), p.upto, p.extra, p.bounds) for p in plans]
+    rows = [(p.source, p.size, p.target, p.passes, p.ranks, p.n_blocks, p.n_full, float(p.gap), p.picks, p.extra, p.bounds) for p in plans]
     return F.broadcast(spark.createDataFrame(rows, _PLAN))  # MOST_SOURCES rows at most
 
 
@@ -125,12 +138,67 @@ def _planned(frame: DataFrame, plan: DataFrame, blocks: int, seed: int) -> DataF
     """Rows with ``_source`` and ``_h`` beside their source's plan, and whether the last, partial pass takes them."""
     plan = plan.select(*(F.col(c).alias(f"_p_{c}") for c in plan.columns))
     out = frame.join(plan, F.col("_source").eqNullSafe(F.col("_p_source")))
-    out = out.withColumn("_block", F.pmod("_h", F.lit(blocks)).cast("int")).withColumn("_rank", F.element_at("_p_ranks", F.col("_block") + 1)).withColumn("_key", F.xxhash64(F.lit(seed), "_h"))
-    inside = (F.col("_block") == F.col("_p_next_block")) & (F.col("_key") <= F.col("_p_upto"))
-    return out.withColumn("_full", F.col("_rank") < F.col("_p_n_full")).withColumn("_part", ~F.col("_full") & (F.coalesce(inside, F.lit(False)) | F.array_contains("_p_extra", F.col("_h"))))
+    out = out.withColumn("_block", F.pmod("_h", F.lit(blocks)).cast("int")).withColumn("_rank", F.element_at("_p_ranks", F.col("_block") + 1))
+    inside = F.exists("_p_picks", lambda p: F.array_contains(p["buckets"], _bucket(p["seed"], p["of"])))
+    return out.withColumn("_full", F.col("_rank") < F.col("_p_n_full")).withColumn("_part", ~F.col("_full") & (F.array_contains("_p_extra", F.col("_h")) | inside))
+
 
+def _bucket(seed: Column, of: Column) -> Column:
+    return F.pmod(F.xxhash64(seed, F.col("_h")), of)
 
-def plan_mix(sized: DataFrame, *, weights: Sequence[float], cap: float, blocks: int, shards: int, refine: int, seed: int) -> list[SourcePlan]:
+
+def _close_gaps(sized: DataFrame, plans: list[SourcePlan], blocks: int, seed: int) -> None:
+    """Adds documents outside the whole blocks to the plans until none that is left fits what a source misses."""
+    spark = sized.sparkSession
+    by_source = {p.source: p for p in plans}
+    if not (open_ := [p for p in plans if p.gap >= 1]):
+        return
+    # Rows of one hash are taken together, so they count together.
+    units = _planned(sized.where(F.col("_size") > 0), _frame(spark, open_), blocks, seed).where(~F.col("_full")).groupBy("_source", "_h").agg(F.sum("_size").alias("_size"))
+    units = common.materialize(units, "units")
+    for turn in itertools.count(1):
+        left = _planned(units, _frame(spark, open_), blocks, seed).where(~F.col("_part"))
+        fits, unit = F.col("_size") <= F.col("_p_gap"), F.struct(F.col("_size").alias("size"), F.col("_h").alias("h"))
+        found = left.groupBy("_source").agg(F.sum(F.when(fits, F.col("_size"))).alias("words"), F.count_if(~fits).alias("n_large"), F.max(F.when(fits, unit)).alias("best"), F.min(F.when(~fits, unit)).alias("over")).collect()
+        bulk, single, open_ = {}, [], []
+        for r in found:
+            p = by_source[r._source]
+            if r.best is None:
+                if r.over.size < 2 * p.gap:  # the last one, closer than none
+                    p.extra.append(r.over.h)
+                    p.gap -= r.over.size
+                continue
+            open_.append(p)
+            if p.gap > 2 * r.best.size:
+                bulk[r._source] = r
+            else:
+                single.append(r)
+        if bulk:
+            # About four buckets of fitting documents fill the gap, and most hold none that is too large.
+            rules = [(x, (seed << 16) + turn, max(1, math.ceil(4 * r.words / by_source[x].gap), 2 * r.n_large)) for x, r in bulk.items()]
+            rule = F.broadcast(spark.createDataFrame(rules, "_b_source string, _b_seed long, _b_of long"))  # MOST_SOURCES rows at most
+            dealt = left.join(rule, F.col("_source").eqNullSafe(F.col("_b_source"))).groupBy("_source", "_p_gap", _bucket(F.col("_b_seed"), F.col("_b_of")).alias("bucket")).agg(F.sum("_size").alias("words"))
+            first = F.row_number().over(Window.partitionBy("_source").orderBy("bucket"))
+            some: dict[str | None, list] = {}
+            for b in dealt.where(F.col("words") <= F.col("_p_gap")).withColumn("nth", first).where(F.col("nth") <= blocks).toLocalIterator():
+                some.setdefault(b._source, []).append((b.bucket, b.words))
+            for x, key, of in rules:
+                p, listed = by_source[x], sorted(some.get(x, []))
+                chosen, room = _fitting([n for _, n in listed], p.gap - bulk[x].best.size)  # the largest one's room stays free
+                if chosen:
+                    p.picks.append((key, of, [listed[i][0] for i in chosen]))
+                    p.gap = room + bulk[x].best.size
+                else:
+                    single.append(bulk[x])
+        for r in single:
+            by_source[r._source].extra.append(r.best.h)
+            by_source[r._source].gap -= r.best.size
+        open_ = [p for p in open_ if p.gap >= 1]
+        if not open_:
+            return
+
+
+def plan_mix(sized: DataFrame, *, weights: Sequence[float], cap: float, blocks: int, shards: int, seed: int) -> list[SourcePlan]:
     """The plans of all sources in order, from ``_source``, ``_h`` and ``_size`` of every document."""
     spark = sized.sparkSession
     words: dict[str | None, dict[int, int]] = {}
@@ -143,22 +211,7 @@ def plan_mix(sized: DataFrame, *, weights: Sequence[float], cap: float, blocks:
     sources = sorted(words, key=lambda x: (x is None, x or ""))
     goals = targets([sum(words[x].values()) for x in sources], [weights[i % len(weights)] for i in range(len(sources))], cap)
     plans = [_source_plan(x, words[x], t, cap, blocks, seed) for x, t in zip(sources, goals, strict=True)]
-    by_source = {p.source: p for p in plans}
-    # The next block's documents in the order of another hash, up to what is missing: one block of each source.
-    units = _planned(sized, _frame(spark, plans), blocks, seed).where(F.col("_block") == F.col("_p_next_block")).groupBy("_source", "_key", "_p_gap").agg(F.sum("_size").alias("words"))
-    run = F.sum("words").over(Window.partitionBy("_source").orderBy("_key"))
-    for r in units.withColumn("run", run).where(F.col("run") <= F.col("_p_gap")).groupBy("_source").agg(F.max("_key").alias("upto"), F.max("run").alias("words")).collect():
-        by_source[r._source].upto = r.upto
-        by_source[r._source].gap -= r.words
-    for again in reversed(range(refine)):  # the last one may overshoot
-        if not (short := [p for p in plans if p.gap >= 1]):
-            break
-        miss = F.abs(F.col("_size") - F.col("_p_gap"))
-        left = _planned(sized, _frame(spark, short), blocks, seed).where(~F.col("_full") & ~F.col("_part") & (F.col("_size") > 0) & (F.col("_size") <= F.col("_p_gap") if again else miss < F.col("_p_gap")))
-        best = left.groupBy("_source").agg(F.min(F.struct(miss.alias("miss"), F.col("_h").alias("h"), F.col("_size").alias("size"))).alias("x")).collect()
-        for r in best:
-            by_source[r._source].extra.append(r.x.h)
-            by_source[r._source].gap -= r.x.size
+    _close_gaps(sized, plans, blocks, seed)
     bounds = split_quotas([p.quota for p in plans], shards, seed).cumsum(0)
     for i, p in enumerate(plans):
         p.bounds = bounds[:, i].tolist()
@@ -195,11 +248,11 @@ def _draws(frame: DataFrame, plans: list[SourcePlan], blocks: int, seed: int) ->
 class Mix:
     """A planned mix of ``docs``: the plans once made, its draws can be listed or counted."""
 
-    def __init__(self, docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, blocks: int = 1024, shards: int = 64, refine: int = 4, seed: int = 17, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text"):
+    def __init__(self, docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, blocks: int = 1024, shards: int = 64, seed: int = 17, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text"):
         self.docs, self.blocks, self.seed, self.shards = docs, blocks, seed, shards
         self.columns = {"id_column": id_column, "source_column": source_column, "text_column": text_column}
         self.sized = document_sizes(docs, **self.columns)
-        self.plans = plan_mix(self.sized, weights=weights, cap=cap, blocks=blocks, shards=shards, refine=refine, seed=seed)
+        self.plans = plan_mix(self.sized, weights=weights, cap=cap, blocks=blocks, shards=shards, seed=seed)
 
     def counts(self) -> DataFrame:
         """Per document: its id, size, source_size, target and taken (words that the mix takes of it, repeats counted)."""

@@ -233,6 +233,27 @@ def test_mix(docs, empty):
     assert mixing.Mix(empty).counts().collect() == []
 
 
+@pytest.mark.parametrize("share", [0.17, 0.5])
+def test_mix_skips_a_document_larger_than_what_is_missing(spark, share):
+    """A source of small documents and a long one meets its target within a small document, wherever the long one stands."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(20, 120, 3_000)
+    sizes[0] = int(sizes[1:].sum() * share / (1 - share))
+    made = [(i, " ".join(["w"] * int(n)), f"s{k}") for k in range(6) for i, n in enumerate(sizes, 10_000 * k)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(4)
+    # Six sources, so six places of the long document, each to take 0.4 x size: the seventh takes the rest.
+    other = spark.createDataFrame([(-1, " ".join(["v"] * int(sizes.sum() * 3.6)), "z")], df.schema)
+    mix = mixing.Mix(df.unionByName(other), weights=(0.4, 0.4, 0.4, 0.4, 0.4, 0.4, 7.2), cap=3.0, blocks=256, shards=5)
+    taken = Counter()
+    for r in mix.counts().collect():
+        taken["z" if r.doc_id < 0 else f"s{r.doc_id // 10_000}"] += r.taken
+    plans = {p.source: p for p in mix.plans}
+    for k in range(6):
+        p = plans[f"s{k}"]
+        assert p.target == pytest.approx(0.4 * sizes.sum(), rel=0.01)
+        assert taken[p.source] == round(p.target - p.gap) and abs(p.gap) <= 20
+
+
 def test_targets_and_tree():
     assert mixing.targets([100, 10, 1000], [5, 2, 1]) == pytest.approx([300, 30, 780])
     leaves = mixing.split_quotas([100, 7, 0, 33], 8, seed=1)

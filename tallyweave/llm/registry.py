@@ -88,6 +88,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    # All pairs, exactly: the index finds all true neighbours on the tables that the SQL is run on.
+    "op6_nearest_neighbours": """
+        WITH usable AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), e AS (SELECT vec_id, min(v) AS v FROM usable GROUP BY vec_id),
+        scored AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+        SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored) WHERE rank <= 20
+    """,
     # The tables' conversations hold no tool messages: every row is an event ``message``. Tool events are tested by brute force.
     "op9_chat_format": """
         SELECT conv_id, turn, 'message' AS kind, turn AS order_turn, 0::BIGINT AS order_after, (-1)::BIGINT AS order_index,

@@ -260,37 +260,89 @@ def test_targets_and_tree():
     assert leaves.sum(0).tolist() == [100, 7, 0, 33] and leaves.sum(1).max() - leaves.sum(1).min() <= 1
 
 
-def test_nearest_neighbours(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(400, 16)).astype(np.float32)
-    x[50:120] = x[50]  # a group of copies
-    made = [(i, v.tolist(), "extra") for i, v in enumerate(x)] + [(400, None, ""), (401, [0.0] * 16, ""), (402, [float("nan")] + [1.0] * 15, ""), (403, [1.0, 2.0], ""), (404, [None] * 16, ""), (None, [1.0] * 16, "")]
-    df = spark.createDataFrame(made, "vec_id long, embedding array<float>, score string")
-    found = ann.nearest(df, F.col("vec_id") % 20 == 0, k=10, shortlist=80).collect()
+def exact_neighbours(made, k):
+    """By query id, the true neighbours as (id, score), of rows (id, vector) that are all usable; rows of one id count once."""
+    by_id = {}
+    for i, v in made:
+        by_id[i] = min(by_id.get(i, v), v)
+    ids = np.array(sorted(by_id))
+    d = np.array([by_id[i] for i in ids.tolist()], np.float64)
+    out = {}
+    for q in ids[ids % 20 == 0].tolist():
+        scores = d @ np.array(by_id[q], np.float64)
+        best = [j for j in np.lexsort((ids, -scores)) if ids[j] != q][:k]
+        out[q] = [(int(ids[j]), scores[j]) for j in best]
+    return out
+
+
+def compare_neighbours(found, truth, least):
     by_query = defaultdict(list)
     for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
-        by_query[r.query_id].append((r.vec_id, r.score))
-    assert set(by_query) == set(range(0, 400, 20))
-    d = x.astype(np.float64)
+        by_query[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(by_query) == set(truth)
     hit = 0
     for q, got in by_query.items():
-        scores = d @ d[q]
-        scores[q] = -np.inf
-        best = np.lexsort((np.arange(400), -scores))[:10]
-        hit += len({v for v, _ in got} & set(best.tolist()))
-        assert [s for _, s in got] == pytest.approx([scores[v] for v, _ in got])
-        assert [v for v, _ in got] == sorted((v for v, _ in got), key=lambda v: (-scores[v], v))
-    assert hit >= 0.95 * 10 * len(by_query)
-    assert ann.nearest(df.limit(0), F.lit(True)).collect() == []
-    assert len(ann.nearest(df.where("vec_id < 5"), F.col("vec_id") == 0, k=10).collect()) == 4
+        assert [n for n, _, _ in got] == list(range(1, len(truth[q]) + 1))
+        assert [v for _, v, _ in got] == [v for _, v, _ in sorted(got, key=lambda x: (-x[2], x[1]))]
+        assert len({v for _, v, _ in got}) == len(got)
+        hit += len({v for _, v, _ in got} & {v for v, _ in truth[q]})
+        known = dict(truth[q])
+        assert all(s == pytest.approx(known[v], rel=1e-12, abs=1e-12) for _, v, s in got if v in known)
+    assert hit >= least * sum(map(len, truth.values()))
+
+
+@pytest.mark.parametrize("blocks", [1, 20])
+def test_nearest_neighbours(spark, monkeypatch, blocks):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x[50:120] = x[50]  # a group of copies
+    x[200:290] = x[200] + rng.normal(size=(90, 16)).astype(np.float32) * 1e-3  # a group of nearly equal vectors
+    made = [(i, v.tolist(), "extra") for i, v in enumerate(x)]
+    made += [made[20]] * 3 + [made[60]] * 2 + [(40, x[41].tolist(), "another vector of the same id"), (301, x[300].tolist(), "")]
+    odd = [(400, None, ""), (401, [0.0] * 16, ""), (402, [float("nan")] + [1.0] * 15, ""), (403, [1.0, 2.0], ""), (404, [None] * 16, ""), (None, [1.0] * 16, "")]
+    df = spark.createDataFrame([*made, *odd], "vec_id long, embedding array<float>, score string")
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 400 // blocks)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 400 // blocks)
+    truth = exact_neighbours([(i, v) for i, v, _ in made], 10)
+    is_query = F.col("vec_id") % 20 == 0
+    compare_neighbours(ann.nearest(df, is_query, k=10).collect(), truth, 0.98)
+    compare_neighbours(ann.nearest(df, is_query, k=10, exact=True, books=3).collect(), truth, 1.0)
+    if blocks == 1:
+        assert ann.nearest(df.limit(0), F.lit(True)).collect() == []
+        assert len(ann.nearest(df.where("vec_id < 5"), F.col("vec_id") == 0, k=10).collect()) == 4
+
+
+def test_nearest_neighbours_of_doubles(spark):
+    """Scores are those of the doubles, whatever their magnitude; of vectors that differ past single precision too."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 8)) * 10.0 ** rng.integers(-3, 4, 300)[:, None]
+    x[100:140] = x[100] * (1 + 1e-10 * np.arange(40))[:, None]
+    x[7] *= 1e60
+    made = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    compare_neighbours(ann.nearest(df, F.col("vec_id") % 20 == 0, k=5).collect(), exact_neighbours(made, 5), 0.99)
+
+
+def test_clustered_vectors_leave_far_blocks_unvisited(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 24)) * 4
+    made = [(i, (centres[i % 12] + rng.normal(size=24) * 0.3).tolist()) for i in range(1_200)]
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 60)
+    seen = []
+    real = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, label: seen.append((label, real(df, label))) or seen[-1][1])
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    compare_neighbours(ann.nearest(df, F.col("vec_id") % 20 == 0, k=10).collect(), exact_neighbours(made, 10), 0.99)
+    visits = [d.count() for label, d in seen if label == "visits"]
+    assert sum(visits) < 0.6 * 60 * 20
 
 
 def test_quantiser_shortlists_hold_the_nearest():
     """Vectors without structure are the hardest: 32 codebooks still keep nearly all true neighbours in a shortlist of 1 %."""
     x = np.random.default_rng(3).normal(size=(8_000, 64)).astype(np.float32)
     model = ann.AdditiveQuantiser.fit(x[:4_000])
-    codes, norms = zip(*(model.encode(x[lo : lo + 500]) for lo in range(0, len(x), 500)), strict=True)
-    near = model.scores(x[:100], np.concatenate(codes), np.concatenate(norms))
+    codes, scale, *_ = zip(*(model.encode(x[lo : lo + 500]) for lo in range(0, len(x), 500)), strict=True)
+    near = model.scores(x[:100], np.concatenate(codes), np.concatenate(scale))
     exact = x[:100].astype(np.float64) @ x.T.astype(np.float64)
     hit = sum(len(set(np.argsort(-a)[:80].tolist()) & set(np.argsort(-e)[:20].tolist())) for a, e in zip(near, exact, strict=True))
     assert hit >= 0.97 * 20 * 100

@@ -66,6 +66,22 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_events(_table(spark, sf_dir, "conversations"))
 
 
+def tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's operator on conversations turned into tool use, as the tables hold none: turn 0 declares a tool, each odd turn
+    calls it with its text's length and the result of the call before, each other turn answers the call before it."""
+    rows = _table(spark, sf_dir, "conversations")
+    turn, size = F.col("turn"), F.length("text")
+    schema = '{"properties":{"n":{"type":"integer","maximum":500},"after":{"type":["string","null"]}},"required":["n"],"additionalProperties":false}'
+    declares = F.lit('{"tools":[{"name":"lookup","parameters":' + schema + "}]}")
+    after = F.when(turn >= 3, F.concat(F.lit(',"after":"$c'), turn - 2, F.lit('"'))).otherwise("")
+    extra = F.when(size % 7 == 0, ',"x":1').otherwise("")
+    calls = F.concat(F.lit('{"content":"","tool_calls":[{"id":"c'), turn, F.lit('","name":"lookup","arguments":{"n":'), size, after, extra, F.lit("}}]}"))
+    answers = F.to_json(F.struct(F.concat(F.lit("c"), turn - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    text = F.when(turn == 0, declares).when(turn % 2 == 1, calls).otherwise(answers)
+    role = F.when(turn == 0, "system").when(turn % 2 == 1, "assistant").otherwise("tool")
+    return chat_events(rows.select("conv_id", "turn", role.alias("role"), text.alias("text")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = common.fold(F.col("doc_id"), 5) == 0
@@ -83,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_chat_format": op9_chat_format,
+    "tool_links": tool_links,
     "op10_language_id": op10_language_id,
 }
 
@@ -97,11 +114,31 @@ ORACLE_SQL: dict[str, str] = {
         scored AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
         SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored) WHERE rank <= 20
     """,
-    # The tables' conversations hold no tool messages: every row is an event ``message``. Tool events are tested by brute force.
+    # The tables' conversations hold no tool messages: every row is an event ``message``. ``tool_links`` has tool events.
     "op9_chat_format": """
         SELECT conv_id, turn, 'message' AS kind, turn AS order_turn, 0::BIGINT AS order_after, (-1)::BIGINT AS order_index,
                NULL::VARCHAR AS call_id, 'ok' AS status, NULL::BOOLEAN AS valid,
                json_object('content', text, 'role', role, 'turn', turn)::VARCHAR AS event_json
         FROM conversations
     """,
+    "tool_links": """
+        WITH c AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations),
+        calls AS (
+            SELECT *, (turn - 1) // 2 AS depth, list_sort(list_filter([CASE WHEN n > 500 THEN 'maximum n' END, CASE WHEN n % 7 = 0 THEN 'unknown x' END], lambda x: x IS NOT NULL)) AS errors
+            FROM c WHERE turn % 2 = 1
+        )
+        SELECT conv_id, turn, 'message' AS kind, turn AS order_turn, 0::BIGINT AS order_after, (-1)::BIGINT AS order_index, NULL::VARCHAR AS call_id, 'ok' AS status, NULL::BOOLEAN AS valid,
+               CASE WHEN turn = 0 THEN json_object('content', '{"tools":[{"name":"lookup","parameters":{"properties":{"n":{"type":"integer","maximum":500},"after":{"type":["string","null"]}},"required":["n"],"additionalProperties":false}}]}', 'role', 'system', 'turn', turn)
+               ELSE json_object('content', '', 'role', 'assistant', 'turn', turn) END::VARCHAR AS event_json
+        FROM c WHERE turn = 0 OR turn % 2 = 1
+        UNION ALL
+        SELECT conv_id, turn, 'call', turn, 2 * depth, 0, 'c' || turn, CASE WHEN EXISTS (FROM c WHERE c.conv_id = calls.conv_id AND c.turn = calls.turn + 1) THEN 'answered' ELSE 'pending' END, len(errors) = 0,
+               '{"arguments":{' || CASE WHEN turn >= 3 THEN '"after":"$c' || (turn - 2) || '",' ELSE '' END || '"n":' || n || CASE WHEN n % 7 = 0 THEN ',"x":1' ELSE '' END || '},"errors":'
+               || to_json(errors) || ',"id":"c' || turn || '","name":"lookup","turn":' || turn || '}'
+        FROM calls
+        UNION ALL
+        SELECT conv_id, turn, 'result', turn, 2 * ((turn - 2) // 2) + 1, 0, 'c' || (turn - 1), 'linked', NULL,
+               json_object('content', text, 'role', 'tool', 'tool_call_id', 'c' || (turn - 1), 'turn', turn)::VARCHAR
+        FROM c WHERE turn > 0 AND turn % 2 = 0
+    """,
 }

@@ -202,14 +202,47 @@ def test_partners_skip_nothing_that_can_link():
     assert jaccard_join.partners(n, at, 90).tolist() == [any(can(i, j) for j in range(60) if j != i) for i in range(60)]
 
 
-def test_mix(docs, empty):
+def plain_targets(sizes, weights, cap=3.0):
+    """Shares of all sizes by weight; a target stops at ``cap`` times its source's size, the excess shared anew."""
+    out, left, free = [0.0] * len(sizes), float(sum(sizes)), list(range(len(sizes)))
+    while free:
+        total = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / total > cap * sizes[i]]
+        for i in over or free:
+            out[i] = cap * sizes[i] if over else left * weights[i] / total
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in set(over)] if over else []
+    return out
+
+
+def check_draws(mix):
+    """Each block draw of a source is one shard's, as the tree's leaves say, and shards have equal numbers of them."""
+    plans = {p.source: p for p in mix.plans.collect()}
+    drawn = mix.rows().select("_row.source", "shard", "draw").distinct().collect()
+    owner = {(r.source, r.draw): r.shard for r in drawn}
+    assert len(owner) == len(drawn)  # no draw is two shards'
+    by_shard = Counter()
+    for p in plans.values():
+        ends = [0, *(c.end for c in p.cuts)]
+        assert ends[-1] == p.quota == p.passes * len(p.order) + p.n_full + bool(p.picks or p.extra)
+        for c, lo, hi in zip(p.cuts, ends, ends[1:], strict=False):
+            by_shard[c.shard] += hi - lo
+            assert {owner.get((p.source, d), c.shard) for d in range(lo, hi)} == {c.shard}
+    numbers = [by_shard[s] for s in range(mix.shards)]
+    assert max(numbers) - min(numbers) <= 1
+    return plans
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mix(docs, empty, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "PLAN_BYTES", mixing.PLAN_BYTES if broadcast else -1)
     weights = (5, 2, 1)
     made = rows()
     sizes = Counter()
     for r in made:
         sizes[r[3]] += len(WORD.findall(r[1] or ""))
     order = sorted(sizes, key=lambda x: (x is None, x or ""))
-    goals = dict(zip(order, mixing.targets([sizes[s] for s in order], [weights[i % 3] for i in range(len(order))]), strict=True))
+    goals = dict(zip(order, plain_targets([sizes[s] for s in order], [weights[i % 3] for i in range(len(order))]), strict=True))
     mix = mixing.Mix(docs, weights=weights, shards=5)
     found = mix.counts().collect()
     source = {r[0]: r[3] for r in made if r[0] is not None}
@@ -219,7 +252,7 @@ def test_mix(docs, empty):
         assert 0 <= r.taken <= 3 * r.size
         if r.doc_id is not None and r.doc_id != 7:
             assert (r.source_size, r.target) == (sizes[source[r.doc_id]], pytest.approx(goals[source[r.doc_id]]))
-    plans = {p.source: p for p in mix.plans}
+    plans = check_draws(mix)
     for s in order:
         largest = max(len(WORD.findall(r[1] or "")) for r in made if r[3] == s)
         assert abs(plans[s].gap) <= max(3, 0.02 * sizes[s], largest / 2)
@@ -228,9 +261,12 @@ def test_mix(docs, empty):
     for r in drawn:
         taken[r._row.source] += len(WORD.findall(r._row.text or ""))
     assert {s: taken[s] for s in order} == {s: round(goals[s] - plans[s].gap) for s in order}
+    assert sum(r.taken for r in found) == sum(taken.values())
     assert Counter(map(tuple, mixing.Mix(docs, shards=5).counts().collect())) == Counter(map(tuple, found))
-    assert mix.shuffled().columns == docs.columns
-    assert mixing.Mix(empty).counts().collect() == []
+    shuffled = mix.shuffled()
+    assert shuffled.columns == docs.columns and Counter(map(str, shuffled.collect())) == Counter(str(r._row) for r in drawn)
+    if broadcast:
+        assert mixing.Mix(empty).counts().collect() == [] and mixing.Mix(empty).shuffled().collect() == []
 
 
 @pytest.mark.parametrize("share", [0.17, 0.5])
@@ -247,17 +283,44 @@ def test_mix_skips_a_document_larger_than_what_is_missing(spark, share):
     taken = Counter()
     for r in mix.counts().collect():
         taken["z" if r.doc_id < 0 else f"s{r.doc_id // 10_000}"] += r.taken
-    plans = {p.source: p for p in mix.plans}
+    plans = check_draws(mix)
     for k in range(6):
         p = plans[f"s{k}"]
         assert p.target == pytest.approx(0.4 * sizes.sum(), rel=0.01)
         assert taken[p.source] == round(p.target - p.gap) and abs(p.gap) <= 20
 
 
-def test_targets_and_tree():
-    assert mixing.targets([100, 10, 1000], [5, 2, 1]) == pytest.approx([300, 30, 780])
+def test_mix_of_many_sources(spark):
+    """12,000 sources, one of them with a third of the rows."""
+    rng = np.random.default_rng(4)
+    made = [(i, " ".join(["w"] * int(n)), f"host{i % 12_000}" if i % 3 else "hot") for i, n in enumerate(rng.integers(0, 30, 30_000))]
+    sizes = Counter()
+    for _, t, s in made:
+        sizes[s] += len(t.split())
+    order = sorted(sizes)
+    goals = dict(zip(order, plain_targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))]), strict=True))
+    mix = mixing.Mix(spark.createDataFrame(made, "doc_id long, text string, source string").repartition(4), shards=7)
+    taken = Counter()
+    for r in mix.counts().collect():
+        s = made[r.doc_id][2]
+        assert r.target == pytest.approx(goals[s]) and r.source_size == sizes[s] and r.taken <= 3 * r.size
+        taken[s] += r.taken
+    assert all(abs(taken[s] - goals[s]) <= 15 for s in order)
+    assert len(order) > 8_000 and sum(taken.values()) == pytest.approx(sum(goals.values()), rel=0.05)
+    # Past a part a shard: parts are ranges of the shard's local order.
+    mix.parts = 3
+    assert mix.shuffled().count() == mix.rows().count()
+
+
+def test_tree():
+    assert plain_targets([100, 10, 1000], [5, 2, 1]) == pytest.approx([300, 30, 780])
     leaves = mixing.split_quotas([100, 7, 0, 33], 8, seed=1)
     assert leaves.sum(0).tolist() == [100, 7, 0, 33] and leaves.sum(1).max() - leaves.sum(1).min() <= 1
+    lower = np.array(list(mixing.split_draws(leaves[:, 0], [40, 0, 35, 25], np.random.default_rng(1))))
+    assert lower.sum(1).tolist() == [40, 0, 35, 25] and lower.sum(0).tolist() == leaves[:, 0].tolist() and (lower >= 0).all()
+    have = np.array([3_000_000_000, 5, 2_000_000_001])
+    some = mixing.hypergeometric(have, 1_000_000_007, np.random.default_rng(2))
+    assert some.sum() == 1_000_000_007 and (some >= 0).all() and (some <= have).all()
 
 
 def exact_neighbours(made, k):
@@ -451,9 +514,135 @@ def test_chain_odds_against_enumeration():
         assert (forward * backward)[lo : lo + n] == pytest.approx(mass[:, 1] / mass[:, 0])
 
 
+def brute_errors(schema, value, path="", depth=0):
+    """JSON Schema's complaints, of the keywords that the operator reads."""
+    whole = lambda x: isinstance(x, float) and x == int(x)
+    names = {bool: "boolean", int: "integer", float: "integer" if whole(value) else "number", str: "string", list: "array", dict: "object", type(None): "null"}
+    t, below = names[type(value)], lambda k: f"{path}.{k}" if path else k
+    if schema is False:
+        return [f"unknown {path}"]
+    if not isinstance(schema, dict):
+        return []
+    out = []
+    allowed = schema.get("type")
+    allowed = [allowed] if isinstance(allowed, str) else allowed
+    if allowed is not None and t not in allowed and not (t == "integer" and "number" in allowed):
+        out.append(f"type {path}")
+    if "enum" in schema and json.dumps(value, sort_keys=True) not in [json.dumps(x, sort_keys=True) for x in schema["enum"]]:
+        out.append(f"enum {path}")
+    if "const" in schema and value != schema["const"]:
+        out.append(f"const {path}")
+    size = {"integer": value, "number": value, "string": len(value) if t == "string" else 0, "array": len(value) if t == "array" else 0}
+    for name, kinds, worse in (("minimum", ("integer", "number"), -1), ("maximum", ("integer", "number"), 1), ("minLength", ("string",), -1), ("maxLength", ("string",), 1), ("minItems", ("array",), -1), ("maxItems", ("array",), 1)):
+        if name in schema and t in kinds and (size[t] - schema[name]) * worse > 0:
+            out.append(f"{name} {path}")
+    if t == "object":
+        out += [f"missing {below(p)}" for p in schema.get("required", []) if p not in value]
+    if depth < chat.DEPTH:
+        if t == "object":
+            for k, x in value.items():
+                out += brute_errors(schema.get("properties", {}).get(k, schema.get("additionalProperties", True)), x, below(k), depth + 1)
+        if t == "array":
+            for i, x in enumerate(value):
+                out += brute_errors(schema.get("items", True), x, f"{path}[{i}]", depth + 1)
+    return out
+
+
+def test_chat_arguments_against_a_plain_validator(spark):
+    rng = np.random.default_rng(12)
+    pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
+
+    def schema(depth):
+        if depth and rng.random() < 0.1:
+            return pick([True, False])
+        out = {}
+        if rng.random() < 0.8:
+            out["type"] = pick(["integer", "number", "string", "boolean", "null", "array", "object", ["string", "null"], ["integer", "object"], ["array", "object"]]) if depth else "object"
+        for name, value in (("enum", [1, "a", None, [1, 2], {"b": 1}]), ("minimum", 2), ("maximum", 3), ("minLength", 1), ("maxLength", 2), ("minItems", 1), ("maxItems", 2), ("const", "a")):
+            if depth and rng.random() < 0.12:
+                out[name] = value
+        if depth < 4:
+            if rng.random() < 0.8:
+                out["properties"] = {k: schema(depth + 1) for k in "abcd" if rng.random() < 0.7}
+            if rng.random() < 0.4:
+                out["required"] = ["a", "d"]
+            if rng.random() < 0.4:
+                out["additionalProperties"] = pick([True, False, {"type": "string"}])
+            if rng.random() < 0.6:
+                out["items"] = schema(depth + 1)
+        return out
+
+    def value(depth):
+        kind = rng.integers(0, 8) if depth else 7
+        if depth > 3 or kind < 5:
+            return pick([1, 2.5, 4, 3.0, "a", "", "éab", True, False, None])
+        return [value(depth + 1) for _ in range(rng.integers(0, 4))] if kind == 5 else {k: value(depth + 1) for k in "abcde" if rng.random() < 0.6}
+
+    made, expected = [], {}
+    for i in range(300):
+        s, v = schema(0), value(0)
+        made += [(i, 0, "system", json.dumps({"tools": [{"name": "f", "parameters": s}]})), (i, 1, "assistant", json.dumps({"content": None, "tool_calls": [{"id": "x", "name": "f", "arguments": v}]}))]
+        expected[i] = sorted(brute_errors(s, v))
+    found = chat.chat_events(spark.createDataFrame(made, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()
+    assert {r.conv_id: json.loads(r.event_json)["errors"] for r in found} == expected
+    assert {r.conv_id: r.valid for r in found} == {i: not e for i, e in expected.items()}
+    assert 50 < sum(map(bool, expected.values())) < 280
+
+
+def test_chat_places_against_a_plain_sort(spark):
+    """Random graphs of calls that need results: places as a recursive definition gives them, and no event before what it needs."""
+    rng = np.random.default_rng(13)
+    made, needs, answers, turns = [], {}, defaultdict(list), {}
+    for conv in range(25):
+        for turn in range(0, 12, 2):
+            calls = []
+            for j in range(2):
+                name = f"{turn}-{j}"
+                wanted = [f"{2 * rng.integers(0, 6)}-{rng.integers(0, 2)}" for _ in range(rng.integers(0, 3))]
+                if conv % 3:  # without circles
+                    wanted = [w for w in wanted if tuple(map(int, w.split("-"))) < (turn, j)]
+                needs[conv, name], turns[conv, name] = wanted, turn
+                calls.append({"id": name, "name": "f", "arguments": {f"a{n}": f"${w}" for n, w in enumerate(wanted)} | {"price": "$unknown"}})
+            made.append((conv, turn, "assistant", json.dumps({"content": "", "tool_calls": calls})))
+            for _ in range(rng.integers(0, 3)):
+                name = f"{2 * rng.integers(0, 6)}-{rng.integers(0, 2)}"
+                at = int(rng.integers(0, 20))
+                answers[conv, name].append(at)
+                made.append((conv, at, "tool", json.dumps({"tool_call_id": name, "content": "r"})))
+
+    def place(key, above=()):
+        if key in above:
+            raise RecursionError
+        below = [(place((key[0], w), (*above, key)), answers[key[0], w]) for w in needs[key]]
+        return (max([0, *(d + 1 for (d, _), _ in below)]), max([turns[key], *(x for (_, at), got in below for x in (at, *got))]))
+
+    expected = {}
+    for key in needs:
+        try:
+            expected[key] = place(key)
+        except RecursionError:
+            expected[key] = None
+    found = chat.chat_events(spark.createDataFrame(made, "conv_id long, turn long, role string, text string")).collect()
+    spot = lambda r: (r.order_turn, r.order_after, r.order_index)
+    calls = {(r.conv_id, r.call_id): r for r in found if r.kind == "call"}
+    results = defaultdict(list)
+    for r in found:
+        if r.kind == "result":
+            results[r.conv_id, r.call_id].append(r)
+            assert r.status == "linked" and spot(r) > spot(calls[r.conv_id, r.call_id])
+    assert set(calls) == set(expected)
+    for key, e in expected.items():
+        assert (calls[key].status == "cyclic") == (e is None)
+        assert (calls[key].order_turn, calls[key].order_after) == ((turns[key], 0) if e is None else (e[1], 2 * e[0]))
+        if e is not None:
+            for w in needs[key]:
+                assert all(spot(calls[key]) > spot(x) for x in [calls[key[0], w], *results[key[0], w]])
+    assert any(e is None for e in expected.values()) and any(e and e[0] > 2 for e in expected.values())
+
+
 def test_chat_events(spark):
     say = lambda **x: json.dumps(x)
-    tools = say(tools=[{"name": "f", "parameters": {"properties": {"x": {"type": "integer"}, "y": {"type": "string"}, "z": {"type": "number"}}, "required": ["x"]}}])
+    tools = say(tools=[{"name": "f", "parameters": {"properties": {"x": {"type": "integer"}, "y": {"type": "string"}, "z": {"type": "number"}}, "required": ["x"], "additionalProperties": False}}, {"name": "h"}])
     calls = [{"id": "a", "name": "f", "arguments": {"y": 'é"q', "x": 1, "z": 2}}, {"id": "b", "name": "f", "arguments": {"y": 2, "w": [1, {"b": 1, "a": 2}]}}, {"id": "c", "name": "g", "arguments": {}}, {"id": "a", "name": "f", "arguments": {"x": 1}}]
     made = [
         (1, 0, "system", tools), (1, 1, "user", "hi"), (1, 2, "assistant", say(content="ok", tool_calls=calls)), (1, 3, "tool", say(tool_call_id="a", content="r")),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -33,10 +35,13 @@ def kept_memo(key: object, make):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as Spark's setting names it.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is made and set.
+    Where the setting is absent, a temporary folder is made and set on one machine (``local[...]``, as in tests);
+    on a cluster, whose executors would each write to their own disk, it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
@@ -47,10 +52,26 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallyweave/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders of intermediate tables that this driver has written.
+_intermediate: list[str] = []
+
+
+def drop_intermediates() -> None:
+    """Remove the intermediate tables written so far, once what is computed from them is no longer asked for; called at exit."""
+    while _intermediate:
+        with suppress(OSError, ValueError):
+            system, path = filesystem(_intermediate.pop())
+            system.delete_dir(path)
+
+
+atexit.register(drop_intermediates)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     where = new_dir(spark, label)
+    _intermediate.append(where)
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
 
@@ -62,16 +83,27 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def put_file(uri: str, data: bytes) -> None:
-    """Write a whole file under a name of its own, then move it in place: a repeated task attempt does no harm."""
+@contextmanager
+def new_file(uri: str):
+    """A stream to a file under a name of its own, moved in place at the end: a repeated task attempt does no harm."""
     system, path = filesystem(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.tmp"
-    with system.open_output_stream(own) as out:
-        out.write(data)
+    try:
+        with system.open_output_stream(own, buffer_size=1 << 20) as out:
+            yield out
+    except BaseException:
+        with suppress(OSError):
+            system.delete_file(own)
+        raise
     system.move(own, path)
 
 
+def put_file(uri: str, data: bytes) -> None:
+    with new_file(uri) as out:
+        out.write(data)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

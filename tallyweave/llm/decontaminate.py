@@ -5,9 +5,10 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 every substring of every item; a document's words stream through it and the longest matching length is
 tracked at each word, so every occurrence of every window is found in one pass.
 
-Test items are read to the driver in chunks of ``chunk_words`` words and an automaton is built for each,
-so what is broadcast is bounded; a test set beyond one chunk is matched in several passes over the
-documents, which carry their hits along.
+Test items are read to the driver in chunks of ``chunk_words`` words and an automaton is built for each
+and written to the shared folder, so what the driver and a worker hold is bounded; an item longer than a chunk is cut in
+pieces that overlap by a window less one word. Documents are read once, whatever the size of the test set: a worker
+takes a slice of them (larger ones where there are many automata) and lets one automaton after the other stream over it.
 
 Nulls and other cases: a null or empty text has no words and no hits; a null or wordless item has no
 windows; an item whose id is null still marks words as hit but is not among the items named; equal
@@ -18,6 +19,7 @@ columns of other names are passed through by ``remove_passages`` and never read.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -33,6 +35,8 @@ from . import common
 #: Bytes of words as they are in lower case, all others to a space.
 WORD_BYTES = bytes(b if chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 WORD = re.compile(rb"[^ ]+")
+#: Bytes of documents that are matched at once: with one automaton, and with several, which are read anew for each slice.
+SLICE_BYTES, MANY_SLICE_BYTES = 4 << 20, 64 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -142,15 +146,17 @@ class SuffixAutomaton:
 
 
 def automata(benchmark: DataFrame, window: int, chunk_words: int, item_column: str = "item_id", text_column: str = "text") -> Iterator[SuffixAutomaton]:
-    """Automata of all items, each of about ``chunk_words`` words at most (a longer item has its own)."""
-    one, held = SuffixAutomaton(window), 0
+    """Automata of all items, each of about ``chunk_words`` words at most."""
+    one, held, most = SuffixAutomaton(window), 0, max(chunk_words, 2 * window)
     for item_id, text in benchmark.select(F.col(item_column).cast("string"), common.text_bytes(text_column)).toLocalIterator(prefetchPartitions=True):
         words = words_of(bytes(text))
-        if held and held + len(words) > chunk_words:
-            yield one.finish()
-            one, held = SuffixAutomaton(window), 0
-        one.add(item_id, words)
-        held += len(words)
+        for lo in range(0, max(1, len(words) - window + 1), most - window + 1):
+            piece = words[lo : lo + most]
+            if held and held + len(piece) > chunk_words:
+                yield one.finish()
+                one, held = SuffixAutomaton(window), 0
+            one.add(item_id, piece)
+            held += len(piece)
     yield one.finish()
 
 
@@ -167,40 +173,35 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
 def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, chunk_words: int, text_column: str, finish, schema: T.StructType) -> DataFrame:
     """What ``finish(batch, texts, rows)`` makes of the documents; a row is (spans, items, number of words).
 
-    spans are the word ranges hit: start, end, start, end, ... All automata but the last add to two columns that
-    travel with the documents; the last one's pass finishes.
+    spans are the word ranges hit: start, end, start, end, ... One narrow pass over the documents.
     """
-    spark, out, at, width = docs.sparkSession, docs, docs.columns.index(text_column), len(docs.columns)
-    spans_name, items_name = common.fresh(docs, "spans", "items")
-    carried = T.StructType([*docs.schema.fields, T.StructField(spans_name, T.ArrayType(T.IntegerType())), T.StructField(items_name, T.ArrayType(T.StringType()))])
-    several = automata(benchmark, window, chunk_words)
-    one, first = next(several), True
-    while one is not None:
-        following = next(several, None)
-        held = spark.sparkContext.broadcast(one)  # at most chunk_words words
-
-        def scan(batches: Iterator[pa.RecordBatch], first=first, last=following is None, held=held) -> Iterator[pa.RecordBatch]:
-            for batch in common.slices(batches):
-                texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-                before = repeat(((), ())) if first else zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)
-                rows = []
-                for text, (spans, items) in zip(texts, before):  # noqa: B905  before may be endless
+    spark, at, width = docs.sparkSession, docs.columns.index(text_column), len(docs.columns)
+    where, n = common.new_dir(spark, "automata"), 0
+    for one in automata(benchmark, window, chunk_words):
+        common.put_file(f"{where}/{n:06d}", pickle.dumps(one, pickle.HIGHEST_PROTOCOL))
+        n += 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = _automaton(where, 0) if n == 1 else None
+        for batch in common.slices(batches, SLICE_BYTES if n == 1 else MANY_SLICE_BYTES):
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            rows: list[tuple] = [([], set(), 0)] * len(texts)
+            for k in range(n):
+                each = one or _automaton(where, k)
+                for i, text in enumerate(texts):
                     words = words_of(text)
-                    new, named = held.value.matches(words)
-                    if spans:
-                        new = _merged(list(zip(spans[::2], spans[1::2], strict=True)), new)
-                    rows.append(([x for s in new for x in s], sorted((named - {None}).union(items)), len(words)))
-                own = pa.RecordBatch.from_arrays(batch.columns[:width], [f"c{i}" for i in range(width)])
-                if last:
-                    yield finish(own, texts, rows)
-                else:
-                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.string()))], carried.names)
-
-        out = common.map_rows(out, scan, schema if following is None else carried)
-        if following is not None:
-            out = common.materialize(out, "decontaminate")
-        one, first = following, False
-    return out
+                    spans, items = each.matches(words)
+                    rows[i] = (_merged(rows[i][0], spans) if rows[i][0] and spans else spans or rows[i][0], rows[i][1] | items, len(words))
+            own = pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" for i in range(width)])
+            yield finish(own, texts, [([x for s in spans for x in s], sorted(items - {None}), words) for spans, items, words in rows])
+
+    return common.map_rows(docs, scan, schema)
+
+
+def _automaton(where: str, k: int) -> SuffixAutomaton:
+    system, path = common.filesystem(f"{where}/{k:06d}")
+    with system.open_input_stream(path) as f:
+        return pickle.loads(f.read())  # noqa: S301  what ``_scanned`` wrote
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, chunk_words: int = 200_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -13,8 +13,9 @@ to a group is the text, which compresses well, and is shingled there; hashes wou
 
 Answer-level skipping: in a group, the overlaps of a set with all others are derived from those of the
 most similar set computed before: only the lists of the tokens in which the two differ are read. A group
-of more than ``GROUP`` sets is cut into parts and each pair of parts is joined in a task of its own, so a
-task's memory is bounded and no pair is lost. A group gives star edges (a member and its root), never all
+of more than ``GROUP`` sets or ``GROUP_SHINGLES`` shingles is cut into parts and each pair of parts is joined in a task of its own, so a
+task's memory is bounded and no pair is lost. Lists come sorted, one at a time; one of more than
+``LONG_LIST`` entries is passed on whole under its first representative, unread. A group gives star edges (a member and its root), never all
 pairs; links are counted once, in the smallest common anchor's group. Components come from alternating
 large-star and small-star rounds over the edges.
 
@@ -26,6 +27,7 @@ and linked; an empty table gives an empty result; other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Tokens ordered last, at most, and the number of prefixes from which a token is one.
-FREQUENT, FREQUENT_FROM = 200_000, 16
-#: Sets that a task joins with each other, at most (on average, where parts are dealt by hash).
-GROUP = 2048
+FREQUENT, FREQUENT_FROM = 4_000_000, 16
+#: Sets that a task joins with each other, and shingles in them, at most (on average, where parts are dealt by hash).
+GROUP, GROUP_SHINGLES = 256, 2_000_000
+#: Entries of a list that a task holds at once.
+LONG_LIST = 500_000
 #: Sets whose overlaps are kept to derive others from.
 PIVOTS = 12
 #: Bits of the filter that keeps texts without candidates from being shingled again.
@@ -84,15 +88,20 @@ def frequent_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int32))], ["token", "n"])
 
     counts = texts.mapInArrow(count, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    return np.ascontiguousarray(rows["token"].to_numpy().view(np.uint64)[::-1])
+    counts = common.materialize(counts.where(F.col("n") >= FREQUENT_FROM), "frequent")
+    # Whole classes of equal counts from the top, as many as FREQUENT leaves room for.
+    by_count = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).collect()  # 2**16 rows at most
+    least = min((r.n for r, total in zip(by_count, accumulate(r.tokens for r in by_count), strict=True) if total <= FREQUENT), default=1 << 62)
+    rows = counts.where(F.col("n") >= least).toArrow()
+    tokens = rows["token"].to_numpy().view(np.uint64)
+    return tokens[np.lexsort((tokens, rows["n"].to_numpy()))]
 
 
 def document_sets(texts: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
     """(doc_id, text_hash, n, sign, prefix): size and 128-bit signature of each set and its first tokens in order, packed."""
     spark = texts.sparkSession
     by_token = np.argsort(frequent, kind="stable")
-    held = spark.sparkContext.broadcast((frequent[by_token], by_token))  # FREQUENT tokens at most
+    held = spark.sparkContext.broadcast((frequent[by_token], by_token.astype(np.int32)))  # FREQUENT tokens at most
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ranks = held.value
@@ -151,7 +160,7 @@ def partners(n: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
 
 
 def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
-    """(anchor, rep): the entries of each token's list that may link, under the list's smallest representative."""
+    """(anchor, rep, n): the entries of each token's list that may link, under the list's smallest representative."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,30 +170,56 @@ def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
             at = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(batch.column(0).to_numpy()[rows]), pa.array(batch.column(1).to_numpy()[rows].astype(np.int32)), pa.array(at.astype(np.int32))], ["token", "rep", "n", "at"])
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        token, rep, n, at = (table[c].to_numpy() for c in ("token", "rep", "n", "at"))
+    def under_anchors(token: np.ndarray, rep: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        """Whole lists, by token and size."""
         order = np.lexsort((rep, at, n, token))
         token, rep, n, at = token[order], rep[order], n[order], at[order]
         # A list also ends where the next set is too large for any before it.
         new = np.flatnonzero((token[1:] != token[:-1]) | (percent * n[1:].astype(np.int64) > 100 * n[:-1].astype(np.int64))) + 1
         cuts = np.concatenate(([0], new, [len(token)]))
-        anchors, members = [], []
+        anchors, members, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
             lo, hi = int(cuts[k]), int(cuts[k + 1])
-            kept = rep[lo:hi][partners(n[lo:hi], at[lo:hi], percent)]
+            linked = partners(n[lo:hi], at[lo:hi], percent)
+            kept = rep[lo:hi][linked]
             if len(kept) > 1:
                 anchors.append(np.full(len(kept), kept.min()))
                 members.append(kept)
-        if members:
-            pairs = np.unique(np.stack([np.concatenate(anchors), np.concatenate(members)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["anchor", "rep"])
+                sizes.append(n[lo:hi][linked])
+        pairs = np.unique(np.stack([np.concatenate(anchors), np.concatenate(members), np.concatenate(sizes)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], ["anchor", "rep", "n"])
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by token, size and representative; what is held is the last list, as far as it is known, and a batch."""
+        held, long = [np.empty(0, np.int64)] * 4, None  # long: the token of a list that is passed on, and its anchor
+
+        def passed_on(rows: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[1]), long[1])), pa.array(rows[1]), pa.array(rows[2].astype(np.int64))], ["anchor", "rep", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(held)]
+            if long is not None:
+                end = int(np.searchsorted(rows[0], long[0], "right"))
+                yield passed_on([x[:end] for x in rows])
+                rows = [x[end:] for x in rows]
+                long = long if not len(rows[0]) else None
+            start = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            if start:
+                yield under_anchors(*(x[:start] for x in rows))
+            held = [x[start:] for x in rows]
+            if len(held[0]) > LONG_LIST:
+                long = (held[0][0], held[1][0])
+                yield passed_on(held)
+                held = [x[:0] for x in held]
+        if len(held[0]):
+            yield under_anchors(*held)
 
     spark = reps.sparkSession
     rows = reps.select("rep", "n", "prefix").mapInArrow(entries, "token long, rep long, n int, at int")
-    return rows.repartition(common.shuffle_partitions(spark), "token").mapInArrow(lists, "anchor long, rep long").distinct()
+    rows = rows.repartition(common.shuffle_partitions(spark), "token").sortWithinPartitions("token", "n", "rep")
+    return rows.mapInArrow(lists, "anchor long, rep long, n long").distinct()
 
 
 def group_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -270,7 +305,7 @@ def jaccard_classes(docs: DataFrame, *, width: int = 3, percent: int = 90, id_co
     reps = common.materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     pairs = common.materialize(candidate_groups(reps, percent), "groups")
-    sizes = pairs.groupBy("anchor").agg(F.count("*").alias("size"))
+    sizes = pairs.groupBy("anchor").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts"))
     wanted = pairs.groupBy("rep").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))  # a representative's lists: no more than its prefix
     wanted = common.materialize(wanted.join(reps.select("rep", "sign", "first", "copies"), "rep"), "wanted")
     # A filter of fixed size spares texts that are no candidate's; the join on the signature decides.
@@ -292,8 +327,7 @@ def jaccard_classes(docs: DataFrame, *, width: int = 3, percent: int = 90, id_co
     full = slots.mapInArrow(again, "doc long, sign binary, text binary")
     full = full.join(wanted.withColumnRenamed("sign", "s"), (F.col("sign") == F.col("s")) & F.col("doc").eqNullSafe(F.col("first"))).select("rep", "anchors", "copies", "text").dropDuplicates(["rep"])
 
-    parts = F.ceil(F.col("size") / GROUP).cast("int")
-    dealt = full.withColumn("anchor", F.explode("anchors")).join(sizes, "anchor").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = full.withColumn("anchor", F.explode("anchors")).join(sizes, "anchor").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other"))
     joined = dealt.select("anchor", "left", "right", "part", "rep", "copies", "anchors", "text").groupBy("anchor", "left", "right").applyInArrow(lambda t: _join_group(t, width, percent), "rep long, root long, links long")
     links = common.materialize(joined, "links")

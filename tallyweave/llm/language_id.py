@@ -8,7 +8,9 @@ contain it. A text's score for a language is the popcount of its bit over the te
 share p of them, corrected for the filter's false positives f of that language: (p - f) / (1 - f).
 
 The filter is built by Spark as (position, bits) rows and has at most ``2**24`` positions, so what
-is collected and broadcast is bounded whatever the corpus; more than 64 languages take more slices.
+is collected and broadcast is bounded whatever the corpus; more than 64 languages take more slices. There are 16 positions
+or more for each trigram. Where that would take more than there are trigrams at all, ``2**24``, a trigram's own
+number is its only position and nothing is false: the filter never fills up.
 
 Nulls and other cases: a text that is null or has no letter is ``und`` with score 0, as is every text
 if no language was learned; rows with null lang don't train; a text none of whose trigrams is known
@@ -30,7 +32,9 @@ from . import common
 
 #: Bytes of text that are counted or scored at once.
 SLICE_BYTES = 4 << 20
-MOST_POSITIONS = 1 << 24
+EVERY_TRIGRAM = 1 << 24
+#: Positions for each trigram that is held, at least.
+_SPARE = 16
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646C)
 
@@ -82,10 +86,14 @@ class LanguageFilter:
 
     def __init__(self, languages: list[str], positions: int, hashes: int, fallback: int):
         self.languages, self.hashes, self.fallback = languages, hashes, fallback
+        self.own_places = positions >= EVERY_TRIGRAM
         self.bits = positions.bit_length() - 1
         self.slices = np.zeros((max(1, -(-len(languages) // 64)), positions), np.uint64)
 
     def positions(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        if self.own_places:
+            yield codes
+            return
         for m in _MULTIPLIERS[: self.hashes]:
             h = codes * np.uint32(m)
             h ^= h >> np.uint32(15)
@@ -94,7 +102,7 @@ class LanguageFilter:
 
     def finish(self) -> LanguageFilter:
         fill = np.array([float(((self.slices[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(self.languages))])
-        self.false_rate = fill**self.hashes
+        self.false_rate = np.zeros(len(fill)) if self.own_places else fill**self.hashes
         return self
 
     def lookup(self, codes: np.ndarray) -> np.ndarray:
@@ -132,7 +140,7 @@ def learn_languages(docs: DataFrame, train: Column, *, rho: float = 0.4, hashes:
     if not languages:
         return LanguageFilter([], 2, hashes, 0).finish()
     n_grams = counts.select("gram").distinct().count()
-    size = min(MOST_POSITIONS, max(1 << 12, 1 << (16 * n_grams - 1).bit_length()))
+    size = min(EVERY_TRIGRAM, max(1 << 12, 1 << (_SPARE * n_grams - 1).bit_length()))
     out = LanguageFilter(languages, size, hashes, max(range(len(languages)), key=lambda i: (totals[languages[i]], -i)))
     spark = docs.sparkSession
     table = spark.createDataFrame([(x, i, float(totals[x])) for i, x in enumerate(languages)], "lang string, i int, total double")

@@ -103,8 +103,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+def _words_sql(word: str) -> str:
+    """SQL for a text's words, A-Z lower-cased; null has none."""
+    return f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}')"
+
+
+_WORD, _ITEM_WORD = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql(_WORD)} AS w FROM documents),
+        word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
+        shingle AS (
+            SELECT DISTINCT r, s FROM (SELECT r, x || ' ' || lead(x, 1) OVER p || ' ' || lead(x, 2) OVER p AS s FROM word WINDOW p AS (PARTITION BY r ORDER BY k)) WHERE s IS NOT NULL
+            UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2
+        ),
+        n AS (SELECT r, count(*) AS n FROM shingle GROUP BY r),
+        shared AS (SELECT a.r AS x, b.r AS y, count(*) AS o FROM shingle a JOIN shingle b USING (s) WHERE a.r <> b.r GROUP BY 1, 2),
+        link AS (SELECT x, y FROM shared JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * o >= 90 * (p.n + q.n - o)),
+        reach AS (SELECT r AS a, r AS b FROM d UNION SELECT a, y FROM reach JOIN link ON b = x),
+        component AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON b = r GROUP BY a)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, (SELECT count(*) FROM link WHERE x = d.r) AS n_links
+        FROM d JOIN component ON a = d.r LEFT JOIN n ON n.r = d.r
+    """,
+    "op8_benchmark_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql(_ITEM_WORD)} AS w FROM documents),
+        b AS (SELECT row_number() OVER () AS r, item_id, {_words_sql(_ITEM_WORD)} AS w FROM benchmark),
+        item AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0)),
+        ahead AS (SELECT r, k, list(x) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS x FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d)),
+        met AS (SELECT r, k, m, array_to_string(x[1:m], ' ') AS s FROM ahead JOIN (SELECT DISTINCT m FROM item) ON len(x) >= m),
+        found AS (SELECT r, k, m, item_id FROM met JOIN item USING (m, s)),
+        hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + m)) AS p FROM (SELECT DISTINCT r, k, m FROM found)) GROUP BY r),
+        named AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+    """,
     # All pairs, exactly: the index finds all true neighbours on the tables that the SQL is run on.
     "op6_nearest_neighbours": """
         WITH usable AS (

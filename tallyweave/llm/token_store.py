@@ -11,6 +11,9 @@ The manifest holds each shard's documents, ids and its bases: the numbers of doc
 shards before it, which are prefix sums of the counts that the writing tasks return (one row a shard).
 Any document can then be found by two seeks without reading other shards.
 
+There is a shard for each ``SHARD_BYTES`` of text, whatever the session's settings. A task streams ids to
+its file as they come and keeps 16 bytes a document for the index, so its memory does not grow with the ids.
+
 Nulls and other cases: a null text counts as empty and holds the end id alone; null doc_ids come first
 (the manifest counts them); rows with equal doc_id are all kept, ordered by a hash of their text; an
 empty table makes a store without shards. Columns other than the two named are never read.
@@ -20,8 +23,10 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,9 @@ from pyspark.sql import functions as F
 from . import common
 from .chunks import Chunks, id_memo, packed, splits_at_spaces, tokenizer_of
 
+SHARD_BYTES = 32 << 20
+
+
 def _memo(data: bytes, code: str) -> Chunks:
     """A worker's memo, which outlives the task."""
     return common.kept_memo(("ids", zlib.crc32(data), code), lambda: id_memo(tokenizer_of(data), code))
@@ -58,14 +66,14 @@ class TokenStore:
 
     def documents(self, spark: SparkSession, reader=None, schema: str = "doc_id long, start long, n_tokens long, ids_crc32 long") -> DataFrame:
         """One row per document as read back from the files; ``reader`` turns a mapped shard into a record batch."""
-        rows = [(s["shard"], s["documents"], s["null_ids"], s["id_base"]) for s in self.shards]
+        rows = [(i, s["shard"], s["documents"], s["null_ids"], s["id_base"]) for i, s in enumerate(self.shards)]
         if not rows:
             return spark.createDataFrame([], schema)
         uri, dtype, make = self.uri, self.dtype, reader or _digest
-        frame = spark.createDataFrame(rows, "shard int, documents long, null_ids long, id_base long").repartition(len(rows), "shard")
+        frame = spark.createDataFrame(rows, "task int, shard int, documents long, null_ids long, id_base long").repartitionById(len(rows), "task")
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for shards, documents, nulls, bases in common.table_rows(batches):
+            for _, shards, documents, nulls, bases in common.table_rows(batches):
                 for shard in zip(shards, documents, nulls, bases, strict=True):
                     yield from make(uri, dtype, *shard)
 
@@ -116,19 +124,25 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, uri: str, *, end_id:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         one = _memo(held.value, code)
-        ids, doc_ids, offsets, nulls = [], [], [0], 0
-        for keys, texts in common.table_rows(batches):
-            for key, found in zip(keys, one.totals(texts) if by_chunks else one.of([t.decode("utf-8", "replace") for t in texts]), strict=True):
-                ids += (found, end)
-                nulls += key is None
-                doc_ids.append(key or 0)
-                offsets.append(offsets[-1] + len(found) // (bits // 8) + 1)
-        if doc_ids:
-            common.put_file(f"{uri}/{shard:06d}.ids", b"".join(ids))
-            common.put_file(f"{uri}/{shard:06d}.idx", np.array(doc_ids, "<i8").tobytes() + np.array(offsets, "<u8").tobytes())
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "documents": len(doc_ids), "null_ids": nulls, "ids": offsets[-1]}], pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("null_ids", pa.int64()), ("ids", pa.int64())]))
-
-    n = shards or common.shuffle_partitions(spark)
+        doc_ids, offsets, nulls = array("q"), array("Q", [0]), 0
+        rows = common.table_rows(batches)
+        if (first := next(rows, None)) is None:
+            return
+        with common.new_file(f"{uri}/{shard:06d}.ids") as out:
+            for keys, texts in chain([first], rows):
+                for key, found in zip(keys, one.totals(texts) if by_chunks else one.of([t.decode("utf-8", "replace") for t in texts]), strict=True):
+                    out.write(found)
+                    out.write(end)
+                    nulls += key is None
+                    doc_ids.append(key or 0)
+                    offsets.append(offsets[-1] + len(found) // (bits // 8) + 1)
+        with common.new_file(f"{uri}/{shard:06d}.idx") as out:
+            out.write(np.frombuffer(doc_ids, np.int64).astype("<i8"))
+            out.write(np.frombuffer(offsets, np.uint64).astype("<u8"))
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "documents": len(doc_ids), "null_ids": nulls, "ids": offsets[-1]}], pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("null_ids", pa.int64()), ("ids", pa.int64())]))
+
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 0
+    n = shards or max(1, -(-n_bytes // SHARD_BYTES))
     texts = docs.select(F.col(id_column).cast("long").alias("k"), common.text_bytes(text_column).alias("t"))
     order = [F.col("k").asc_nulls_first(), F.xxhash64("t")]
     counts = texts.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(write, "shard int, documents long, null_ids long, ids long").collect()

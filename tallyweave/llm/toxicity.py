@@ -10,7 +10,8 @@ Labels come by document, so words are labelled first by the features that toxic
 often than clean ones, then twice anew by the field's own marginals inside toxic documents.
 
 The field is fitted on a bounded sample of labelled rows, at most ``MOST_TOXIC`` and ``MOST_CLEAN`` of
-them (the first of each label by a hash of their id); every document is then scored whole.
+them (the first of each label by a hash of their id) and of these whole texts of ``MOST_BYTES`` in all, by the same
+hash; every document is then scored whole.
 
 Nulls and other cases: a null or empty text has no words and gets the score of a document without
 evidence; labels that are null, or whose document isn't there, teach nothing; a document labelled twice
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +34,8 @@ from . import common
 from .decontaminate import WORD, WORD_BYTES, words_of
 
 #: Labelled documents that the field is fitted on, at most.
-MOST_TOXIC, MOST_CLEAN = 800, 1_600
+MOST_TOXIC, MOST_CLEAN = 1_000, 2_000
+MOST_BYTES = 32 << 20
 #: Words whose emissions a worker remembers, and bytes of text scored at once.
 MEMO_WORDS = 300_000
 SLICE_BYTES = 4 << 20
@@ -204,7 +206,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, most_to
     first = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(n)
     sample = common.materialize(first(1, most_toxic).unionByName(first(0, most_clean)), "labels")
     found = docs.select(F.col(id_column).alias("k"), common.text_bytes(text_column).alias("t")).join(F.broadcast(sample), "k")  # the sample's rows, bounded
-    rows = found.groupBy("k", "y").agg(F.min("t").alias("t")).orderBy("k").collect()
+    texts = found.groupBy("k", "y").agg(F.min("t").alias("t"))
+    before = F.sum(F.length("t")).over(Window.orderBy(F.xxhash64("k"), "k"))  # of the sample's rows, bounded
+    rows = texts.withColumn("held", before).where(F.col("held") <= MOST_BYTES).orderBy("k").select("t", "y").collect()
     return fit([bytes(r.t) for r in rows], np.array([r.y for r in rows], np.int64)) if rows else None
 
 

@@ -125,7 +125,7 @@ def test_contamination_against_brute_force(spark, docs, empty):
         ids = ",".join(sorted(map(str, named)))
         expected[(r[0], len(w), len(hit), len(named), hashlib.sha256(ids.encode()).hexdigest(), bool(hit))] += 1
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    for chunk in (200_000, 12):  # one automaton, and one pass for each few words of items
+    for chunk in (200_000, 12, 25):  # one automaton, and one for each few words of items, some of which are longer
         assert Counter(map(tuple, decontaminate.contamination(docs, benchmark, chunk_words=chunk).collect())) == expected
     assert not any(r.contaminated for r in decontaminate.contamination(docs, benchmark.limit(0)).collect())
     assert decontaminate.contamination(empty, benchmark).collect() == []
@@ -170,9 +170,12 @@ def near_copies():
     return out
 
 
-@pytest.mark.parametrize("group", [2048, 16])
+@pytest.mark.parametrize("group", [2048, 16, 3])
 def test_jaccard_components(spark, docs, empty, monkeypatch, group):
     monkeypatch.setattr(jaccard_join, "GROUP", group)
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", 2_000 if group == 3 else jaccard_join.GROUP_SHINGLES)
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 8 if group == 3 else jaccard_join.LONG_LIST)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 20 if group == 16 else jaccard_join.FREQUENT)
     monkeypatch.setattr(jaccard_join, "FREQUENT_FROM", 3)
     made = [(r[0], r[1]) for r in rows()] + near_copies()
     sets, linked, root = brute_links([t for _, t in made])
@@ -430,6 +433,51 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in language_id.identify(df, nothing).collect()} == {"und"}
 
 
+def plain_languages(made, rho=0.4):
+    """Predictions from sets of trigrams: (language, share by language) of each text with a letter."""
+    grams = lambda t: (lambda x: [x[k : k + 3] for k in range(len(x) - 2)])(b" " + low(t).encode() + b" ")
+    counts = defaultdict(Counter)
+    for i, text, lang in made:
+        if text is not None and lang is not None and zlib.crc32(b"" if i is None else str(i).encode()) % 5:
+            counts[lang].update(grams(text))
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) for x in langs}
+    best = {g: max(counts[x][g] / total[x] for x in langs) for x in langs for g in counts[x]}
+    held = {x: {g for g, n in counts[x].items() if n / total[x] >= rho * best[g]} for x in langs}
+    out = []
+    for _, text, _ in made:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        shares = [sum(g in held[x] for g in grams(text)) / len(text.encode()) for x in langs]
+        at = max(range(len(langs)), key=lambda k: (shares[k], -k)) if sum(shares) else max(range(len(langs)), key=lambda k: (total[langs[k]], -k))
+        out.append((langs[at], min(1, shares[at]) / sum(min(1, x) for x in shares) if sum(shares) else 0.0))
+    return out
+
+
+@pytest.mark.parametrize("own_places", [True, False])
+def test_language_id_against_sets(spark, monkeypatch, own_places):
+    """With a place for every trigram the filter is the sets; with hashed places it all but is."""
+    rng = np.random.default_rng(16)
+    letters = ["abcdefgñ", "defghijé", "ghijklmß"]
+    made = [(i, " ".join("".join(rng.choice(list(letters[i % 3]), 5)) for _ in range(rng.integers(1, 30))), None if i % 11 == 0 else f"l{i % 3}") for i in range(300)]
+    made += [made[4], made[4], (None, "ABC def", "l0"), (900, None, "l0"), (901, "", "l0"), (902, "12 !!", "l1"), (903, "日本", None), (904, "x", None), (905, "def ghi " * 20_000, "l1")]
+    df = spark.createDataFrame([(*r, "x", 0.5) for r in made], "doc_id long, text string, lang string, lang_pred string, score double").repartition(3)
+    if own_places:
+        monkeypatch.setattr(language_id, "_SPARE", 1 << 20)
+    model = language_id.learn_languages(df, common.fold(F.col("doc_id"), 5) != 0)
+    assert model.own_places == own_places
+    key = lambda i, p: (-1 if i is None else i, p)
+    found = sorted((key(r.doc_id, r.lang_pred), r.score) for r in language_id.identify(df, model).collect())
+    expected = sorted((key(i, p), x) for (i, _, _), (p, x) in zip(made, plain_languages(made), strict=True))
+    if own_places:
+        assert [k for k, _ in found] == [k for k, _ in expected]
+        assert [x for _, x in found] == pytest.approx([x for _, x in expected], abs=1e-9)
+    else:  # a false trigram can turn a text of a few words
+        same = [abs(a[1] - b[1]) < 0.03 for a, b in zip(found, expected, strict=True) if a[0] == b[0]]
+        assert len(same) >= 0.98 * len(found) and sum(same) >= 0.97 * len(found)
+
+
 def test_filter_has_no_false_negatives():
     one = language_id.LanguageFilter(["a", "b"], 1 << 12, 4, 0)
     codes = np.arange(0, 2_000, 7, dtype=np.uint32)
@@ -468,7 +516,33 @@ def test_log_bilinear_is_normalised_and_learns():
     assert np.exp(model.table[1, 1, 2]) > 0.7
 
 
-def test_toxicity(spark, docs, empty):
+def plain_toxicity(model, text):
+    """A document's score and spans (in ASCII characters) by enumeration of all labellings."""
+    words = [m for m in re.finditer("[0-9a-z]+", low(text))]
+    e = [model.emission(m.group().encode()) for m in words]
+    into, out, stay = model.transition
+    mass = np.zeros((len(e), 2))
+    for code in range(1 << len(e)):
+        s = [code >> i & 1 for i in range(len(e))]
+        w = math.exp(sum(x for x, y in zip(e, s, strict=True) if y)) * (into if s and s[0] else 1)
+        for a, b in zip(s, s[1:], strict=False):
+            w *= {(0, 0): 1, (0, 1): into, (1, 0): out, (1, 1): stay}[a, b]
+        for i, y in enumerate(s):
+            mass[i, y] += w
+    p = mass[:, 1] / mass.sum(1)
+    top = min(max(math.log(max(p / (1 - p))), toxicity.NO_LOGIT), -toxicity.NO_LOGIT) if len(e) else toxicity.NO_LOGIT
+    a, b, c = model.scale
+    score = 1 / (1 + math.exp(-(a + b * top + c * math.log(max(p.sum(), toxicity.NO_WORDS)))))
+    spans: list[list[int]] = []
+    for i in np.flatnonzero(p >= 0.5).tolist():
+        if i and p[i - 1] >= 0.5:
+            spans[-1][1] = words[i].end()
+        else:
+            spans.append([words[i].start(), words[i].end()])
+    return score, spans
+
+
+def test_toxicity(spark, docs, empty, monkeypatch):
     rng = np.random.default_rng(3)
     plain = ["".join(rng.choice(list("abcdeghiklmnorst"), rng.integers(2, 8))) for _ in range(400)]
     bad = ["zzbad", "zzworse", "zzworst"]
@@ -495,6 +569,21 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(rows())
     none = toxicity.learn_toxicity(df, marks.limit(0), F.lit(True))
     assert none is None and {r.score for r in toxicity.toxicity(docs, none).collect()} == {0.0}
+    # Scores of short documents by adding up all labellings.
+    short = [(i, " ".join(t.split()[: i % 9])) for i, t in made[:120]] + [(500, "ZZBADa, zzworstb!"), (501, None)]
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(short, "doc_id long, text string"), model).collect()}
+    for i, text in short:
+        score, spans = plain_toxicity(model, text or "")
+        assert got[i].score == pytest.approx(score, rel=1e-9) and got[i].predicted == (score >= 0.3) and [list(s) for s in got[i].spans] == spans
+    # Very long texts in the sample, and a sample bounded by its bytes.
+    long = df.withColumn("text", F.when(F.col("doc_id") % 50 == 1, F.repeat(F.concat("text", F.lit(" ")), 300)).otherwise(F.col("text")))
+    again = toxicity.learn_toxicity(long, marks, common.fold(F.col("doc_id"), 4) != 2)
+    assert sum(r.predicted != (r.doc_id % 5 == 0) for r in toxicity.toxicity(df.where("doc_id < 400"), again).collect()) <= 8
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 20_000)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append(texts))
+    toxicity.learn_toxicity(long, marks, F.lit(True))
+    assert 0 < sum(map(len, seen[0])) <= 20_000
 
 
 def test_chain_odds_against_enumeration():

@@ -6,11 +6,12 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from test_operators import WORD, brute_links, low
+from pyspark.sql import functions as F
+from test_operators import WORD, brute_links, low, plain_targets
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyweave.llm import common, decontaminate, mixing
+from tallyweave.llm import common, decontaminate
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -85,7 +86,7 @@ def test_stages(spark, tables):
     for r in cut:
         sizes[r[3]] += len(WORD.findall(r[1] or ""))
     order = sorted(sizes, key=lambda x: (x is None, x or ""))
-    goals = dict(zip(order, mixing.targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))]), strict=True))
+    goals = dict(zip(order, plain_targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))]), strict=True))
     taken, times = Counter(), Counter()
     for r in mixed.collect():
         taken[r.source] += len(WORD.findall(r.text or ""))
@@ -143,5 +144,22 @@ def test_stages_take_empty_tables(spark, tables):
         assert docs.count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, tables):
+    """Extra columns whose names are those that operators use inside go through every stage; so do repeated rows and ties."""
+    names = ["score", "spans", "items", "_row", "_source", "_h", "_size", "_draws", "shard", "place", "_part", "_id", "_hash", "_nth", "a.b", "q`t", "rep", "text_hash", "block"]
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    docs = docs.unionByName(docs.limit(5))
+    wide = docs.select("*", *(F.lit(f"x{i}").alias(n) for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wide = common.materialize(stage(spark, wide, tables), name)
+        docs = common.materialize(stage(spark, docs, tables), name)
+        assert wide.columns == [*docs.columns, *names]
+        assert wide.select(*(common.column(n) for n in names)).distinct().collect() == [tuple(f"x{i}" for i in range(len(names)))]
+    # Which documents a mix draws goes by id, source and text alone.
+    assert Counter(map(tuple, wide.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    last = corpus_pipeline.STAGES[-1][1]
+    assert Counter(map(tuple, last(spark, wide, tables).collect())) == Counter(map(tuple, last(spark, docs, tables).collect()))
+
+
 def test_low():
     assert low("AÉz") == "aÉz"

@@ -13,7 +13,7 @@ from .operators import all_sketches
 from .operators.base import CARDINALITY, QUANTILE, Query, discover
 from .operators.cardinality import HyperLogLog
 from .operators.quantile import CentroidDigest
-from .plans.experiment import gate, run_experiment
+from .plans.experiment import gate, run_experiment, write_runs
 from .runtime import env_probe
 from .sources.files import dump_json
 from .sources.generate import StreamSpec, generate_native
@@ -34,6 +34,7 @@ def main(args: list[str] | None = None) -> int:
     bench.add_argument("--n", type=int, default=2_000)
     bench.add_argument("--domain", type=int, default=5_000)
     bench.add_argument("--out")
+    bench.add_argument("--runs", help="folder for one row of each run")
     asked = parser.parse_args(args)
     all_sketches()
     if asked.command == "registry":
@@ -48,10 +49,13 @@ def main(args: list[str] | None = None) -> int:
             print(sketch, sketch.estimate(s, query).first().value)
     else:
         whole = lambda text: [int(x) for x in text.split(",")]
-        report = gate(run_experiment(spark, asked.datasets.split(","), whole(asked.budgets), whole(asked.seeds), n=asked.n, domain=asked.domain).persist())
-        print("PASS" if report.passed else "FAIL", *report.notes, sep="\n")
+        runs = run_experiment(spark, asked.datasets.split(","), whole(asked.budgets), whole(asked.seeds), n=asked.n, domain=asked.domain).persist()
+        report = gate(runs)
+        print("PASS" if report["passed"] else "FAIL", *report["notes"], sep="\n")
         if asked.out:
-            dump_json(asdict(report), asked.out)
+            dump_json(report, asked.out)
+        if asked.runs:
+            write_runs(runs, asked.runs)
     return 0
 
 

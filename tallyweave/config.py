@@ -29,13 +29,12 @@ class Config:
     budgets_bytes: tuple[int, ...] = (4096, 65536)
     deterministic_only: bool = False
     out_dir: str = "artifacts"
-    time_budget_sec: float = 60.0
     safety: float = 3.0
 
     def __post_init__(self):
         if self.backend not in {"auto", "tier0", "tier1"}:
             raise InvalidBackendModeError("backend is auto, tier0 or tier1", backend=self.backend)
-        if self.n <= 0 or not self.budgets_bytes or min(self.budgets_bytes) <= 0 or not self.seeds or self.time_budget_sec <= 0 or self.safety <= 0:
+        if self.n <= 0 or not self.budgets_bytes or min(self.budgets_bytes) <= 0 or not self.seeds or self.safety <= 0:
             raise InvalidConfigError("sizes, budgets, seeds and limits must be positive", config=str(self))
 
     @classmethod

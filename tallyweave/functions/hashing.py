@@ -9,12 +9,17 @@ optimizer from merging them into one exponentially large expression.
 from __future__ import annotations
 
 import math
+import random
 import struct
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..errors import InvalidConfigError, MissingSeedError
 
 #: Constants of the published SplitMix64 generator. Fixed values.
 GAMMA = 0x9E3779B97F4A7C15
@@ -28,6 +33,41 @@ def derive(root: int, tag: str) -> int:
     return int.from_bytes(blake2b(f"{root}:{tag}".encode(), digest_size=8).digest(), "little")
 
 
+@dataclass(frozen=True)
+class Seed:
+    """A root seed, from which every purpose has its own."""
+
+    root: int
+
+    def derive(self, tag: str) -> int:
+        return derive(self.root, tag)
+
+    def generators(self, n: int) -> list[np.random.Generator]:
+        """Independent NumPy generators."""
+        if n < 0:
+            raise InvalidConfigError("a number of generators is not negative", n=n)
+        return [np.random.default_rng(s) for s in np.random.SeedSequence(self.root).spawn(n)]
+
+
+_root: list[Seed] = []
+
+
+def set_seed(root: int) -> Seed:
+    """The process's root seed; Python's and NumPy's global generators start from it too."""
+    if not isinstance(root, int) or isinstance(root, bool):
+        raise InvalidConfigError("a seed is an integer", type=type(root).__name__)
+    random.seed(root)
+    np.random.seed(root % (1 << 32))
+    _root[:] = [Seed(root)]
+    return _root[0]
+
+
+def required_seed() -> Seed:
+    if not _root:
+        raise MissingSeedError("set_seed(root) comes first")
+    return _root[0]
+
+
 def splitmix64(x: int) -> int:
     x = (x + GAMMA) & MASK
     x = ((x ^ (x >> 30)) * MIX_1) & MASK
@@ -135,23 +175,60 @@ def _fold(x: Column, n: int) -> Column:
     return x.bitwiseXOR(_shift(x, n))
 
 
-def bits_of(df: DataFrame, key: str) -> Column:
-    """A key column as the 64 bits that are hashed: integers and booleans as they are, floats by their canonical bits."""
-    kind = dict(df.dtypes)[key]
-    if kind in ("float", "double"):
-        raise TypeError("float keys have no bit cast in Spark SQL; hash their text or scale them to integers")
-    return F.col(key).cast("long")
-
-
 def hashed(df: DataFrame, key: str, seed: int, name: str) -> DataFrame:
-    """``df`` with ``name``: the hash of an integer key as BIGINT; null for a null key."""
+    """``df`` with ``name``: the hash of a key as BIGINT, as ``hash_u64`` gives it for ``stable_key``; null for a null key.
+
+    Integers and booleans stay in generated code. Texts, bytes and floats, whose bits Spark SQL doesn't give, are hashed
+    in NumPy, an Arrow batch at a time.
+    """
+    kind = dict(df.dtypes)[key]
+    if kind in ("string", "binary", "float", "double"):
+        return _hashed_in_batches(df, key, seed, name)
+    if kind not in ("boolean", "tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"no hash for keys of type {kind}")
     held = [f"{name}_{i}" for i in range(3)]
-    out = df.withColumn(held[0], _plus(bits_of(df, key).bitwiseXOR(F.lit(signed(seed))), GAMMA))
+    out = df.withColumn(held[0], _plus(F.col(key).cast("long").bitwiseXOR(F.lit(signed(seed))), GAMMA))
     out = out.withColumn(held[1], _fold(F.col(held[0]), 30)).withColumn(held[2], _times(F.col(held[1]), MIX_1))
     out = out.withColumn(held[0], _fold(F.col(held[2]), 27)).withColumn(held[1], _times(F.col(held[0]), MIX_2))
     return out.withColumn(name, _fold(F.col(held[1]), 31)).drop(*held)
 
 
+def hash_bytes_u64(keys: list[bytes], seed: int) -> np.ndarray:
+    """``hash_u64`` of many keys, word by word over those that are long enough."""
+    lengths = np.fromiter(map(len, keys), np.int64, len(keys))
+    words = (lengths + 7) // 8
+    starts = np.cumsum(words) - words
+    packed = np.frombuffer(b"".join(k.ljust(8 * int(w), b"\0") for k, w in zip(keys, words, strict=True)), "<u8").astype(np.uint64)
+    first = np.zeros(len(keys), np.uint64)
+    first[words > 0] = packed[starts[words > 0]]
+    state = np.where(lengths > 8, lengths.astype(np.uint64), first)
+    for i in range(int(words.max(initial=0))):
+        at = np.flatnonzero((words > i) & (lengths > 8))
+        if not len(at):
+            break
+        state[at] = hash_array_u64(state[at] ^ packed[starts[at] + i], 0)
+    return hash_array_u64(state, seed)
+
+
+def _hashed_in_batches(df: DataFrame, key: str, seed: int, name: str) -> DataFrame:
+    import pyarrow as pa
+
+    at, schema = df.columns.index(key), T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+
+    def add(batches):
+        for batch in batches:
+            column = batch.column(at)
+            if pa.types.is_floating(column.type):
+                h = hash_array_u64(column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), seed)
+            else:
+                h = hash_bytes_u64([x or b"" for x in column.cast(pa.binary()).to_pylist()], seed)
+            found = pa.array(h.view(np.int64), mask=column.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [f"c{i}" for i in range(len(schema))])
+
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(add, plain).toDF(*schema.names)
+
+
 def unsigned_order(h: str | Column) -> Column:
     """A column that sorts as the unsigned hash does."""
     return (F.col(h) if isinstance(h, str) else h).bitwiseXOR(F.lit(-(1 << 63)))
@@ -165,5 +242,7 @@ def unsigned_value(h: str | Column) -> Column:
 
 
 def bit_length(c: Column) -> Column:
-    """Bits of an unsigned BIGINT without leading zeros."""
-    return F.when(c == 0, 0).otherwise(F.length(F.bin(c))).cast("int")
+    """Bits of an unsigned BIGINT without leading zeros, by the exponents of its halves, which doubles hold exactly."""
+    half = lambda x, more: F.floor(F.log2(x.cast("double") + 0.5)).cast("int") + 1 + more
+    high = F.shiftrightunsigned(c, 32)
+    return F.when(high != 0, half(high, 32)).when(c != 0, half(c.bitwiseAND(F.lit(_LOW32)), 0)).otherwise(0)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import reduce, wraps
 from typing import ClassVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import EstimateUnavailableError, InvalidSketchParameterError, MergeTypeError, MergeUnsupportedError
+from ..errors import EstimateUnavailableError, InvalidSketchParameterError, MergeTypeError, MergeUnsupportedError, SerializationError
 from ..functions.hashing import derive
 from ..sources.stream import Stream
+from .codec import pack_table, unpack_table
 
 CARDINALITY, QUANTILE, FREQUENCY, HEAVY_HITTERS = "cardinality", "quantile", "frequency", "heavy_hitters"
 
@@ -40,6 +42,9 @@ class MethodSpec:
 
 REGISTRY: dict[str, type[Sketch]] = {}
 
+#: The key of a state's metadata, in its last column, that says which sketch made it. It outlives Parquet.
+MADE_BY = "made_by"
+
 
 def register(kind: type[Sketch]) -> type[Sketch]:
     """Make a sketch known by its name; again is harmless."""
@@ -51,7 +56,8 @@ class Sketch:
     """A summary of a stream with one size parameter.
 
     ``state`` is a DataFrame (rows of the summary beside the stream's ``by`` columns); where ``mergeable``,
-    the union of states aggregated again is the state of the union of their streams.
+    the union of states aggregated again is the state of the union of their streams. A state knows the name,
+    size, seed and update rule of its sketch; another sketch neither merges nor reads it.
     """
 
     name: ClassVar[str]
@@ -64,6 +70,14 @@ class Sketch:
     axis_range: ClassVar[tuple[int, int]]
     default: ClassVar[int]
 
+    def __init_subclass__(cls, **options: object):
+        """What ``state`` returns is labelled, and what ``lookup`` reads is checked, wherever a class defines them."""
+        super().__init_subclass__(**options)
+        if state := cls.__dict__.get("state"):
+            cls.state = wraps(state)(lambda self, s: self.labelled(state(self, s)))
+        if lookup := cls.__dict__.get("lookup"):
+            cls.lookup = wraps(lookup)(lambda self, found, *a, **o: lookup(self, self.checked(found), *a, **o))
+
     def __init__(self, size: int | None = None, *, seed: int = 0):
         self.size = self.default if size is None else int(size)
         lo, hi = self.axis_range
@@ -81,6 +95,23 @@ class Sketch:
     def spec(cls) -> MethodSpec:
         return MethodSpec(cls.name, cls.tier, cls.query_types, cls.deterministic, cls.mergeable, cls.order_free, cls.axis, cls.axis_range)
 
+    def label(self) -> str:
+        return json.dumps({"name": self.name, "size": self.size, "seed": self.seed, "as_written": getattr(self, "as_written", False)}, sort_keys=True)
+
+    def labelled(self, state: DataFrame) -> DataFrame:
+        return state.withMetadata(state.columns[-1], {MADE_BY: self.label()})
+
+    def checked(self, state: DataFrame) -> DataFrame:
+        """The state, if this sketch made it; a MergeTypeError otherwise."""
+        found = {f.metadata[MADE_BY] for f in state.schema.fields if MADE_BY in f.metadata}
+        if found != {self.label()}:
+            raise MergeTypeError("not a state of this sketch", sketch=self.label(), found=sorted(found))
+        return state
+
+    def merges(self) -> bool:
+        """Whether this sketch's states merge, with its update rule."""
+        return self.mergeable and not getattr(self, "as_written", False)
+
     def state(self, s: Stream) -> DataFrame:
         raise NotImplementedError
 
@@ -88,10 +119,33 @@ class Sketch:
         """One state of the rows of several."""
         raise MergeUnsupportedError("this sketch does not merge", name=self.name)
 
+    def union(self, states: list[DataFrame]) -> DataFrame:
+        """The rows that ``combine`` takes."""
+        return reduce(DataFrame.unionByName, states)
+
     def merge(self, *states: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-        if len({tuple(sorted(s.columns)) for s in states}) > 1:
-            raise MergeTypeError("states of different sketches", name=self.name)
-        return self.combine(reduce(DataFrame.unionByName, states), by)
+        """The state of all streams whose states these are, which must be of a sketch like this one."""
+        if not self.merges():
+            raise MergeUnsupportedError("this sketch does not merge", name=self.name)
+        if not states:
+            raise MergeTypeError("no states", name=self.name)
+        return self.labelled(self.combine(self.union([self.checked(s) for s in states]), by))
+
+    def serialize(self, state: DataFrame) -> bytes:
+        """A state (bounded by the size parameter) as bytes."""
+        return pack_table(self.name, {"label": self.label()}, self.checked(state).toArrow())
+
+    def deserialize(self, payload: bytes, spark: SparkSession) -> DataFrame:
+        """The state in what ``serialize`` of a sketch like this one returned."""
+        name, meta, table = unpack_table(payload)
+        if name != self.name or meta.get("label") != self.label():
+            raise SerializationError("bytes of another sketch", expected=self.label(), found=meta.get("label", name))
+        return self.labelled(spark.createDataFrame(table))
+
+    @classmethod
+    def slots(cls, size: int, keys: int) -> int:
+        """Entries of the state's arrays, of eight bytes each or what is left; to describe, not to compare sketches."""
+        return sum(-(-n // (8 * max(1, dims))) * max(1, dims) for _, dims, n in cls.fields(size, keys))
 
     def answer(self, state: DataFrame, query: Query, by: tuple[str, ...]) -> DataFrame:
         raise NotImplementedError
@@ -100,7 +154,7 @@ class Sketch:
         """The answer from a stream, or from a state with the given ``by`` columns."""
         if query.kind not in self.query_types:
             raise EstimateUnavailableError("this sketch answers other questions", name=self.name, asked=query.kind)
-        return self.answer(self.state(s), query, s.by) if isinstance(s, Stream) else self.answer(s, query, by)
+        return self.answer(self.state(s), query, s.by) if isinstance(s, Stream) else self.answer(self.checked(s), query, by)
 
     @classmethod
     def fields(cls, size: int, keys: int) -> list[tuple[str, int, int]]:

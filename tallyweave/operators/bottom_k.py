@@ -42,7 +42,8 @@ class BottomK(Sketch):
 
     def lookup(self, state: DataFrame, keys: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         """Counts of the keys in ``keys``; 0 for those that are not kept."""
-        return keys.join(F.broadcast(state), [*by, "key"], "left").select(*by, "key", F.coalesce("count", F.lit(0)).alias("value"))  # k rows
+        held = state if by else F.broadcast(state)  # k rows; with groups, k for each
+        return keys.join(held, [*by, "key"], "left").select(*by, "key", F.coalesce("count", F.lit(0)).alias("value"))
 
     @classmethod
     def size_bytes(cls, size: int, keys: int) -> int:

@@ -7,6 +7,7 @@ import struct
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 
 from ..errors import IndistinguishableBudgetError, SerializationError
 
@@ -58,14 +59,53 @@ def unpack(data: bytes) -> tuple[str, dict[str, Any], dict[str, np.ndarray]]:
     return name, meta, arrays
 
 
+def pack_table(name: str, meta: dict[str, Any], table: pa.Table) -> bytes:
+    """A small table as bytes: numeric columns as arrays, others as the bytes of their values laid end to end, and their lengths."""
+    arrays, kinds = {}, {}
+    for field in table.schema:
+        values = table[field.name].combine_chunks()
+        kinds[field.name] = str(field.type)
+        numeric = pa.types.is_integer(field.type) or pa.types.is_floating(field.type)
+        if numeric and not values.null_count:
+            arrays[f"v.{field.name}"] = values.to_numpy(zero_copy_only=False)
+            continue
+        if values.null_count:
+            arrays[f"n.{field.name}"] = values.is_null().to_numpy(zero_copy_only=False)
+            values = values.fill_null(0) if numeric else values.fill_null(b"" if pa.types.is_binary(field.type) else "")
+        if numeric:
+            arrays[f"v.{field.name}"] = values.to_numpy(zero_copy_only=False)
+        elif pa.types.is_binary(field.type) or pa.types.is_string(field.type):
+            parts = [x if isinstance(x, bytes) else x.encode() for x in values.to_pylist()]
+            arrays[f"v.{field.name}"] = np.frombuffer(b"".join(parts), np.uint8)
+            arrays[f"l.{field.name}"] = np.fromiter(map(len, parts), np.int64, len(parts))
+        else:
+            raise SerializationError("no code for this type of column", column=field.name, type=str(field.type))
+    return pack(name, {**meta, "columns": list(kinds), "types": list(kinds.values()), "rows": table.num_rows}, arrays)
+
+
+def unpack_table(data: bytes) -> tuple[str, dict[str, Any], pa.Table]:
+    """What ``pack_table`` was given."""
+    name, meta, arrays = unpack(data)
+    try:
+        columns = []
+        for column, kind in zip(meta["columns"], meta["types"], strict=True):
+            values = arrays[f"v.{column}"]
+            none = arrays.get(f"n.{column}", np.zeros(meta["rows"], bool))
+            if (lengths := arrays.get(f"l.{column}")) is not None:
+                raw, ends = values.tobytes(), np.cumsum(lengths)
+                parts = [raw[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                values = [None if x else p if kind == "binary" else p.decode() for p, x in zip(parts, none.tolist(), strict=True)]
+                columns.append(pa.array(values, kind))
+            else:
+                columns.append(pa.array(values, mask=none).cast(kind))
+        return name, meta, pa.table(columns, meta["columns"])
+    except (KeyError, TypeError, pa.ArrowException) as e:
+        raise SerializationError("broken state", reason=str(e)) from e
+
+
 def pack_rows(name: str, meta: dict[str, Any], state) -> bytes:
-    """A relational state (bounded by its sketch's size parameter) as bytes; binary columns are kept as uint8."""
-    table = state.toArrow()
-    arrays: dict[str, np.ndarray] = {}
-    for column in table.column_names:
-        values = table[column].combine_chunks()
-        arrays[column] = np.frombuffer(values[0].as_py(), np.uint8) if str(values.type) == "binary" else values.to_numpy(zero_copy_only=False)
-    return pack(name, meta, arrays)
+    """A relational state (bounded by its sketch's size parameter) as bytes."""
+    return pack_table(name, meta, state.toArrow())
 
 
 def check_size(payload: bytes, declared: int, tolerance: float = 0.02) -> None:

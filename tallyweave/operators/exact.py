@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,39 @@ def cardinality(s: Stream) -> DataFrame:
     return grouped(s.keys(), s.by, F.countDistinct("key").alias("value"))
 
 
+#: Values that one task sorts, and the accuracy of the brackets.
+KEPT, ACCURACY = 100_000, 10_000
+
+
 def quantile(s: Stream, q: float) -> DataFrame:
-    """Linear interpolation between the neighbours of rank q * (n - 1)."""
-    return grouped(s.values(), s.by, F.percentile("value", check_q(q)).alias("value"))
+    """Linear interpolation between the neighbours of rank q * (n - 1).
+
+    Without groups no task holds all values: brackets around the rank, from Spark's approximate percentiles, narrow until
+    few values are strictly inside, and those are counted and sorted. With groups a group's distinct values are one state.
+    """
+    check_q(q)
+    if s.by:
+        return grouped(s.values(), s.by, F.percentile("value", q).alias("value"))
+    values, spark = s.values().select("value"), s.df.sparkSession
+    n, lo, hi = values.agg(F.count("*"), F.min("value"), F.max("value")).first()
+    if not n:
+        return spark.createDataFrame([(None,)], "value double")
+    position = q * (n - 1)
+    first, last = math.floor(position), math.ceil(position)
+    below, inside = 0, n
+    while inside > KEPT and lo < hi:
+        within = values.where(F.col("value").between(lo, hi))
+        held = within.count()
+        marks = [min(1.0, max(0.0, (r - below) / held + e)) for r, e in ((first, -2 / ACCURACY), (last, 2 / ACCURACY))]
+        a, b = within.agg(F.percentile_approx("value", marks, ACCURACY)).first()[0]
+        less, upto, strictly = values.agg(F.count_if(F.col("value") < a), F.count_if(F.col("value") <= b), F.count_if((F.col("value") > a) & (F.col("value") < b))).first()
+        if not (less <= first and last < upto and strictly < inside):
+            break
+        lo, hi, below, inside = a, b, less, strictly
+    counted = values.where(F.col("value").between(lo, hi)).groupBy("value").agg(F.count("*").alias("n"))
+    reached = counted.withColumn("upto", F.sum("n").over(Window.orderBy("value")) + below)  # KEPT values and two, unless no bracket narrows
+    at = reached.agg(F.min(F.when(F.col("upto") > first, F.col("value"))).alias("a"), F.min(F.when(F.col("upto") > last, F.col("value"))).alias("b"))
+    return at.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((last - position) * F.col("a") + (position - first) * F.col("b")).alias("value"))
 
 
 def rank(s: Stream, v: float) -> DataFrame:

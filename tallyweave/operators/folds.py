@@ -62,6 +62,45 @@ class ClosestPairDigest:
         return float(self.means[min(bisect.bisect_left(reached.tolist(), q * reached[-1]), len(self.means) - 1)])
 
 
+class ScaledDigest:
+    """At most ``most`` centroids, small ones at the ends: the merging digest with the arc-sine scale.
+
+    Items are kept until there are ``most`` times eight, then sorted with the centroids and cut where the scale of the
+    rank passes a whole number. Batches and digests merge in the same way.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.means, self.weights = np.empty(0), np.empty(0)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add_any_order(self, items: np.ndarray, weights: np.ndarray | None = None) -> None:
+        items = np.asarray(items, np.float64)
+        self.waiting.append((items, np.ones(len(items)) if weights is None else np.asarray(weights, np.float64)))
+        self.held += len(items)
+        if self.held >= 8 * self.most:
+            self.finish()
+
+    def finish(self) -> None:
+        means, weights = (np.concatenate(x) for x in zip((self.means, self.weights), *self.waiting, strict=True))
+        self.waiting, self.held = [], 0
+        if not len(means):
+            return
+        order = np.argsort(means, kind="stable")
+        means, weights = means[order], weights[order]
+        ends = np.cumsum(weights)
+        q = (ends - weights / 2) / ends[-1]
+        scale = np.minimum(np.floor(self.most * (np.arcsin(2 * q - 1) / np.pi + 0.5)), self.most - 1)
+        at = np.flatnonzero(np.diff(scale, prepend=-1))
+        self.weights = np.add.reduceat(weights, at)
+        self.means = np.add.reduceat(means * weights, at) / self.weights
+
+    def rows(self) -> list[tuple[float, float]]:
+        self.finish()
+        return list(zip(self.means.tolist(), self.weights.tolist(), strict=True))
+
+
 class Counters:
     """Keys with counts; ``top`` orders by count, ties to the smaller key."""
 
@@ -73,9 +112,18 @@ class Counters:
             self.seen += 1
             self.one(x)
 
+    def add_any_order(self, items: np.ndarray) -> None:
+        """Where the order tells nothing: a batch's exact counts are a summary without error, which merges."""
+        keys, n = np.unique(np.asarray(items, np.int64), return_counts=True)
+        self.seen += len(items)
+        self.merge(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+
     def one(self, x: int) -> None:
         raise NotImplementedError
 
+    def merge(self, other: dict[int, int]) -> None:
+        raise NotImplementedError
+
     def rows(self) -> list[tuple[int, int]]:
         return sorted(self.counts.items(), key=lambda e: (-e[1], e[0]))
 
@@ -114,7 +162,7 @@ class SpaceSaving(Counters):
         self.counts[x], self.place[x] = start, self.seen
         heapq.heappush(self.heap, (start, self.seen, x))
 
-    def merge(self, other: dict[int, int], least: int) -> None:
+    def merge(self, other: dict[int, int], least: int = 0) -> None:
         """Counts of another summary whose absent keys may have had ``least``; this one's least is its smallest if full."""
         mine = min(self.counts.values()) if len(self.counts) >= self.width else 0
         both = {k: self.counts.get(k, mine) + other.get(k, least) for k in {*self.counts, *other}}

@@ -10,7 +10,7 @@ from . import folds
 from .base import HEAVY_HITTERS, Query, Sketch, register
 from .exact import top
 from .frequency import first_keys
-from .ordered import by_partition, in_order
+from .ordered import by_partition, in_order, merge_parts, numbered
 
 _ROWS = "key long, count long"
 
@@ -34,9 +34,15 @@ class _Folded(Sketch):
 
     def state(self, s: Stream) -> DataFrame:
         rows = lambda f: f.rows()
-        if self.as_written or s.by or self.merged() is None:
+        if self.as_written or self.merged() is None:
             return in_order(s.keys(), "key", s.by, self.fold(), rows, _ROWS)
-        return by_partition(s.keys(), "key", self.fold(), rows, self.merged(), _ROWS)
+        return by_partition(s.keys(), "key", s.by, self.fold(), rows, self.merged(), _ROWS)
+
+    def union(self, states: list[DataFrame]) -> DataFrame:
+        return numbered(states)
+
+    def combine(self, state: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        return merge_parts(state, by, self.merged(), _ROWS).drop("_part")
 
     def answer(self, state: DataFrame, query: Query, by: tuple[str, ...]) -> DataFrame:
         return top(state, query.top_k, by)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,9 @@ from ..sources.stream import Stream, grouped
 from . import folds
 from .base import QUANTILE, Query, Sketch, register
 from .exact import check_q
-from .ordered import by_partition, in_order
+from .ordered import by_partition, in_order, merge_parts, numbered
+
+_CENTROIDS = "mean double, weight double"
 
 
 def _interpolated(kept: DataFrame, q: float, by: tuple[str, ...]) -> DataFrame:
@@ -74,12 +77,18 @@ class EqualWidthHistogram(Sketch):
             ranged = values.withColumns({"lo": F.min("value").over(before), "hi": F.max("value").over(before)})
         else:
             ends = grouped(values, s.by, F.min("value").alias("lo"), F.max("value").alias("hi"))
-            ranged = values.join(F.broadcast(ends), list(s.by)) if s.by else values.crossJoin(F.broadcast(ends))  # one row of extremes
+            # One row a group, which may be many; without groups, one row.
+            ranged = values.join(ends, list(s.by)) if s.by else values.crossJoin(F.broadcast(ends))
         at = F.least(F.greatest(((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)).cast("int"), F.lit(0)), bins - 1)
         return ranged.withColumn("bin", F.when(F.col("hi") > F.col("lo"), at)).groupBy(*s.by, "bin").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
     def combine(self, state: DataFrame, by: tuple[str, ...]) -> DataFrame:
-        return state.groupBy(*by, "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        """Counts go to the bins of the range of all parts by the middles of their own bins: off by one part's bin at most."""
+        group = Window.partitionBy(*(by or [F.lit(0)]))  # at most ``bins`` rows a part
+        middle = F.when(F.col("bin").isNull(), F.col("lo")).otherwise(F.col("lo") + (F.col("bin") + 0.5) * ((F.col("hi") - F.col("lo")) / self.size))
+        wide = state.withColumns({"middle": middle, "a": F.min("lo").over(group), "b": F.max("hi").over(group)})
+        at = F.least(F.greatest(((F.col("middle") - F.col("a")) / ((F.col("b") - F.col("a")) / self.size)).cast("int"), F.lit(0)), F.lit(self.size - 1))
+        return wide.withColumn("bin", F.when(F.col("b") > F.col("a"), at)).groupBy(*by, "bin").agg(F.sum("n").alias("n"), F.min("a").alias("lo"), F.max("b").alias("hi"))
 
     def answer(self, state: DataFrame, query: Query, by: tuple[str, ...]) -> DataFrame:
         group = Window.partitionBy(*(by or [F.lit(0)]))  # at most ``bins`` rows a group
@@ -119,9 +128,10 @@ class ExactPrefix(Sketch):
 
 @register
 class CentroidDigest(Sketch):
-    """At most 2**delta_exp centroids; the closest neighbours merge when there are more.
+    """At most 2**delta_exp centroids, small ones at the ends, by the merging digest with the arc-sine scale.
 
-    By default each partition makes its own centroids, which are then merged; ``as_written`` is one fold in order.
+    Each partition makes its own centroids, which are then merged. ``as_written`` is one fold in order whose closest
+    neighbours become one when there are too many.
     """
 
     name, query_types, mergeable, order_free = "centroid_digest", (QUANTILE,), True, False
@@ -132,11 +142,16 @@ class CentroidDigest(Sketch):
         self.as_written = as_written
 
     def state(self, s: Stream) -> DataFrame:
-        most, schema = 1 << self.size, "mean double, weight double"
-        make, rows = (lambda: folds.ClosestPairDigest(most)), (lambda f: list(zip(f.means, f.weights, strict=True)))
-        if self.as_written or s.by:
-            return in_order(s.values(), "value", s.by, make, rows, schema)
-        return by_partition(s.values(), "value", make, rows, _merge_digests(most), schema)
+        most = 1 << self.size
+        if self.as_written:
+            return in_order(s.values(), "value", s.by, lambda: folds.ClosestPairDigest(most), lambda f: list(zip(f.means, f.weights, strict=True)), _CENTROIDS)
+        return by_partition(s.values(), "value", s.by, lambda: folds.ScaledDigest(most), lambda f: f.rows(), _merge_digests(most), _CENTROIDS)
+
+    def union(self, states: list[DataFrame]) -> DataFrame:
+        return numbered(states)
+
+    def combine(self, state: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        return merge_parts(state, by, _merge_digests(1 << self.size), _CENTROIDS).drop("_part")
 
     def answer(self, state: DataFrame, query: Query, by: tuple[str, ...]) -> DataFrame:
         group = Window.partitionBy(*(by or [F.lit(0)]))  # at most 2**delta_exp rows a group
@@ -149,13 +164,11 @@ class CentroidDigest(Sketch):
 
 
 def _merge_digests(most: int):
-    import numpy as np
-
     def merged(parts: list[list[tuple]]) -> list[tuple]:
-        one = folds.ClosestPairDigest(most)
+        one = folds.ScaledDigest(most)
         for part in parts:
-            one.merge(np.array([m for m, _ in part]), np.array([w for _, w in part]))
-        return list(zip(one.means, one.weights, strict=True))
+            one.waiting.append(tuple(np.array(c) for c in zip(*part, strict=True)))
+        return one.rows()
 
     return merged
 
@@ -187,17 +200,19 @@ class NativeKll(Sketch):
 
 @register
 class NativePercentile(Sketch):
-    """Spark's percentile_approx; it stands where a relative-error quantile sketch would, which Spark lacks."""
+    """k + 1 evenly spaced quantiles by Spark's percentile_approx; an answer is the nearest one. It stands where a
+    relative-error quantile sketch would, which Spark lacks."""
 
     name, query_types, tier = "native_percentile", (QUANTILE,), 0
     axis, axis_range, default = "k", (4, 10_000), 100
 
     def state(self, s: Stream) -> DataFrame:
-        return s.values()
+        marks = F.array(*(F.lit(i / self.size) for i in range(self.size + 1)))
+        return grouped(s.values(), s.by, F.percentile_approx("value", marks, 10 * self.size).alias("marks"))
 
     def answer(self, state: DataFrame, query: Query, by: tuple[str, ...]) -> DataFrame:
-        return grouped(state, by, F.percentile_approx("value", check_q(query.q), self.size).alias("value"))
+        return state.select(*by, F.element_at("marks", round(check_q(query.q) * self.size) + 1).alias("value"))
 
     @classmethod
     def fields(cls, size: int, keys: int) -> list[tuple[str, int, int]]:
-        return [("sketch", 1, 24 * min(size, keys))]
+        return [("marks", 1, 8 * (size + 1))]

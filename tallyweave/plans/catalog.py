@@ -12,12 +12,12 @@ from ..operators import exact
 from ..operators.base import CARDINALITY, FREQUENCY, HEAVY_HITTERS, QUANTILE, Query, Sketch
 from ..operators.bottom_k import BottomK, shared_seed
 from ..operators.cardinality import ExactTruncate, HyperLogLog, KMinimumValues, LinearCounting, NativeHll, NativeTheta
-from ..operators.frequency import ConservativeCountMin, CountMin, CountSketch, FirstKeysCounts
+from ..operators.frequency import ConservativeCountMin, CountMin, CountSketch, FirstKeysCounts, NativeCountMin
 from ..operators.heavy_hitters import FirstKeysTop, LossyCountingTop, MisraGriesTop, NativeTopK, SketchAndTableTop, SpaceSavingTop
 from ..operators.quantile import CentroidDigest, EqualWidthHistogram, ExactPrefix, NativeKll, NativePercentile, ReservoirQuantile
 from ..sources.generate import StreamSpec, generate, generate_native
 from ..sources.stream import Stream
-from .allocate import Context, FixedSplit, GridSearch, Uniform, WaterFilling
+from .allocate import Context, FixedSplit, GridSearch, Uniform
 from .experiment import run_experiment
 from .gates import allocation_separation, gates_of, spend_parity
 from .laws import ErrorLaw, fit_error_laws
@@ -143,13 +143,34 @@ def _near(sketch: Sketch, tolerance: float) -> Make:
 
     def ask(s: SparkSession, d: str) -> DataFrame:
         found = sketch.estimate(lineitem(s, d), Query(CARDINALITY)).crossJoin(F.broadcast(exact.cardinality(lineitem(s, d)).withColumnRenamed("value", "truth")))  # one row each
-        return found.select((F.abs(F.col("value") - F.col("truth")) <= tolerance * F.col("truth")).alias("within"))
+        return found.select("truth", (F.abs(F.col("value") - F.col("truth")) <= tolerance * F.col("truth")).alias("within"))
 
     return ask
 
 
-query("native_hll", "SELECT true AS within")(_near(NativeHll(12), 0.05))
-query("native_theta", "SELECT true AS within")(_near(NativeTheta(12), 0.05))
+_DISTINCT = "SELECT count(DISTINCT l_partkey) AS truth, true AS within FROM lineitem"
+query("native_hll", _DISTINCT)(_near(NativeHll(12), 0.05))
+query("native_theta", _DISTINCT)(_near(NativeTheta(12), 0.05))
+
+
+def _merged(sketch: Sketch) -> Make:
+    """The estimate of orders' distinct keys from the states of three parts, the first two merged through bytes."""
+
+    def ask(s: SparkSession, d: str) -> DataFrame:
+        df = s.read.parquet(f"{d}/lineitem.parquet")
+        a, b, c = (sketch.state(Stream.of(df.where(F.col("l_linenumber") % 3 == i), "l_orderkey")) for i in range(3))
+        both = sketch.deserialize(sketch.serialize(sketch.merge(a, b)), s)
+        return _rounded(sketch.estimate(sketch.merge(c, both), Query(CARDINALITY)))
+
+    return ask
+
+
+query("merge_kmv", _round_sql(_smallest_sql(hash_sql(_ORDER_KEYS, "key", derive(SEED, "kmv")), 256)))(_merged(KMinimumValues(256, seed=SEED)))
+query("merge_bottomk", _round_sql(_smallest_sql(_CORE, 256)))(_merged(BottomK(256, seed=SEED)))
+query(
+    "merge_linear_count",
+    _round_sql(f"SELECT CASE WHEN n >= 16384 THEN 16384.0 ELSE -16384.0::DOUBLE * ln((16384.0 - n)::DOUBLE / 16384.0::DOUBLE) END AS value FROM (SELECT count(DISTINCT h & 16383) AS n FROM ({hash_sql(_ORDER_KEYS, 'key', derive(SEED, 'lc'))}))"),
+)(_merged(LinearCounting(14, seed=SEED)))
 
 # --- quantiles ---
 
@@ -179,16 +200,36 @@ def _rank_near(sketch: Sketch, q: float, tolerance: float) -> Make:
     def ask(s: SparkSession, d: str) -> DataFrame:
         e = events(s, d)
         found = F.broadcast(sketch.estimate(e, Query(QUANTILE, q=q)).withColumnRenamed("value", "estimate"))  # one row
-        rank = e.values().crossJoin(found).agg(F.avg((F.col("value") <= F.col("estimate")).cast("double")).alias("rank"))
-        return rank.select((F.abs(F.col("rank") - q) <= tolerance).alias("within"))
+        rank = e.values().crossJoin(found).agg(F.count("*").alias("n"), F.avg((F.col("value") <= F.col("estimate")).cast("double")).alias("rank"))
+        return rank.select("n", (F.abs(F.col("rank") - q) <= tolerance).alias("within"))
 
     return ask
 
 
-query("tdigest", "SELECT true AS within")(_rank_near(CentroidDigest(8), 0.5, 0.02))
-query("tdigest_as_written", "SELECT true AS within")(_rank_near(CentroidDigest(6, as_written=True), 0.5, 0.1))
-query("kll", "SELECT true AS within")(_rank_near(NativeKll(200), 0.5, 0.04))
-query("native_percentile", "SELECT true AS within")(_rank_near(NativePercentile(1000), 0.5, 0.02))
+_VALUES = "SELECT count(value) AS n, true AS within FROM events"
+query("tdigest", _VALUES)(_rank_near(CentroidDigest(8), 0.5, 0.02))
+query("tdigest_as_written", _VALUES)(_rank_near(CentroidDigest(6, as_written=True), 0.5, 0.1))
+query("kll", _VALUES)(_rank_near(NativeKll(200), 0.5, 0.04))
+query("native_percentile", _VALUES)(_rank_near(NativePercentile(1000), 0.5, 0.02))
+
+
+@query("tdigest_by_group", "SELECT event_type, count(value) AS n, true AS within FROM events GROUP BY 1")
+def tdigest_by_group(s: SparkSession, d: str) -> DataFrame:
+    """Each group's median from centroids of partitions merged by group, its rank within 0.02."""
+    e = events(s, d, "event_type")
+    found = CentroidDigest(8).estimate(e, Query(QUANTILE, q=0.5)).withColumnRenamed("value", "estimate")
+    met = e.values().join(found, "event_type").groupBy("event_type").agg(F.count("*").alias("n"), F.avg((F.col("value") <= F.col("estimate")).cast("double")).alias("rank"))
+    return met.select("event_type", "n", (F.abs(F.col("rank") - 0.5) <= 0.02).alias("within"))
+
+
+@query("merge_histogram", _VALUES)
+def merge_histogram(s: SparkSession, d: str) -> DataFrame:
+    """Parts binned by ranges of their own and merged: the median's rank is that of two bins at most off."""
+    e, sketch = events(s, d), EqualWidthHistogram(512)
+    low, high = (sketch.state(Stream(e.df.where(c), ())) for c in (F.col("value") < 100, F.col("value") >= 100))
+    found = F.broadcast(sketch.estimate(sketch.merge(low, high), Query(QUANTILE, q=0.5)).withColumnRenamed("value", "estimate"))  # one row
+    ends = F.broadcast(e.values().agg(((F.max("value") - F.min("value")) / 512).alias("bin"), F.percentile("value", 0.5).alias("median"), F.count("*").alias("n")))  # one row
+    return found.crossJoin(ends).select("n", (F.abs(F.col("estimate") - F.col("median")) <= 2 * F.col("bin")).alias("within"))
 
 # --- frequencies ---
 
@@ -223,14 +264,40 @@ def merge_cm(s: SparkSession, d: str) -> DataFrame:
     return sketch.lookup(sketch.merge(*halves), _asked(s, d)).withColumn("value", F.col("value").cast("double"))
 
 
-@query("cu_point", "SELECT true AS within")
+def java_multipliers(seed: int, n: int) -> list[int]:
+    """What java.util.Random draws below 2**31 - 1: the multipliers of the built-in count-min sketch."""
+    state, out = (seed ^ 0x5DEECE66D) & ((1 << 48) - 1), []
+    while len(out) < n:
+        state = (state * 0x5DEECE66D + 0xB) & ((1 << 48) - 1)
+        if (drawn := state >> 17) < (1 << 31) - 1:
+            out.append(drawn)
+    return out
+
+
+def _native_cells_sql(depth: int, width: int) -> str:
+    place = lambda relation: " UNION ALL ".join(f"SELECT key, n, {r} AS row, ((key * {m} + ((key * {m}) >> 32)) & 2147483647) % {width} AS idx FROM ({relation})" for r, m in enumerate(java_multipliers(SEED, depth)))
+    cells = f"SELECT row, idx, sum(n) AS n FROM ({place('SELECT l_partkey AS key, count(*) AS n FROM lineitem GROUP BY 1')}) GROUP BY 1, 2"
+    return f"SELECT key, min(coalesce(c.n, 0)) AS value FROM ({place('SELECT s_suppkey AS key, 0 AS n FROM supplier')}) a LEFT JOIN ({cells}) c USING (row, idx) GROUP BY 1"
+
+
+query("native_cm_point", _as_double(_native_cells_sql(4, 1024)))(_points(NativeCountMin(10, seed=SEED)))
+
+
+@query("merge_native_cm", _as_double(_native_cells_sql(4, 1024)))
+def merge_native_cm(s: SparkSession, d: str) -> DataFrame:
+    sketch, df = NativeCountMin(10, seed=SEED), s.read.parquet(f"{d}/lineitem.parquet")
+    halves = [sketch.state(Stream.of(df.where(F.col("l_linenumber") % 2 == i), "l_partkey")) for i in (0, 1)]
+    return sketch.lookup(sketch.merge(*halves), _asked(s, d)).withColumn("value", F.col("value").cast("double"))
+
+
+@query("cu_point", "SELECT count(DISTINCT user_id) AS keys, count(user_id) AS total, true AS within FROM events")
 def cu_point(s: SparkSession, d: str) -> DataFrame:
     """Conservative update: never below the truth, never above plain count-min."""
     e, asked = events(s, d), events(s, d).keys().select("key").distinct()
     low, high = exact.frequencies(e, asked), CountMin(8, seed=SEED)
     cu = ConservativeCountMin(8, seed=SEED)
     met = cu.lookup(cu.state(e), asked).join(low.withColumnRenamed("value", "truth"), "key").join(high.lookup(high.state(e), asked).withColumnRenamed("value", "most"), "key")
-    return met.agg(F.bool_and((F.col("value") >= F.col("truth")) & (F.col("value") <= F.col("most"))).alias("within"))
+    return met.agg(F.count("*").alias("keys"), F.sum("truth").alias("total"), F.bool_and((F.col("value") >= F.col("truth")) & (F.col("value") <= F.col("most"))).alias("within"))
 
 
 _FIRST = "SELECT user_id AS key, count(*) AS count, min(event_id) AS first FROM events WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY first, key LIMIT {}"
@@ -239,6 +306,8 @@ query("exact_count_truncate", f"SELECT key, count FROM ({_FIRST.format(100)}) OR
 
 # --- heavy hitters ---
 
+_EVENT_TOP_SQL = "SELECT user_id AS key, count(*) AS count FROM events WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
+
 
 def _bounded(sketch: Sketch, side: str) -> Make:
     """Whether all counts of a summary are on their side of the truth, within its declared error."""
@@ -248,15 +317,29 @@ def _bounded(sketch: Sketch, side: str) -> Make:
         n = F.broadcast(exact.total(e).withColumnRenamed("value", "total"))  # one row
         met = sketch.state(e).join(exact.counts(e).withColumnRenamed("count", "truth"), "key", "left").crossJoin(n)
         over = (F.col("count") - F.coalesce("truth", F.lit(0))) * (1 if side == "upper" else -1)
-        return met.agg(F.bool_and((over >= 0) & (over <= F.col("total") / (1 << sketch.size))).alias("within"))
+        return met.agg(F.max("total").alias("total"), F.bool_and((over >= 0) & (over <= F.col("total") / (1 << sketch.size))).alias("within"))
 
     return ask
 
 
-query("space_saving", "SELECT true AS within")(_bounded(SpaceSavingTop(6), "upper"))
-query("misra_gries", "SELECT true AS within")(_bounded(MisraGriesTop(6), "lower"))
-query("lossy", "SELECT true AS within")(_bounded(LossyCountingTop(6), "lower"))
-_EVENT_TOP = "SELECT user_id AS key, count(*) AS count FROM events WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
+_TOTAL = "SELECT count(*) AS total, true AS within FROM events"
+query("space_saving", _TOTAL)(_bounded(SpaceSavingTop(6), "upper"))
+query("misra_gries", _TOTAL)(_bounded(MisraGriesTop(6), "lower"))
+query("lossy", _TOTAL)(_bounded(LossyCountingTop(6), "lower"))
+
+
+@query("space_saving_by_group", "SELECT event_type, key, count FROM (SELECT event_type, user_id AS key, count(*) AS count, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2) WHERE n <= 5")
+def space_saving_by_group(s: SparkSession, d: str) -> DataFrame:
+    """With room for every key, merged by group from partitions, a summary is exact."""
+    return SpaceSavingTop(16).estimate(events(s, d, "event_type"), Query(HEAVY_HITTERS, top_k=5))
+
+
+@query("merge_misra_gries", _EVENT_TOP_SQL)
+def merge_misra_gries(s: SparkSession, d: str) -> DataFrame:
+    e, sketch = events(s, d), MisraGriesTop(16)
+    states = [sketch.state(Stream(e.df.where(F.col("seq") % 3 == i), ())) for i in range(3)]
+    return sketch.estimate(sketch.merge(*states), Query(HEAVY_HITTERS, top_k=10))
+_EVENT_TOP = _EVENT_TOP_SQL
 for _name, _sketch in (("space_saving_wide", SpaceSavingTop(12, as_written=True)), ("misra_gries_wide", MisraGriesTop(12)), ("lossy_wide", LossyCountingTop(12, as_written=True)), ("cm_heap", SketchAndTableTop(12, seed=SEED)), ("approx_top_k", NativeTopK(14))):
     # With room for every key a summary is exact, so its answer has SQL.
     query(_name, _EVENT_TOP)(lambda s, d, sketch=_sketch: sketch.estimate(events(s, d), Query(HEAVY_HITTERS, top_k=10)) if sketch.tier else exact.top(sketch.estimate(events(s, d), Query(HEAVY_HITTERS, top_k=8000)), 10))
@@ -289,7 +372,6 @@ def _plan(strategy) -> Make:
 _rows = lambda *pairs: "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {b}::BIGINT)" for m, b in pairs) + ") t(module, bytes)"
 query("alloc_uniform", _rows(("shared", 342), ("quantile", 341), ("heavy", 341)))(_plan(Uniform()))
 query("alloc_static", _rows(("shared", 512), ("quantile", 256), ("heavy", 256)))(_plan(FixedSplit()))
-query("alloc_water_filling")(_plan(WaterFilling()))
 query(
     "alloc_grid",
     """WITH m AS (SELECT b FROM (SELECT 32 AS b UNION SELECT range AS b FROM range(0, 1025, 20)) WHERE b >= 32),

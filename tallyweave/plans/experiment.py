@@ -14,7 +14,7 @@ from ..operators.base import CARDINALITY, FREQUENCY, HEAVY_HITTERS, QUANTILE
 from ..sources.generate import StreamSpec, arrays
 from .adaptive import Truth, local_losses
 from .allocate import Context, FixedSplit, GridSearch, Laws, PerSegment, Uniform
-from .gates import GateReport, evaluate_gates
+from .gates import evaluate_gates
 from .laws import fit_error_law
 from .score import gate_score
 
@@ -67,8 +67,13 @@ def run_experiment(spark: SparkSession, kinds: Sequence[str], budgets: Sequence[
     return frame.repartition(max(1, len(cells)), *(F.col(c) for c in frame.columns)).mapInArrow(run, _SCHEMA)
 
 
-def gate(runs: DataFrame, delta: float = 0.15) -> GateReport:
-    """The gates over an experiment's rows (one a cell)."""
+def write_runs(runs: DataFrame, path: str) -> None:
+    """An experiment's rows as a table of JSON lines: whole or not at all, by Spark's committer."""
+    runs.write.mode("overwrite").json(path)
+
+
+def gate(runs: DataFrame, delta: float = 0.15) -> dict:
+    """The gates over an experiment's rows (one a cell), with notes."""
     rows = runs.collect()
     predicted = [r.predicted for r in rows if math.isfinite(r.predicted)]
     return evaluate_gates([r.ratio for r in rows], [r.segment_ratio for r in rows], [r.ablation for r in rows], float(np.mean(predicted)) if predicted else math.nan, delta)

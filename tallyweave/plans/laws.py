@@ -39,7 +39,7 @@ def fit_error_law(budgets: Sequence[float], errors: Sequence[float]) -> ErrorLaw
     use = b > 0
     b, e = b[use], e[use]
     floor = float(e.min()) if len(e) else 0.0
-    clamped = int((e < LEAST_ERROR).sum())
+    clamped = int((e <= LEAST_ERROR).sum())
     if len(b) < 4:
         return ErrorLaw(float(e.mean()) if len(e) else 0.0, 0.0, floor, 0.0, len(b), clamped, True, "fewer than 4 positive budgets")
     x, y = np.log(b), np.log(np.maximum(e, LEAST_ERROR))
@@ -55,12 +55,18 @@ def fit_error_law(budgets: Sequence[float], errors: Sequence[float]) -> ErrorLaw
 
 
 def fit_error_laws(points: DataFrame, family: str = "family") -> DataFrame:
-    """One law for each family of (family, budget, error) rows, as one aggregation."""
-    kept = points.where(F.col("budget") > 0).select(family, F.log("budget").alias("x"), F.log(F.greatest("error", F.lit(LEAST_ERROR))).alias("y"), "error")
-    fit = kept.groupBy(family).agg(F.regr_slope("y", "x").alias("s"), F.regr_intercept("y", "x").alias("i"), F.regr_r2("y", "x").alias("r"), F.regr_syy("y", "x").alias("syy"), F.min("error").alias("floor"), F.count("*").alias("n_points"), F.count_if(F.col("error") < LEAST_ERROR).alias("n_points_clamped"))
-    r2 = F.when(F.col("syy") == 0, 0.0).otherwise(F.coalesce("r", F.lit(0.0)))
-    c = F.coalesce(-F.col("s"), F.lit(0.0))
-    return fit.select(family, F.exp("i").alias("a"), c.alias("c"), "floor", r2.alias("r2"), "n_points", "n_points_clamped", ((F.col("n_points") < 4) | (c <= 0) | (r2 < 0.9)).alias("degenerate"))
+    """One law for each family of (family, budget, error) rows, as one aggregation: what ``fit_error_law`` gives for its rows."""
+    used = F.col("budget") > 0
+    only = lambda c: F.when(used, c)
+    kept = points.select(family, used.alias("used"), only(F.log("budget")).alias("x"), only(F.log(F.greatest("error", F.lit(LEAST_ERROR)))).alias("y"), only(F.col("error")).alias("e"), "error")
+    fit = kept.groupBy(family).agg(F.regr_slope("y", "x").alias("s"), F.regr_intercept("y", "x").alias("i"), F.regr_r2("y", "x").alias("r"), F.regr_syy("y", "x").alias("syy"), F.avg("y").alias("middle"), F.min("e").alias("least"), F.max("x").alias("hi"), F.min("x").alias("lo"), F.avg("e").alias("mean"), F.max("error").alias("single"), F.count("*").alias("rows"), F.count("y").alias("used"), F.count_if(F.col("e") <= LEAST_ERROR).alias("n_points_clamped"))
+    n, c = F.col("used"), F.coalesce(-F.col("s"), F.lit(0.0))
+    few, short, equal = F.col("rows") < 2, F.col("used") < 4, F.col("hi") == F.col("lo")
+    r2 = F.when(few | short | equal | (F.col("syy") == 0), 0.0).otherwise(F.coalesce("r", F.lit(0.0)))
+    reason = F.when(few, "fewer than 2 points").when(short, "fewer than 4 positive budgets").when(equal, "all budgets equal").when(c <= 0, "error does not fall").when(r2 < 0.9, "poor fit").otherwise("")
+    a = F.when(few, F.col("single")).when(short, F.coalesce("mean", F.lit(0.0))).when(equal, F.exp("middle")).otherwise(F.exp("i"))
+    laws = fit.select(family, a.alias("a"), F.when(few | short | equal, 0.0).otherwise(c).alias("c"), F.when(few, 0.0).otherwise(F.coalesce("least", F.lit(0.0))).alias("floor"), r2.alias("r2"), F.when(few, F.col("rows")).otherwise(n).alias("n_points"), F.when(few, F.lit(0)).otherwise(F.col("n_points_clamped")).alias("n_points_clamped"), reason.alias("reason"))
+    return laws.withColumn("degenerate", F.col("reason") != "")
 
 
 def crosscheck(law: ErrorLaw, budgets: Sequence[float], errors: Sequence[float], rounds: int = 50) -> tuple[float, float]:

@@ -6,7 +6,9 @@ import importlib.metadata
 import platform
 import resource
 import sys
+import tempfile
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,17 @@ def env_probe(spark: SparkSession | None = None) -> dict[str, str]:
     return found
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder for intermediate files, in the one that ``spark.checkpoint.dir`` names; on one machine, where that is
+    unset, a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        return "file://" + tempfile.mkdtemp(prefix="tallyweave-")
+    return f"{where.rstrip('/')}/tallyweave/{uuid.uuid4().hex}"
+
+
 #: Functions that the built-in sketches need.
 BUILT_INS = ("hll_sketch_agg", "theta_sketch_agg", "kll_sketch_agg_double", "approx_top_k")
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from itertools import accumulate
 from pathlib import Path
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataLoadError, EmptyStreamError
@@ -37,9 +38,19 @@ def load(spark: SparkSession, path: str, *, fmt: str | None = None, key_col: str
     return rows
 
 
+def _place() -> list[Column]:
+    """Where a row stands: its file, the block of it that one task reads, and a number that rises within a block."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")]
+
+
 def _ordered(df: DataFrame) -> DataFrame:
-    """``seq`` by place in the input: the partition, then the place in it, without gathering the rows."""
-    return df.select(F.monotonically_increasing_id().alias("seq"), "key", "value")
+    """``seq`` from 0 by file name, then place in the file, without gathering the rows: blocks are counted (one row each on
+    the driver), and a row's number is its place in its block and the rows of all blocks before."""
+    blocks = df.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_at").alias("first")).orderBy("_file", "_block").collect()
+    starts = accumulate([0, *(b.n for b in blocks)])
+    table = df.sparkSession.createDataFrame([(b._file, b._block, s - b["first"]) for b, s in zip(blocks, starts, strict=False)], "_file string, _block long, shift long")
+    # Rows that a filter left out leave gaps in a block.
+    return df.join(table, ["_file", "_block"]).select((F.col("_at") + F.col("shift")).alias("seq"), "key", "value")
 
 
 def _need(columns: list[str], *names: str, path: str) -> None:
@@ -51,27 +62,28 @@ def _csv(spark: SparkSession, path: str, key: str | None, value: str | None) ->
     key, value = key or "key", value or "value"
     text = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)  # a header and strings: no pass to infer types
     _need(text.columns, key, value, path=path)
-    return _checked(text.select(F.col(f"`{key}`").alias("k"), F.col(f"`{value}`").alias("v")), path)
+    return _checked(text.select(F.col(f"`{key}`").alias("k"), F.col(f"`{value}`").alias("v"), *_place()), path)
 
 
 def _checked(text: DataFrame, path: str) -> DataFrame:
-    out = text.select("k", "v", F.expr("try_cast(trim(k) AS bigint)").alias("key"), F.expr("try_cast(trim(v) AS double)").alias("value"))
+    out = text.select("*", F.expr("try_cast(trim(k) AS bigint)").alias("key"), F.expr("try_cast(trim(v) AS double)").alias("value"))
     bad = out.where(F.col("key").isNull() | F.col("value").isNull()).limit(1).collect()
     if bad:
-        raise DataLoadError("not a number", path=path, row=bad[0].asDict())
+        raise DataLoadError("not a number", path=path, row={c: bad[0][c] for c in ("k", "v")})
     return _ordered(out)
 
 
 def _jsonl(spark: SparkSession, path: str, key: str | None, value: str | None) -> DataFrame:
     key, value = key or "key", value or "value"
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value").where(F.trim("value") != "")
-    parsed = lines.select("at", F.from_json("value", "map<string,string>").alias("row"))
-    at = parsed.select("at", F.col("row").isNull().alias("broken"), F.element_at("row", F.lit(key)).alias("k"), F.element_at("row", F.lit(value)).alias("v"))
-    if bad := at.where(F.col("broken") | F.col("k").isNull() | F.col("v").isNull()).orderBy("at").limit(1).collect():
-        # Only for the message: how many lines come before.
-        number = spark.read.text(path).select(F.monotonically_increasing_id().alias("at")).where(F.col("at") <= bad[0]["at"]).count()
-        raise DataLoadError("not an object" if bad[0]["broken"] else "missing column", path=path, line=number)
-    return _checked(at.select("k", "v"), path)
+    every = spark.read.text(path).select("value", *_place())
+    parsed = every.where(F.trim("value") != "").withColumn("row", F.from_json("value", "map<string,string>"))
+    at = parsed.select("_file", "_block", "_at", F.col("row").isNull().alias("broken"), F.element_at("row", F.lit(key)).alias("k"), F.element_at("row", F.lit(value)).alias("v"))
+    if bad := at.where(F.col("broken") | F.col("k").isNull() | F.col("v").isNull()).orderBy("_file", "_block", "_at").limit(1).collect():
+        # Only for the message: how many lines of its file come before.
+        before = (F.col("_block") < bad[0]._block) | (F.col("_block") == bad[0]._block) & (F.col("_at") <= bad[0]._at)
+        number = every.where((F.col("_file") == bad[0]._file) & before).count()
+        raise DataLoadError("not an object" if bad[0]["broken"] else "missing column", path=path, file=bad[0]._file, line=number)
+    return _checked(at.select("k", "v", "_file", "_block", "_at"), path)
 
 
 def _npy(spark: SparkSession, path: str, key: str | int | None, value: str | int | None) -> DataFrame:
@@ -96,7 +108,7 @@ def _parquet(spark: SparkSession, path: str, key: str | None, value: str | None)
     df = spark.read.parquet(path)
     key, value = key or "key", value or "value"
     _need(df.columns, key, value, path=path)
-    return _ordered(df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{value}`").cast("double").alias("value")))
+    return _ordered(df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{value}`").cast("double").alias("value"), *_place()))
 
 
 def describe(stream: DataFrame) -> dict[str, Any]:

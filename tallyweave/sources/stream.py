@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hashed
+
 
 @dataclass(frozen=True)
 class Stream:
@@ -25,6 +27,11 @@ class Stream:
         column = lambda c, kind: (F.col(c) if isinstance(c, str) else c).cast(kind) if c is not None else F.lit(None).cast(kind)
         return cls(df.select(column(seq, "long").alias("seq"), column(key, "long").alias("key"), column(value, "double").alias("value"), *by), tuple(by))
 
+    @classmethod
+    def hashed(cls, df: DataFrame, key: str, value: str | Column | None = None, seq: str | Column | None = None, by: Sequence[str] = (), seed: int = 0) -> Stream:
+        """Keys of any type that ``hashed`` takes (texts, bytes, floats, integers), as their 64-bit hashes."""
+        return cls.of(hashed(df, key, seed, "_key"), "_key", value, seq, by)
+
     def keys(self) -> DataFrame:
         return self.df.where(F.col("key").isNotNull()).select("seq", "key", *self.by)
 

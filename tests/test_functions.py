@@ -58,6 +58,50 @@ def test_index_sign_and_bits(spark):
     assert [r.v for r in rows] == [float(r.x & H.MASK) for r in rows]
 
 
+def test_bit_lengths_at_every_power(spark):
+    numbers = sorted({x for k in range(64) for x in ((1 << k) - 1, 1 << k, (1 << k) + 1)})
+    rows = spark.createDataFrame([(H.signed(x),) for x in numbers], "x long").select(H.bit_length(F.col("x")).alias("n")).collect()
+    assert [r.n for r in rows] == [x.bit_length() for x in numbers]
+
+
+@pytest.mark.parametrize("kind", ["string", "binary", "double", "float", "boolean", "int"])
+def test_keys_of_other_types(spark, kind):
+    made = {
+        "string": ["", "a", "12345678", "123456789", "é" * 9, "x" * 100, "ab\0", "ab"], "binary": [b"", b"\x00", bytes(range(17)), b"12345678"],
+        "double": [0.0, -0.0, 1.5, math.nan, math.inf, -1e300], "float": [0.0, 0.5, -2.25], "boolean": [True, False], "int": [0, -1, 2**31 - 1],
+    }[kind]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(made)] + [(99, None)], f"i long, `k.x` {kind}").repartition(3)
+    found = {r.i: r.h for r in H.hashed(df.withColumnRenamed("k.x", "k"), "k", 77, "h").collect()}
+    assert found.pop(99) is None
+    assert {i: h & H.MASK for i, h in found.items()} == {i: H.hash_u64(H.stable_key(x), 77) for i, x in enumerate(made)}
+    with pytest.raises(TypeError):
+        H.hashed(spark.range(1).select(F.array("id").alias("k")), "k", 1, "h")
+
+
+def test_streams_of_text_keys(spark):
+    from tallyweave.operators.base import CARDINALITY, Query
+    from tallyweave.operators.cardinality import KMinimumValues
+    from tallyweave.sources.stream import Stream
+
+    df = spark.range(900).select((F.col("id") % 300).cast("string").alias("name"))
+    assert KMinimumValues(1024).estimate(Stream.hashed(df, "name"), Query(CARDINALITY)).first().value == 300
+
+
+def test_process_seed():
+    H._root.clear()
+    with pytest.raises(errors.MissingSeedError):
+        H.required_seed()
+    assert H.set_seed(1337) is H.required_seed() and H.required_seed().derive("data") == 2653695818018004574
+    first = np.random.random()
+    H.set_seed(1337)
+    assert np.random.random() == first
+    a, b = H.Seed(5).generators(2)
+    assert a.random() != b.random() and H.Seed(5).generators(1)[0].random() == H.Seed(5).generators(2)[0].random()
+    for bad in (lambda: H.set_seed("x"), lambda: H.Seed(1).generators(-1)):
+        with pytest.raises(errors.InvalidConfigError):
+            bad()
+
+
 def test_derived_seeds():
     assert H.derive(1337, "data") == 2653695818018004574
     assert H.derive(1, "a") != H.derive(1, "b") != H.derive(2, "b")

@@ -223,7 +223,7 @@ def test_empty_streams(spark):
 
 
 def test_registry_and_guards(stream):
-    assert len(all_sketches()) == 23 == len(all_names()) and spec_of("count_min").mergeable
+    assert len(all_sketches()) == 24 == len(all_names()) and spec_of("count_min").mergeable
     with pytest.raises(errors.InvalidSketchParameterError):
         spec_of("none")
     assert {m.name for m in discover(CARDINALITY, tier=1)} == {"hyper_log_log", "k_minimum_values", "linear_counting", "exact_truncate", "bottom_k"}
@@ -237,6 +237,126 @@ def test_registry_and_guards(stream):
         ExactTruncate().merge(state, state)
     with pytest.raises(errors.MergeTypeError):
         HyperLogLog().merge(HyperLogLog().state(stream), CountMin().state(stream))
+    with pytest.raises(errors.MergeTypeError):
+        HyperLogLog().merge()
+    with pytest.raises(errors.MergeTypeError):
+        HyperLogLog().estimate(HyperLogLog().state(stream).select(F.col("idx").alias("x"), F.col("idx").alias("rho")), Query(CARDINALITY))
+
+
+@pytest.mark.parametrize("name", sorted(n for n in all_sketches() if all_sketches()[n].mergeable))
+def test_states_merge_with_their_like_only(spark, stream, name, tmp_path):
+    """A state knows its sketch, through Parquet and through bytes; another size, seed or update rule is an error."""
+    kind = all_sketches()[name]
+    sketch, lo = kind(seed=1), kind.axis_range[0]
+    state = sketch.state(stream)
+    state.write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    merged = sketch.merge(stored, state)
+    assert sorted(merged.columns) == sorted(state.columns) and sketch.checked(merged) is merged
+    others = [kind(lo, seed=1), kind(seed=2), *([kind(seed=1, as_written=True)] if "as_written" in vars(sketch) else [])]
+    for other in others:
+        with pytest.raises(errors.MergeTypeError):
+            sketch.merge(stored, other.state(stream))
+        with pytest.raises(errors.MergeTypeError):
+            other.estimate(stored, Query(kind.query_types[0], key=1))
+    with pytest.raises(errors.MergeTypeError):
+        sketch.merge(stored, state.select(*(F.col(c).alias(c, metadata={}) for c in state.columns)))
+    if name == "native_top_k":  # its state holds structs
+        return
+    payload = sketch.serialize(stored)
+    back = sketch.deserialize(payload, spark)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(back) == rows(stored) and sketch.serialize(sketch.merge(back)) is not None
+    for other in (others[0], others[1], HyperLogLog(5) if name != "hyper_log_log" else CountMin(5)):
+        with pytest.raises(errors.SerializationError):
+            other.deserialize(payload, spark)
+    for bad in (payload[:-3], b"", payload.replace(b"columns", b"colunms")):
+        with pytest.raises(errors.SerializationError):
+            sketch.deserialize(bad, spark)
+    assert kind.slots(sketch.size, 2_000) > 0
+
+
+def test_written_rules_that_depend_on_order_do_not_merge(stream):
+    for sketch in (EqualWidthHistogram(as_written=True), ReservoirQuantile(as_written=True), CentroidDigest(as_written=True), SpaceSavingTop(as_written=True), ConservativeCountMin()):
+        state = sketch.state(stream)
+        with pytest.raises(errors.MergeUnsupportedError):
+            sketch.merge(state, state)
+    for sketch in (CountSketch(6, as_written=True), ConservativeCountMin(6, as_written=True)):
+        state = sketch.state(stream)
+        assert sketch.merge(state, state).agg(F.sum(F.abs("n"))).first()[0] == 2 * state.agg(F.sum(F.abs("n"))).first()[0]
+
+
+@pytest.mark.parametrize("sketch", [SpaceSavingTop(5), MisraGriesTop(5), CentroidDigest(7)], ids=repr)
+def test_merged_summaries_keep_their_bounds(frame, arrays, sketch):
+    """Three states merged in two ways, and summaries by group: within the bounds of the whole."""
+    keys, values = arrays
+    states = [sketch.state(Stream(frame.where(F.col("seq") % 3 == i).select("seq", "key", "value"))) for i in range(3)]
+    grouped = sketch.state(Stream(frame, by=("g",)))
+    for merged, kept in ((sketch.merge(*states), slice(None)), (sketch.merge(sketch.merge(states[2], states[0]), states[1]), slice(None)), (sketch.merge(grouped, by=("g",)).where("g = 'b'"), slice(1, None, 2))):
+        if isinstance(sketch, CentroidDigest):
+            v = values[kept]
+            assert merged.agg(F.sum("weight")).first()[0] == len(v) and merged.count() <= 128
+            for q in (0.01, 0.3, 0.5, 0.99):
+                found = value(sketch.answer(merged, Query(QUANTILE, q=q), ()))
+                assert abs((v <= found).mean() - q) < 0.02
+            continue
+        truth, n = Counter(keys[kept].tolist()), len(keys[kept])
+        rows = {r.key: r["count"] for r in merged.collect()}
+        assert 0 < len(rows) <= 32
+        sign = 1 if isinstance(sketch, SpaceSavingTop) else -1
+        assert all(0 <= sign * (c - truth[k]) <= n / 31 for k, c in rows.items())
+        assert all(k in rows for k, c in truth.items() if c > n / 16)
+
+
+def test_many_groups_are_passed_on_in_parts(spark, monkeypatch):
+    from tallyweave.operators import ordered
+
+    monkeypatch.setattr(ordered, "MOST_GROUPS", 3)
+    df = spark.range(2000).select(F.col("id").alias("seq"), (F.col("id") % 7).alias("key"), F.col("id").cast("double").alias("value"), F.when(F.col("id") % 50 > 0, (F.col("id") % 50).cast("string")).alias("g"))
+    found = SpaceSavingTop(6).state(Stream(df, by=("g",)))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, df.groupBy("g", "key").count().collect()), key=str)
+
+
+def test_merged_histogram_bins_anew(frame, arrays):
+    _, values = arrays
+    sketch = EqualWidthHistogram(256)
+    parts = [sketch.state(Stream(frame.where(c).select("seq", "key", "value"))) for c in (F.col("value") < 8, F.col("value").between(8, 9), F.col("value") > 9)]
+    merged = sketch.merge(parts[0], sketch.merge(parts[1], parts[2]))
+    width = (values.max() - values.min()) / 256
+    assert merged.agg(F.sum("n")).first()[0] == N
+    for q in (0.05, 0.5, 0.95):
+        assert abs(value(sketch.estimate(merged, Query(QUANTILE, q=q))) - np.quantile(values, q)) < 3 * width
+
+
+def test_native_count_min_is_read_as_spark_reads_it(spark, frame, stream, arrays):
+    from pyspark import SparkContext
+
+    from tallyweave.operators.frequency import NativeCountMin
+
+    keys, _ = arrays
+    sketch, state = NativeCountMin(6, seed=9), NativeCountMin(6, seed=9).state(stream)
+    raw = bytes(state.first().sketch)
+    theirs = SparkContext._active_spark_context._jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(bytearray(raw))
+    asked = spark.createDataFrame([(int(k),) for k in np.unique(keys)] + [(2**62 + 12345,), (-(2**61),), (None,)], "key long")
+    found = {r.key: r.value for r in sketch.lookup(state, asked).collect()}
+    assert found == {k: theirs.estimateCount(k) for k in found} and len(found) == len(np.unique(keys)) + 2
+    assert all(found[k] >= n for k, n in Counter(keys.tolist()).items())
+    parts = [sketch.state(Stream(frame.where(F.col("seq") % 2 == i).select("seq", "key", "value"))) for i in (0, 1)]
+    assert bytes(sketch.merge(*parts).first().sketch) == raw
+    by = sketch.state(Stream(frame, by=("g",)))
+    halves = sketch.lookup(by, asked.crossJoin(spark.createDataFrame([("a",), ("b",)], "g string")), ("g",)).groupBy("key").agg(F.sum("value").alias("n"))
+    assert all(r.n >= Counter(keys.tolist())[r.key] for r in halves.collect())
+
+
+def test_exact_quantiles_by_brackets(spark, monkeypatch):
+    monkeypatch.setattr(exact, "KEPT", 50)
+    monkeypatch.setattr(exact, "ACCURACY", 100)
+    rng = np.random.default_rng(8)
+    for values in (rng.normal(size=20_000), np.where(rng.random(20_000) < 0.6, 1.5, rng.normal(size=20_000)), np.full(3_000, 2.0), rng.integers(0, 5, 9_000).astype(float), np.array([3.0]), np.array([1.0, 2.0])):
+        s = Stream(spark.createDataFrame([(i, None, float(v)) for i, v in enumerate(values)], "seq long, key long, value double").repartition(3))
+        for q in (0.0, 0.013, 0.5, 0.77, 1.0):
+            assert value(exact.quantile(s, q)) == pytest.approx(np.quantile(values, q), rel=1e-12)
+    assert value(exact.quantile(Stream(s.df.limit(0)), 0.5)) is None
 
 
 def test_codec(stream):
@@ -250,7 +370,7 @@ def test_codec(stream):
     with pytest.raises(errors.SerializationError):
         pack("x", {}, {"a": np.array([1j])})
     blob = pack_rows("kmv", {"k": 64}, KMinimumValues(64).state(stream))
-    assert len(unpack(blob)[2]["h"]) == 64
+    assert len(unpack(blob)[2]["v.h"]) == 64
     check_size(blob, len(blob))
     with pytest.raises(errors.IndistinguishableBudgetError):
         check_size(blob, 2 * len(blob))

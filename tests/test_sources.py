@@ -1,12 +1,14 @@
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave import errors
 from tallyweave.sources import files
-from tallyweave.sources.generate import KINDS, StreamSpec, arrays, generate, generate_native
+from tallyweave.sources.generate import KINDS, StreamSpec, arrays, generate, generate_native, zipf_cdf
 
 
 @pytest.mark.parametrize("kind", KINDS)
@@ -22,15 +24,27 @@ def test_streams_repeat(spark, kind):
     assert np.allclose([r.value for r in one], np.log1p(np.abs([r.key for r in one])) + 0.25 * np.sin(np.array([r.key for r in one]) * 0.017))
 
 
+@pytest.mark.parametrize("alpha", [0.7, 1.0, 1.1, 1.5, 2.5])
+@pytest.mark.parametrize("domain", [1, 50, 3_000])
+def test_native_zipf_has_its_shares(spark, alpha, domain):
+    n = 40_000
+    keys = np.array([r.key for r in generate_native(spark, StreamSpec("zipf", n, domain, 5, zipf_alpha=alpha)).select("key").collect()])
+    assert keys.min() >= 0 and keys.max() < domain
+    cdf = zipf_cdf(domain, alpha)
+    for cut in (1, 2, 10, 60, 64, 65, 100, 1_000):
+        if cut <= domain:
+            assert abs((keys < cut).mean() - cdf[cut - 1]) < 4 * np.sqrt(0.25 / n)
+
+
 def test_native_draws_have_the_shape(spark):
     n = 20_000
-    for kind in ("uniform", "zipf", "pareto"):
+    for kind in ("uniform", "pareto", "drift_abrupt", "drift_gradual", "gmm"):
         spec = StreamSpec(kind, n, 1000, 5, zipf_alpha=1.2)
         native = np.array([r.key for r in generate_native(spark, spec).select("key").collect()])
         drawn = arrays(spec)[0]
-        assert native.min() >= 0 and native.max() < 1000
-        for cut in (1, 10, 100):
-            assert abs((native < cut).mean() - (drawn < cut).mean()) < 0.12
+        assert native.min() >= 0 and native.max() <= drawn.max() + 11_000
+        for cut in () if kind == "gmm" else (1, 10, 100, 1_000, 1_500):  # mixtures differ by their drawn centres
+            assert abs((native < cut).mean() - (drawn < cut).mean()) < 0.02
 
 
 def test_seeds_differ():
@@ -58,6 +72,25 @@ def test_files(spark, tmp_path):
     assert files.describe(files.load(spark, str(tmp_path / "a.csv"))) == {"kind": "uniform", "n": 2, "domain": 2, "value_dist": "loaded"}
 
 
+@pytest.mark.parametrize("kind", ["csv", "jsonl", "parquet"])
+def test_seq_is_the_files_order(spark, tmp_path, kind):
+    """Files by name, whatever their sizes (Spark packs the largest first), each in its own order, without gaps."""
+    expected = []
+    (tmp_path / kind).mkdir()
+    for f, n in enumerate((3, 4_000, 50, 1)):
+        rows = [(10_000 * f + i, float(i)) for i in range(n)]
+        expected += rows
+        path = tmp_path / kind / f"part-{f}.{kind}"
+        if kind == "csv":
+            path.write_text("key,value\n" + "".join(f"{k},{v}\n" for k, v in rows))
+        elif kind == "jsonl":
+            path.write_text("".join(json.dumps({"key": k, "value": v}) + "\n" for k, v in rows))
+        else:
+            pq.write_table(pa.table({"key": [k for k, _ in rows], "value": [v for _, v in rows]}), path)
+    found = files.load(spark, str(tmp_path / kind), fmt=kind).orderBy("seq").collect()
+    assert [(r.key, r.value) for r in found] == expected and [r.seq for r in found] == list(range(len(expected)))
+
+
 def test_bad_files(spark, tmp_path):
     (tmp_path / "only.csv").write_text("only\n1\n")
     (tmp_path / "words.csv").write_text("key,value\na,1\n")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave import errors
 from tallyweave.operators import folds
 from tallyweave.operators.base import CARDINALITY, Query
 from tallyweave.operators.bottom_k import BottomK
@@ -25,9 +26,25 @@ def test_running_state_equals_batch(spark, files, tmp_path, sketch):
     source = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 2).parquet(files).select("seq", "key", "value")
     query = source.writeStream.foreachBatch(running.update).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert running.newest >= 2
+    assert running.versions(spark)[-1] >= 2 and len(running.versions(spark)) == 2
     batch = sketch.estimate(Stream(whole.select("seq", "key", "value")), Query(CARDINALITY)).first().value
     assert running.estimate(spark, Query(CARDINALITY)).first().value == batch
+    # A new object on the same folder goes on from there; a batch that is run again changes nothing.
+    again = RunningSketch(sketch, str(tmp_path / "state"))
+    assert again.estimate(spark, Query(CARDINALITY)).first().value == batch
+    last = again.versions(spark)[-1]
+    more = spark.range(5000, 5400).select(F.col("id").alias("seq"), F.col("id").alias("key"), F.lit(0.5).alias("value"))
+    for _ in range(2):
+        again.update(more, last + 1)
+        all_rows = whole.select("seq", "key", "value").unionByName(more)
+        assert RunningSketch(sketch, str(tmp_path / "state")).estimate(spark, Query(CARDINALITY)).first().value == sketch.estimate(Stream(all_rows), Query(CARDINALITY)).first().value
+    nothing = RunningSketch(sketch, str(tmp_path / "none"))
+    with pytest.raises(errors.EstimateUnavailableError):
+        nothing.estimate(spark, Query(CARDINALITY))
+    with pytest.raises(errors.EstimateUnavailableError):
+        nothing.update(more, 3)
+    with pytest.raises(errors.MergeTypeError):
+        RunningSketch(type(sketch)(sketch.size, seed=77), str(tmp_path / "state")).update(more, last + 2)
 
 
 def test_windows(spark, files, tmp_path):

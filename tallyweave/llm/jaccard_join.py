@@ -41,6 +41,8 @@ from . import common
 FREQUENT, FREQUENT_FROM = 4_000_000, 16
 #: Sets that a task joins with each other, and shingles in them, at most (on average, where parts are dealt by hash).
 GROUP, GROUP_SHINGLES = 256, 2_000_000
+#: Groups of several parts whose numbers of parts are broadcast.
+MOST_BROADCAST = 1_000_000
 #: Entries of a list that a task holds at once.
 LONG_LIST = 500_000
 #: Sets whose overlaps are kept to derive others from.
@@ -306,6 +308,8 @@ def jaccard_classes(docs: DataFrame, *, width: int = 3, percent: int = 90, id_co
 
     pairs = common.materialize(candidate_groups(reps, percent), "groups")
     sizes = pairs.groupBy("anchor").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts"))
+    large = common.materialize(sizes.where("parts > 1"), "large")
+    large = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
     wanted = pairs.groupBy("rep").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))  # a representative's lists: no more than its prefix
     wanted = common.materialize(wanted.join(reps.select("rep", "sign", "first", "copies"), "rep"), "wanted")
     # A filter of fixed size spares texts that are no candidate's; the join on the signature decides.
@@ -327,9 +331,11 @@ def jaccard_classes(docs: DataFrame, *, width: int = 3, percent: int = 90, id_co
     full = slots.mapInArrow(again, "doc long, sign binary, text binary")
     full = full.join(wanted.withColumnRenamed("sign", "s"), (F.col("sign") == F.col("s")) & F.col("doc").eqNullSafe(F.col("first"))).select("rep", "anchors", "copies", "text").dropDuplicates(["rep"])
 
-    dealt = full.withColumn("anchor", F.explode("anchors")).join(sizes, "anchor").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = full.withColumn("anchor", F.explode("anchors")).join(large, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other"))
-    joined = dealt.select("anchor", "left", "right", "part", "rep", "copies", "anchors", "text").groupBy("anchor", "left", "right").applyInArrow(lambda t: _join_group(t, width, percent), "rep long, root long, links long")
+    # Dealt by all three columns: what is dealt by the anchor alone would keep a group's parts in one task.
+    dealt = dealt.select("anchor", "left", "right", "part", "rep", "copies", "anchors", "text").repartition("anchor", "left", "right")
+    joined = dealt.groupBy("anchor", "left", "right").applyInArrow(lambda t: _join_group(t, width, percent), "rep long, root long, links long")
     links = common.materialize(joined, "links")
 
     roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))

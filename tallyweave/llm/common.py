@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -24,10 +26,19 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _kept: dict = {}
 
 
+def let_go() -> None:
+    """Give up what this worker keeps of earlier operators, and memory that is free but still held, to the system."""
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept_memo(key: object, make):
     """A worker's memo under ``key``, made by ``make`` if there is none; memos of other operators are let go."""
     if key not in _kept:
-        _kept.clear()
+        let_go()
         _kept[key] = make()
     return _kept[key]
 
@@ -159,7 +170,7 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
 
     For operators that keep no memo: those that others kept in this worker are let go.
     """
-    _kept.clear()
+    let_go()
     for batch in batches:
         if batch.num_rows:
             rows = max(1, batch.num_rows * most_bytes // max(batch.nbytes, 1))

@@ -41,8 +41,10 @@ from . import common
 FREQUENT, FREQUENT_FROM = 4_000_000, 16
 #: Sets that a task joins with each other, and shingles in them, at most (on average, where parts are dealt by hash).
 GROUP, GROUP_SHINGLES = 256, 2_000_000
-#: Groups of several parts whose numbers of parts are broadcast.
+#: Groups of several parts, and nodes of many edges, that are broadcast.
 MOST_BROADCAST = 1_000_000
+#: Edges from which a node is one of many.
+HUB = 500
 #: Entries of a list that a task holds at once.
 LONG_LIST = 500_000
 #: Sets whose overlaps are kept to derive others from.
@@ -279,16 +281,24 @@ def _join_group(table: pa.Table, width: int, percent: int) -> pa.Table:
     return pa.table([pa.array(reps[at]), pa.array(reps[root[at]]), pa.array(links[at])], ["rep", "root", "links"])
 
 
+def _beside_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges (a, b) with m of their a. A node of many edges meets its m where its edges are, not in one task."""
+    hubs = F.broadcast(low.where(F.col("degree") > HUB).orderBy(F.desc("degree"), "a").limit(MOST_BROADCAST).select("a", F.col("m").alias("hub_m")))
+    met = edges.join(hubs, "a", "left")
+    plain = met.where(F.col("hub_m").isNull()).select("a", "b").join(low.select("a", "m"), "a")
+    return met.where(F.col("hub_m").isNotNull()).select("a", "b", F.col("hub_m").alias("m")).unionByName(plain)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of the edges (a, b), by large-star and small-star rounds."""
     edges = common.materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.greatest("b", "m").alias("x"), "m", "a")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree"))
+        large = _beside_low(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        small = _beside_low(large, low).select(F.greatest("b", "m").alias("x"), "m", "a")
         small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         edges = common.materialize(small, "edges")
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()

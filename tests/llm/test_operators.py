@@ -176,6 +176,7 @@ def test_jaccard_components(spark, docs, empty, monkeypatch, group):
     monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", 2_000 if group == 3 else jaccard_join.GROUP_SHINGLES)
     monkeypatch.setattr(jaccard_join, "LONG_LIST", 8 if group == 3 else jaccard_join.LONG_LIST)
     monkeypatch.setattr(jaccard_join, "FREQUENT", 20 if group == 16 else jaccard_join.FREQUENT)
+    monkeypatch.setattr(jaccard_join, "HUB", 4 if group == 16 else jaccard_join.HUB)
     monkeypatch.setattr(jaccard_join, "FREQUENT_FROM", 3)
     made = [(r[0], r[1]) for r in rows()] + near_copies()
     sets, linked, root = brute_links([t for _, t in made])
@@ -502,6 +503,67 @@ def test_lm_scores(docs, empty):
     assert {r.train_tokens for r in untrained} == {0} and all(r.n_known == 0 for r in untrained)
 
 
+def test_lm_scores_against_a_plain_model(spark, docs, monkeypatch):
+    """The scores are those of the fitted parameters, word by word; in any context the probabilities of all tokens add up to one."""
+    made, real = [], lm_score.fit_units
+    monkeypatch.setattr(lm_score, "fit_units", lambda *a, **o: made.append(real(*a, **o)) or made[-1])
+    train = common.fold(F.col("doc_id"), 10) != 0
+    found = lm_score.lm_scores(docs, train, heads=8, buckets=4, vocabulary=60, size=6).collect()
+    units, total, distinct = made[0]
+    model = units.model
+    c = Counter()
+    for r in rows():
+        if zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 10:
+            c.update(WORD.findall(low(r[1])))
+            c[" "] += 1
+    assert (sum(c.values()), len(c)) == (total, distinct) and len(units.words) == 60
+    assert all(n == c[w.decode()] for w, n in zip([*model.heads, *units.words], units.counts, strict=True))
+
+    def log_p(u, v, word):
+        """Of a word after the units u, v; None is a bucket's unknown token (then ``word`` is (None, bucket))."""
+        unknown = isinstance(word, tuple)
+        w = units.first_rest + word[1] if unknown else units.unit_of(word.encode())
+        k = units.class_of_unit
+        out = float(model.table[k[u], k[v], k[w]])
+        if (bucket := units.bucket_of[w]) >= 0:
+            r = units.far * units.R[u] + units.near * units.R[v]
+            scores = {m: float(r @ units.Q[m] + units.b[m]) for m in np.flatnonzero(units.bucket_of == bucket).tolist()}
+            out += scores[w] - math.log(sum(map(math.exp, scores.values())))
+        if w >= units.first_rest:
+            i = w - units.first_rest
+            n = 0 if unknown else c[word]
+            out += math.log((n if n else units.once[i]) / (units.rest[i] + units.once[i]))
+        return out
+
+    rng = np.random.default_rng(1)
+    for _ in range(4):
+        u, v = rng.integers(0, units.start + 1, 2)
+        assert sum(math.exp(log_p(u, v, w)) for w in [*c, *((None, b) for b in range(4))]) == pytest.approx(1, abs=1e-4)
+    expected = []
+    for r in rows():
+        u = v = units.start
+        score = 0.0
+        for word in [*WORD.findall(low(r[1])), " "]:
+            score += log_p(u, v, word) / math.log(10)
+            u, v = v, units.unit_of(word.encode())
+        expected.append(((r[0] is not None, r[0] or 0), score))
+    got = sorted(((r.doc_id is not None, r.doc_id or 0), r.score) for r in found)
+    assert [k for k, _ in got] == [k for k, _ in sorted(expected)]
+    assert [x for _, x in got] == pytest.approx([x for _, x in sorted(expected)], rel=1e-4)
+
+
+def test_units_learn_from_their_contexts(spark):
+    """Held-out text whose words depend on the one before, within classes: far better than the base and than counts by class."""
+    rng = np.random.default_rng(5)
+    pairs = {f"{a}xxx": [f"{b}yyy" for b in rng.choice(list("abcdefghijklmnop"), 2, replace=False)] for a in "abcdefghijklmnop"}
+    made = [(i, " ".join(f"{a} {pairs[a][int(rng.integers(0, 2))]}" for a in rng.choice(list(pairs), 40))) for i in range(1500)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(2)
+    held_out = common.fold(F.col("doc_id"), 10) == 0
+    score, base, _ = lm_score.lm_scores(df, ~held_out, heads=1, buckets=3, vocabulary=100, size=12).where(held_out).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    # One of 16 words, then one of two: an ideal model needs log10(16) + log10(2) for two words, which is half of the base.
+    assert score > 0.65 * base
+
+
 def test_log_bilinear_is_normalised_and_learns():
     rng = np.random.default_rng(0)
     model = lm_score.LogBilinear([b" ", b"a", b"b"], 1, {}, 8)

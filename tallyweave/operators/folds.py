@@ -222,6 +222,69 @@ class LossyCounting(Counters):
         self.error = {k: self.error[k] for k in kept}
 
 
+class MergingLossy:
+    """Lossy counting over batches in any order: ``missed`` is what a key that isn't kept may have been counted, a
+    whole number of buckets of ``width`` items; keys whose count and error don't pass it are dropped. Parts add up.
+    """
+
+    def __init__(self, width: int):
+        self.width, self.seen, self.missed = width, 0, 0
+        self.counts: dict[int, tuple[int, int]] = {}
+
+    def add_any_order(self, items: np.ndarray) -> None:
+        keys, n = np.unique(np.asarray(items, np.int64), return_counts=True)
+        self.seen += len(items)
+        for k, m in zip(keys.tolist(), n.tolist(), strict=True):
+            count, error = self.counts.get(k, (0, self.missed))
+            self.counts[k] = (count + m, error)
+        self.prune(self.seen // self.width)
+
+    def prune(self, missed: int) -> None:
+        self.missed = missed
+        self.counts = {k: (n, e) for k, (n, e) in self.counts.items() if n + e > missed}
+
+    def merge(self, other: dict[int, tuple[int, int]], missed: int) -> None:
+        mine = self.missed
+        self.counts = {k: tuple(a + b for a, b in zip(self.counts.get(k, (0, mine)), other.get(k, (0, missed)), strict=True)) for k in {*self.counts, *other}}
+        self.prune(mine + missed)
+
+    def rows(self) -> list[tuple]:
+        """(key, count, error, missed); a row without a key where no key is kept."""
+        return [(k, n, e, self.missed) for k, (n, e) in sorted(self.counts.items())] or [(None, 0, 0, self.missed)]
+
+
+class MergingTable:
+    """A count-min sketch beside the ``width`` keys of largest estimates, over batches in any order. Cells and tables add up."""
+
+    def __init__(self, width: int, seed: int, depth: int = 4, tag: str = "cmh"):
+        self.width, self.seeds = width, [derive(seed, f"{tag}:{r}") for r in range(depth)]
+        self.cells = np.zeros((depth, width), np.int64)
+        self.keys = np.empty(0, np.int64)
+
+    def estimates(self, keys: np.ndarray) -> np.ndarray:
+        return np.min([c[self._at(keys, s)] for c, s in zip(self.cells, self.seeds, strict=True)], axis=0)
+
+    def _at(self, keys: np.ndarray, seed: int) -> np.ndarray:
+        return (hash_array_u64(keys, seed) & np.uint64(self.width - 1)).astype(np.int64)
+
+    def add_any_order(self, items: np.ndarray) -> None:
+        keys, n = np.unique(np.asarray(items, np.int64), return_counts=True)
+        for c, s in zip(self.cells, self.seeds, strict=True):
+            np.add.at(c, self._at(keys, s), n)
+        self.keep(keys)
+
+    def keep(self, keys: np.ndarray) -> None:
+        keys = np.union1d(self.keys, keys)
+        self.keys = keys[np.lexsort((keys, -self.estimates(keys)))[: self.width]] if len(keys) else keys
+
+    def rows(self) -> list[tuple]:
+        """(cell, key, count): the cells that hold something, then the keys with their estimates and no cell."""
+        flat = self.cells.ravel()
+        at = np.flatnonzero(flat)
+        found = [(int(i), None, n) for i, n in zip(at.tolist(), flat[at].tolist(), strict=True)]
+        return found + [(None, k, n) for k, n in zip(self.keys.tolist(), self.estimates(self.keys).tolist(), strict=True)] if len(self.keys) else found
+
+
 class SketchAndTable(Counters):
     """A count-min sketch beside a table of candidate keys.
 
@@ -262,6 +325,18 @@ class ConservativeUpdate:
         self.seeds = [derive(seed, f"row:{r}") for r in range(depth)]
         self.cells = np.zeros((depth, self.width), np.int64)
 
+    def add_any_order(self, items: np.ndarray) -> None:
+        """A key's occurrences at once: its cells rise to its smallest cell plus their number."""
+        keys, n = np.unique(np.asarray(items, np.int64), return_counts=True)
+        rows = np.arange(len(self.seeds))
+        for at, m in zip(self.places(keys).T, n.tolist(), strict=True):
+            cells = self.cells[rows, at]
+            self.cells[rows, at] = np.maximum(cells, cells.min() + m)
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        row, idx = self.cells.nonzero()
+        return list(zip(row.tolist(), idx.tolist(), self.cells[row, idx].tolist(), strict=True))
+
     def places(self, items: np.ndarray) -> np.ndarray:
         return np.stack([(hash_array_u64(np.asarray(items, np.int64), s) & np.uint64(self.width - 1)).astype(np.int64) for s in self.seeds])
 

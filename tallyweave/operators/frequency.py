@@ -15,7 +15,7 @@ from ..functions.hashing import hashed
 from ..sources.stream import Stream, grouped
 from . import folds
 from .base import FREQUENCY, Query, Sketch, register
-from .ordered import in_order
+from .ordered import by_partition, in_order
 
 
 class _Cells(Sketch):
@@ -72,26 +72,40 @@ class CountMin(_Cells):
 
 @register
 class ConservativeCountMin(CountMin):
-    """Count-min with conservative update. The update reads other cells, so it is a fold in order.
+    """Count-min with conservative update, never above plain count-min and never below the truth.
 
-    ``as_written`` is the rule whose cells equal plain count-min's, as the same aggregation.
+    The update reads other cells: partitions make cells of their own, which add up and keep both bounds.
+    ``in_order`` is one fold in the order of arrival; ``as_written`` the rule whose cells equal plain count-min's.
     """
 
-    name, mergeable, order_free = "conservative_count_min", False, False
+    name, mergeable, order_free = "conservative_count_min", True, False
 
-    def merges(self) -> bool:
-        return self.as_written
-
-    def __init__(self, size: int | None = None, *, seed: int = 0, as_written: bool = False):
+    def __init__(self, size: int | None = None, *, seed: int = 0, as_written: bool = False, in_order: bool = False):
         super().__init__(size, seed=seed)
-        self.as_written = as_written
+        self.as_written, self.in_order = as_written, in_order
+
+    def label(self) -> str:
+        return super().label() + (" in order" if self.in_order else "")
+
+    def merges(self) -> bool:
+        return not self.in_order
 
     def state(self, s: Stream) -> DataFrame:
         if self.as_written:
             return super().state(s)
         size, seed, depth = self.size, self.seed, self.depth
-        rows = lambda f: [(r, int(i), int(f.cells[r, i])) for r in range(depth) for i in f.cells[r].nonzero()[0]]
-        return in_order(s.keys(), "key", s.by, lambda: folds.ConservativeUpdate(size, seed, depth), rows, "row long, idx long, n long")
+        make, rows, schema = lambda: folds.ConservativeUpdate(size, seed, depth), lambda f: f.rows(), "row long, idx long, n long"
+
+        def add(parts: list[list[tuple]]) -> list[tuple]:
+            one = make()
+            for part in parts:
+                row, idx, n = (np.array(c) for c in zip(*part, strict=True))
+                one.cells[row, idx] += n
+            return one.rows()
+
+        if self.in_order:
+            return in_order(s.keys(), "key", s.by, make, rows, schema)
+        return by_partition(s.keys(), "key", s.by, make, rows, add, schema)
 
 
 @register

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ _ROWS = "key long, count long"
 
 
 class _Folded(Sketch):
-    """By default mergeable summaries of partitions where the method has them; ``as_written`` is a fold in order."""
+    """By default mergeable summaries of partitions; ``as_written`` is a fold in order."""
 
     query_types, order_free = (HEAVY_HITTERS,), False
     axis, default = "width_power", 12
@@ -30,19 +31,23 @@ class _Folded(Sketch):
         raise NotImplementedError
 
     def merged(self):
-        return None
+        """A function that makes one listing of those of several parts."""
+        raise NotImplementedError
+
+    def rows_schema(self) -> str:
+        return _ROWS
 
     def state(self, s: Stream) -> DataFrame:
         rows = lambda f: f.rows()
-        if self.as_written or self.merged() is None:
+        if self.as_written:
             return in_order(s.keys(), "key", s.by, self.fold(), rows, _ROWS)
-        return by_partition(s.keys(), "key", s.by, self.fold(), rows, self.merged(), _ROWS)
+        return by_partition(s.keys(), "key", s.by, self.fold(), rows, self.merged(), self.rows_schema())
 
     def union(self, states: list[DataFrame]) -> DataFrame:
         return numbered(states)
 
     def combine(self, state: DataFrame, by: tuple[str, ...]) -> DataFrame:
-        return merge_parts(state, by, self.merged(), _ROWS).drop("_part")
+        return merge_parts(state, by, self.merged(), self.rows_schema()).drop("_part")
 
     def answer(self, state: DataFrame, query: Query, by: tuple[str, ...]) -> DataFrame:
         return top(state, query.top_k, by)
@@ -101,20 +106,63 @@ class MisraGriesTop(_Folded):
 
 @register
 class LossyCountingTop(_Folded):
-    name, axis_range = "lossy_counting", (6, 20)
+    """Counts are lower bounds, too low by ``error``; a key that isn't kept occurred ``missed`` times at most, n / 2**width_power."""
+
+    name, mergeable = "lossy_counting", True
+    axis_range = (6, 20)
 
     def fold(self):
-        width, written = 1 << self.size, self.as_written
-        return lambda: folds.LossyCounting(width, written)
+        width = 1 << self.size
+        return (lambda: folds.LossyCounting(width, True)) if self.as_written else lambda: folds.MergingLossy(width)
+
+    def rows_schema(self) -> str:
+        return _ROWS if self.as_written else f"{_ROWS}, error long, missed long"
+
+    def merged(self):
+        width = 1 << self.size
+
+        def merge(parts):
+            one = folds.MergingLossy(width)
+            for part in parts:
+                one.merge({k: (n, e) for k, n, e, _ in part if k is not None}, part[0][3])
+            return one.rows()
+
+        return merge
+
+    def answer(self, state: DataFrame, query: Query, by: tuple[str, ...]) -> DataFrame:
+        return top(state.where(F.col("key").isNotNull()).select(*by, "key", "count"), query.top_k, by)
 
 
 @register
 class SketchAndTableTop(_Folded):
-    name, axis_range = "sketch_and_table", (6, 20)
+    """Estimates of a count-min sketch, never below the truth, for the keys of the largest ones."""
+
+    name, mergeable = "sketch_and_table", True
+    axis_range = (6, 20)
 
     def fold(self):
-        width, seed, written = 1 << self.size, self.seed, self.as_written
-        return lambda: folds.SketchAndTable(width, seed, written)
+        width, seed = 1 << self.size, self.seed
+        return (lambda: folds.SketchAndTable(width, seed, True)) if self.as_written else lambda: folds.MergingTable(width, seed)
+
+    def rows_schema(self) -> str:
+        return _ROWS if self.as_written else f"cell long, {_ROWS}"
+
+    def merged(self):
+        width, seed = 1 << self.size, self.seed
+
+        def merge(parts):
+            one = folds.MergingTable(width, seed)
+            for part in parts:
+                at = np.array([c for c, _, _ in part if c is not None], np.int64)
+                one.cells.ravel()[at] += np.array([n for c, _, n in part if c is not None], np.int64)
+            one.keep(np.array([k for part in parts for c, k, _ in part if c is None], np.int64))
+            return one.rows()
+
+        return merge
+
+    def answer(self, state: DataFrame, query: Query, by: tuple[str, ...]) -> DataFrame:
+        kept = state if self.as_written else state.where(F.col("cell").isNull())
+        return top(kept.select(*by, "key", "count"), query.top_k, by)
 
 
 @register

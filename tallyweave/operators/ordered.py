@@ -36,10 +36,14 @@ def in_order(df: DataFrame, column: str, by: tuple[str, ...], make: Callable[[],
         return pa.table([*group, *(pa.array(c) for c in zip(*found, strict=True))], [*by, *columns]) if found else pa.table([pa.array([], table[n].type) for n in by] + [pa.array([], t) for t in types], [*by, *columns])
 
     columns = [c.split()[0] for c in schema.split(", ")]
-    types = [{"long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")]
+    types = _types(schema)
     return kept.groupBy(*keys).applyInArrow(fold, f"{kinds}, {schema}" if by else schema)
 
 
+def _types(schema: str) -> list[pa.DataType]:
+    return [{"long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")]
+
+
 def _kinds(df: DataFrame, by: tuple[str, ...]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in by)
 
@@ -66,7 +70,7 @@ def by_partition(df: DataFrame, column: str, by: tuple[str, ...], make: Callable
     no task reads more summaries of a group than the square root of the number of partitions. A task holds
     ``MOST_GROUPS`` groups at once; those it has summarised so far are passed on when there are more.
     """
-    names, width = [c.split()[0] for c in schema.split(", ")], len(by)
+    names, types, width = [c.split()[0] for c in schema.split(", ")], _types(schema), len(by)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -80,7 +84,7 @@ def by_partition(df: DataFrame, column: str, by: tuple[str, ...], make: Callable
             at += 1
             if found:
                 columns = list(zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=False)), pa.array(columns[width], pa.int64()), *(pa.array(c) for c in columns[width + 1 :])], [*by, "_part", *names])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=False)), pa.array(columns[width], pa.int64()), *(pa.array(c, t) for c, t in zip(columns[width + 1 :], types, strict=True))], [*by, "_part", *names])
 
         for batch in batches:
             if not batch.num_rows:
@@ -107,7 +111,7 @@ def numbered(states: list[DataFrame]) -> DataFrame:
 
 def merge_parts(parts: DataFrame, by: tuple[str, ...], merged: Callable[[list[list[tuple]]], list[tuple]], schema: str, into: int = 1) -> DataFrame:
     """(by, _part, columns): ``into`` summaries of each group instead of those that ``_part`` tells apart."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    names, types = [c.split()[0] for c in schema.split(", ")], _types(schema)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         held: dict[int, list[tuple]] = {}
@@ -115,6 +119,6 @@ def merge_parts(parts: DataFrame, by: tuple[str, ...], merged: Callable[[list[li
             held.setdefault(part, []).append(tuple(row))
         found = merged([held[k] for k in sorted(held)])
         group = [pa.array([k.as_py()] * len(found), table[c].type) for k, c in zip(key, by, strict=False)]
-        return pa.table([*group, pa.array([key[-1].as_py()] * len(found), pa.int64()), *(pa.array(c) for c in zip(*found, strict=True))], [*by, "_part", *names])
+        return pa.table([*group, pa.array([key[-1].as_py()] * len(found), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))], [*by, "_part", *names])
 
     return parts.withColumn("_to", F.pmod("_part", F.lit(into))).groupBy(*by, "_to").applyInArrow(merge, f"{_kinds(parts, by)}_part long, {schema}")

@@ -54,13 +54,31 @@ class ReservoirQuantile(Sketch):
         return [("sample", 1, 8 * min(size, keys))]
 
 
+def _with_running_extremes(values: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``lo`` and ``hi``: the extremes up to each row in the order of ``seq``.
+
+    A group's rows fall into as many ranges of ``seq`` as there are shuffle partitions, so no task reads them all; a
+    range's extremes are one row.
+    """
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = values.agg(F.percentile_approx("seq", [i / n for i in range(1, n)], 1_000)).first()[0] if n > 1 else None
+    range_of = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("seq"))) if cuts else F.lit(0)
+    ranged = values.withColumn("_range", range_of)
+    ends = ranged.groupBy(*by, "_range").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*(F.col(c).alias(f"_e_{c}") for c in (*by, "_range")), F.min("a").over(before).alias("_lo"), F.max("b").over(before).alias("_hi"))
+    met = ranged.join(ends, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in (*by, "_range")])
+    within = Window.partitionBy(*by, "_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return met.withColumns({"lo": F.least(F.min("value").over(within), "_lo"), "hi": F.greatest(F.max("value").over(within), "_hi")}).select(*values.columns, "lo", "hi")
+
+
 @register
 class EqualWidthHistogram(Sketch):
     """Counts in equal bins between the smallest and the largest value; answers with the middle of a bin.
 
     Two passes bin every value by the final range, as plain aggregations at any scale. ``as_written`` bins
     each value by the range at its arrival and never again; values that come while the range is empty are in
-    no bin. That needs running extremes: one ordered window for each group.
+    no bin. That needs running extremes: windows over ranges of ``seq``, with the extremes of the ranges before.
     """
 
     name, query_types, mergeable, order_free = "equal_width_histogram", (QUANTILE,), True, False
@@ -73,8 +91,7 @@ class EqualWidthHistogram(Sketch):
     def state(self, s: Stream) -> DataFrame:
         values, bins = s.values(), F.lit(self.size)
         if self.as_written:
-            before = Window.partitionBy(*(s.by or [F.lit(0)])).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ranged = values.withColumns({"lo": F.min("value").over(before), "hi": F.max("value").over(before)})
+            ranged = _with_running_extremes(values, s.by)
         else:
             ends = grouped(values, s.by, F.min("value").alias("lo"), F.max("value").alias("hi"))
             # One row a group, which may be many; without groups, one row.

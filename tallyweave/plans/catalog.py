@@ -295,7 +295,7 @@ def cu_point(s: SparkSession, d: str) -> DataFrame:
     """Conservative update: never below the truth, never above plain count-min."""
     e, asked = events(s, d), events(s, d).keys().select("key").distinct()
     low, high = exact.frequencies(e, asked), CountMin(8, seed=SEED)
-    cu = ConservativeCountMin(8, seed=SEED)
+    cu = ConservativeCountMin(8, seed=SEED)  # cells of partitions, added up
     met = cu.lookup(cu.state(e), asked).join(low.withColumnRenamed("value", "truth"), "key").join(high.lookup(high.state(e), asked).withColumnRenamed("value", "most"), "key")
     return met.agg(F.count("*").alias("keys"), F.sum("truth").alias("total"), F.bool_and((F.col("value") >= F.col("truth")) & (F.col("value") <= F.col("most"))).alias("within"))
 
@@ -315,9 +315,10 @@ def _bounded(sketch: Sketch, side: str) -> Make:
     def ask(s: SparkSession, d: str) -> DataFrame:
         e = events(s, d)
         n = F.broadcast(exact.total(e).withColumnRenamed("value", "total"))  # one row
-        met = sketch.state(e).join(exact.counts(e).withColumnRenamed("count", "truth"), "key", "left").crossJoin(n)
+        met = sketch.state(e).where(F.col("key").isNotNull()).join(exact.counts(e).withColumnRenamed("count", "truth"), "key", "left").crossJoin(n)
         over = (F.col("count") - F.coalesce("truth", F.lit(0))) * (1 if side == "upper" else -1)
-        return met.agg(F.max("total").alias("total"), F.bool_and((over >= 0) & (over <= F.col("total") / (1 << sketch.size))).alias("within"))
+        held = met.agg(F.coalesce(F.bool_and((over >= 0) & (over <= F.col("total") / (1 << sketch.size))), F.lit(True)).alias("within"))
+        return n.crossJoin(held)  # one row each
 
     return ask
 
@@ -340,7 +341,7 @@ def merge_misra_gries(s: SparkSession, d: str) -> DataFrame:
     states = [sketch.state(Stream(e.df.where(F.col("seq") % 3 == i), ())) for i in range(3)]
     return sketch.estimate(sketch.merge(*states), Query(HEAVY_HITTERS, top_k=10))
 _EVENT_TOP = _EVENT_TOP_SQL
-for _name, _sketch in (("space_saving_wide", SpaceSavingTop(12, as_written=True)), ("misra_gries_wide", MisraGriesTop(12)), ("lossy_wide", LossyCountingTop(12, as_written=True)), ("cm_heap", SketchAndTableTop(12, seed=SEED)), ("approx_top_k", NativeTopK(14))):
+for _name, _sketch in (("space_saving_wide", SpaceSavingTop(12, as_written=True)), ("misra_gries_wide", MisraGriesTop(12)), ("lossy_wide", LossyCountingTop(20)), ("lossy_as_written_wide", LossyCountingTop(12, as_written=True)), ("cm_heap", SketchAndTableTop(16, seed=SEED)), ("cm_heap_as_written", SketchAndTableTop(12, seed=SEED, as_written=True)), ("approx_top_k", NativeTopK(14))):
     # With room for every key a summary is exact, so its answer has SQL.
     query(_name, _EVENT_TOP)(lambda s, d, sketch=_sketch: sketch.estimate(events(s, d), Query(HEAVY_HITTERS, top_k=10)) if sketch.tier else exact.top(sketch.estimate(events(s, d), Query(HEAVY_HITTERS, top_k=8000)), 10))
 

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.hashing import derive
 from ..operators import exact
 from ..operators.base import CARDINALITY, FREQUENCY, HEAVY_HITTERS, QUANTILE, Query
-from ..operators.cardinality import KMinimumValues
+from ..operators.cardinality import HyperLogLog, KMinimumValues
 from ..operators.frequency import CountMin
 from ..operators.heavy_hitters import FirstKeysTop
-from ..operators.quantile import ReservoirQuantile
+from ..operators.quantile import CentroidDigest, NativeKll, ReservoirQuantile
+from ..sources.generate import StreamSpec
 from .adaptive import BudgetedSystem
 from .allocate import Context, FrozenOptimum, GridSearch, PerSegment, UniformIfDegenerate, WaterFilling
+from .calibrate import count_spread, rank_errors
 from .catalog import _CORE, _IN_ORDER, _LAWS, _ORDER_KEYS, ORACLE_SQL, SEED, _orders, _plan, _rows, _smallest_sql, events, hash_sql, lineitem, query
 from .experiment import run_experiment
 from .gates import gates_of
-from .laws import ErrorLaw, fit_error_laws
+from .laws import ErrorLaw, fit_error_law, fit_error_laws
 from .score import cardinality_loss, frequency_loss, heavy_hitter_loss, quantile_loss
 
 # --- allocation ---
@@ -147,3 +149,24 @@ def budgeted_system_losses(s: SparkSession, d: str) -> DataFrame:
     """All four losses of the system against exact answers, each within what its family may lose at 4,096 bytes."""
     most = {CARDINALITY: 0.3, QUANTILE: 0.1, FREQUENCY: 1.0, HEAVY_HITTERS: 1.0}
     return s.createDataFrame([(f, bool(0 <= x <= most[f])) for f, x in _SYSTEM.losses(events(s, d)).items()], "family string, within boolean")
+
+# --- calibration ---
+
+
+@query("calibrate_registers", "SELECT size, true AS within FROM (VALUES (8), (10), (12)) t(size)")
+def calibrate_registers(s: SparkSession, d: str) -> DataFrame:
+    """The spread of register counts over 24 streams of 20,000 keys, within 0.6 and 1.5 times what theory says."""
+    found = count_spread(s, lambda p: HyperLogLog(p, seed=SEED), (8, 10, 12), 20_000, 24, SEED)
+    theory = 1.04 / F.sqrt(F.pow(F.lit(2.0), F.col("size")))
+    return found.select("size", (F.col("sd") / theory).between(0.6, 1.5).alias("within"))
+
+
+@query("calibrate_quantiles", "SELECT 'native_kll' AS sketch, true AS falls, true AS within UNION ALL SELECT 'centroid_digest', true, true")
+def calibrate_quantiles(s: SparkSession, d: str) -> DataFrame:
+    """How fast rank errors fall with size (as a power between 0.5 and 1.6), and whether they stay below what a size promises."""
+    spec, rows = StreamSpec("uniform", 8_000, 1_000_000, SEED), []
+    for name, make, sizes, most in (("native_kll", NativeKll, (32, 64, 128, 256), lambda k: 4 * 2.296 / k**0.9723), ("centroid_digest", CentroidDigest, (4, 5, 6, 7), lambda e: 4 / (1 << e))):
+        errors = rank_errors(s, make, sizes, spec, 8, (0.25, 0.5, 0.75)).collect()  # a row a size
+        law = fit_error_law([float(r["size"] if name == "native_kll" else 1 << r["size"]) for r in errors], [max(r["mean"], 1e-6) for r in errors])
+        rows.append((name, bool(0.4 <= law.c <= 2.5), all(r["most"] <= most(r["size"]) for r in errors)))
+    return s.createDataFrame(rows, "sketch string, falls boolean, within boolean")

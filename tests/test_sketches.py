@@ -152,11 +152,15 @@ def test_frequencies(spark, stream, arrays):
         np.add.at(plain[r], at, 1)
     cells.add(keys)
     min_of = lambda table, k: int(table[np.arange(4), cells.places(np.array([k]))[:, 0]].min())
-    for sketch, table in ((CountMin(6, seed=4), plain), (ConservativeCountMin(6, seed=4, as_written=True), plain), (ConservativeCountMin(6, seed=4), cells.cells)):
+    for sketch, table in ((CountMin(6, seed=4), plain), (ConservativeCountMin(6, seed=4, as_written=True), plain), (ConservativeCountMin(6, seed=4, in_order=True), cells.cells)):
         found = {r.key: r.value for r in sketch.lookup(sketch.state(stream), asked).collect()}
         assert found == {k: min_of(table, k) for k in [*counts, 10**6]}
         assert all(found[k] >= n for k, n in counts.items())
         assert value(sketch.estimate(stream, Query(FREQUENCY, key=0))) == found[0]
+    sketch, plainly = ConservativeCountMin(6, seed=4), CountMin(6, seed=4)
+    low = {r.key: r.value for r in sketch.lookup(sketch.state(stream), asked).collect()}
+    high = {r.key: r.value for r in plainly.lookup(plainly.state(stream), asked).collect()}
+    assert all(counts[k] <= n <= high[k] for k, n in low.items()) and sum(low.values()) < sum(high.values())
     signed = {r.key: r.value for r in CountSketch(8, seed=4).lookup(CountSketch(8, seed=4).state(stream), asked).collect()}
     assert abs(np.mean([signed[k] - n for k, n in counts.items()])) < 5
     first = list(dict.fromkeys(keys.tolist()))[:20]
@@ -202,8 +206,9 @@ def test_heavy_hitters(stream, arrays):
         assert counts[k] <= n <= counts[k] + N / 32
     for k, n in state(MisraGriesTop(5)).items():
         assert counts[k] - N / 32 <= n <= counts[k]
-    for k, n in state(LossyCountingTop(6)).items():
-        assert counts[k] - N / 64 <= n <= counts[k]
+    kept = LossyCountingTop(6).state(stream).collect()
+    assert all(r["count"] <= counts[r.key] <= r["count"] + r.error <= r["count"] + N / 64 for r in kept) and {r.missed for r in kept} == {kept[0].missed}
+    assert all(n <= kept[0].missed <= N / 64 for k, n in counts.items() if k not in {r.key for r in kept})
     assert len(state(LossyCountingTop(6, as_written=True))) <= 64
     truth = sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:5]
     for sketch in (SketchAndTableTop(10, seed=1), SketchAndTableTop(10, seed=1, as_written=True), FirstKeysTop(4096), SpaceSavingTop(12)):
@@ -277,7 +282,7 @@ def test_states_merge_with_their_like_only(spark, stream, name, tmp_path):
 
 
 def test_written_rules_that_depend_on_order_do_not_merge(stream):
-    for sketch in (EqualWidthHistogram(as_written=True), ReservoirQuantile(as_written=True), CentroidDigest(as_written=True), SpaceSavingTop(as_written=True), ConservativeCountMin()):
+    for sketch in (EqualWidthHistogram(as_written=True), ReservoirQuantile(as_written=True), CentroidDigest(as_written=True), SpaceSavingTop(as_written=True), LossyCountingTop(as_written=True), ConservativeCountMin(in_order=True)):
         state = sketch.state(stream)
         with pytest.raises(errors.MergeUnsupportedError):
             sketch.merge(state, state)
@@ -286,7 +291,7 @@ def test_written_rules_that_depend_on_order_do_not_merge(stream):
         assert sketch.merge(state, state).agg(F.sum(F.abs("n"))).first()[0] == 2 * state.agg(F.sum(F.abs("n"))).first()[0]
 
 
-@pytest.mark.parametrize("sketch", [SpaceSavingTop(5), MisraGriesTop(5), CentroidDigest(7)], ids=repr)
+@pytest.mark.parametrize("sketch", [SpaceSavingTop(5), MisraGriesTop(5), LossyCountingTop(6), SketchAndTableTop(7, seed=2), ConservativeCountMin(7, seed=2), CentroidDigest(7)], ids=repr)
 def test_merged_summaries_keep_their_bounds(frame, arrays, sketch):
     """Three states merged in two ways, and summaries by group: within the bounds of the whole."""
     keys, values = arrays
@@ -301,6 +306,23 @@ def test_merged_summaries_keep_their_bounds(frame, arrays, sketch):
                 assert abs((v <= found).mean() - q) < 0.02
             continue
         truth, n = Counter(keys[kept].tolist()), len(keys[kept])
+        if isinstance(sketch, ConservativeCountMin):
+            asked = frame.sparkSession.createDataFrame([(int(k),) for k in truth], "key long")
+            plain = CountMin(7, seed=2)
+            high = {r.key: r.value for r in plain.lookup(plain.state(Stream(frame.where("g = 'b'" if n < N else "true").select("seq", "key", "value"))), asked).collect()}
+            found = {r.key: r.value for r in sketch.lookup(sketch.labelled(merged.drop("g")), asked).collect()}
+            assert all(truth[k] <= found[k] <= high[k] for k in truth)
+            continue
+        if isinstance(sketch, LossyCountingTop):
+            rows = {r.key: r for r in merged.collect()}
+            assert all(r["count"] <= truth[k] <= r["count"] + r.error and r.missed <= n / 64 for k, r in rows.items()) and len(rows) < 200
+            assert all(k in rows for k, c in truth.items() if c > n / 64)
+            continue
+        if isinstance(sketch, SketchAndTableTop):
+            rows = {r.key: r["count"] for r in merged.where("cell IS NULL").collect()}
+            assert len(rows) <= 128 and all(truth[k] <= c <= truth[k] + 0.1 * n for k, c in rows.items())
+            assert all(k in rows for k, c in truth.items() if c > n / 16)
+            continue
         rows = {r.key: r["count"] for r in merged.collect()}
         assert 0 < len(rows) <= 32
         sign = 1 if isinstance(sketch, SpaceSavingTop) else -1

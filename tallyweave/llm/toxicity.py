@@ -123,7 +123,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, *, relabel: int = 2, rounds: int
     in_toxic: Counter = Counter()
     for text, y in zip(texts, toxic, strict=True):
         words = words_of(text)
-        documents.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
+        documents.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
         if y:
             in_toxic.update({f for w in set(words) for f in features(w)})
     lengths = np.fromiter(map(len, documents), np.int64, len(documents))
@@ -131,7 +131,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, *, relabel: int = 2, rounds: int
     # Features of at least two toxic documents; what only clean ones hold is left to the bias.
     names = {f: i for i, f in enumerate(sorted(f for f, n in in_toxic.items() if n >= 2))}
     none = len(names)
-    table = np.array([[names.get(f, none) for f in features(w)] for w in ids], np.int64).reshape(-1, 5)
+    table = np.fromiter((names.get(f, none) for w in ids for f in features(w)), np.int32, 5 * len(ids)).reshape(-1, 5)
     toxic_counts, clean_counts = np.array([in_toxic[f] for f in names], np.int64), np.zeros(none + 1, np.int64)
     del in_toxic
     for document, y in zip(documents, toxic, strict=True):
@@ -208,8 +208,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, most_to
     found = docs.select(F.col(id_column).alias("k"), common.text_bytes(text_column).alias("t")).join(F.broadcast(sample), "k")  # the sample's rows, bounded
     texts = found.groupBy("k", "y").agg(F.min("t").alias("t"))
     before = F.sum(F.length("t")).over(Window.orderBy(F.xxhash64("k"), "k"))  # of the sample's rows, bounded
-    rows = texts.withColumn("held", before).where(F.col("held") <= MOST_BYTES).orderBy("k").select("t", "y").collect()
-    return fit([bytes(r.t) for r in rows], np.array([r.y for r in rows], np.int64)) if rows else None
+    rows = texts.withColumn("held", before).where(F.col("held") <= MOST_BYTES).orderBy("k").select("t", "y").toArrow()
+    return fit(rows["t"].to_pylist(), rows["y"].to_numpy()) if rows.num_rows else None
 
 
 def with_toxicity(docs: DataFrame, model: ToxicSpans | None, *, text_column: str = "text") -> tuple[DataFrame, list[str]]:

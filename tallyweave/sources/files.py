@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterator
 from itertools import accumulate
 from pathlib import Path
 from typing import Any
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,22 +89,62 @@ def _jsonl(spark: SparkSession, path: str, key: str | None, value: str | None) -
     return _checked(at.select("k", "v", "_file", "_block", "_at"), path)
 
 
+#: Rows of an array that a task reads.
+ARRAY_ROWS = 1 << 20
+
+
 def _npy(spark: SparkSession, path: str, key: str | int | None, value: str | int | None) -> DataFrame:
-    """A NumPy file is one array: it is memory-mapped on the driver and sent as Arrow."""
-    if not os.path.exists(path):
-        raise DataLoadError("no such file", path=path)
-    array = np.load(path, mmap_mode="r", allow_pickle=False)
-    if array.dtype.names:
+    """A NumPy array, read in ranges of rows by tasks of their own; only its header goes to the driver.
+
+    The path must be one that executors can open too, as for every other format.
+    """
+    system, at = _filesystem(path)
+    with system.open_input_file(at) as f:
+        version = np.lib.format.read_magic(f)
+        read = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}.get(version)
+        if read is None:
+            raise DataLoadError("unknown version of the array format", path=path, version=version)
+        shape, by_column, dtype = read(f)
+        start = f.tell()
+    if dtype.hasobject:
+        raise DataLoadError("arrays of objects are not read", path=path)
+    if dtype.names:
         key, value = key or "key", value or "value"
-        _need(list(array.dtype.names), key, value, path=path)
-        keys, values = array[key], array[value]
+        _need(list(dtype.names), key, value, path=path)
+        if len(shape) != 1:
+            raise DataLoadError("one dimension needed", path=path, shape=shape)
     else:
         key, value = 0 if key is None else int(key), 1 if value is None else int(value)
-        if array.ndim != 2 or not all(-array.shape[1] <= c < array.shape[1] for c in (key, value)):
-            raise DataLoadError("two columns needed", path=path, shape=array.shape)
-        keys, values = array[:, key], array[:, value]
-    table = pa.table({"seq": np.arange(len(keys), dtype=np.int64), "key": keys.astype(np.int64), "value": values.astype(np.float64)})
-    return spark.createDataFrame(table)
+        if len(shape) != 2 or not all(-shape[1] <= c < shape[1] for c in (key, value)):
+            raise DataLoadError("two columns needed", path=path, shape=shape)
+    n, width = shape[0], 1 if dtype.names else shape[1]
+
+    def rows(f, lo: int, hi: int, column: str | int) -> np.ndarray:
+        """A column of the rows lo to hi."""
+        if by_column and not dtype.names:
+            f.seek(start + ((column % width) * n + lo) * dtype.itemsize)
+            return np.frombuffer(f.read((hi - lo) * dtype.itemsize), dtype)
+        f.seek(start + lo * width * dtype.itemsize)
+        block = np.frombuffer(f.read((hi - lo) * width * dtype.itemsize), dtype)
+        return block[column] if dtype.names else block.reshape(-1, width)[:, column]
+
+    def load_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = _filesystem(path)
+        with system.open_input_file(at) as f:
+            for batch in batches:
+                for lo in (batch.column(0).to_numpy() * ARRAY_ROWS).tolist():
+                    hi = min(n, lo + ARRAY_ROWS)
+                    keys, values = (rows(f, lo, hi, c) for c in (key, value))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi, dtype=np.int64)), pa.array(keys.astype(np.int64)), pa.array(values.astype(np.float64))], ["seq", "key", "value"])
+
+    ranges = max(1, -(-n // ARRAY_ROWS))
+    return spark.range(0, ranges if n else 0, numPartitions=ranges).mapInArrow(load_ranges, "seq long, key long, value double")
+
+
+def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    if urlparse(path).scheme in ("", "file"):
+        return pafs.LocalFileSystem(), urlparse(path).path
+    return pafs.FileSystem.from_uri(path)
 
 
 def _parquet(spark: SparkSession, path: str, key: str | None, value: str | None) -> DataFrame:

@@ -91,6 +91,28 @@ def test_seq_is_the_files_order(spark, tmp_path, kind):
     assert [(r.key, r.value) for r in found] == expected and [r.seq for r in found] == list(range(len(expected)))
 
 
+def test_arrays_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ARRAY_ROWS", 7)
+    rng = np.random.default_rng(3)
+    keys, values = rng.integers(-50, 50, 100), rng.normal(size=100)
+    wide = np.stack([values, rng.normal(size=100), keys.astype(np.float64)], 1)
+    named = np.rec.fromarrays([values.astype("f4"), keys.astype("i2")], names="v,k")
+    for name, array, options in (("c", wide, {}), ("f", np.asfortranarray(wide), {}), ("n", named, {}), ("i", np.stack([values * 100, keys, keys], 1).astype("i4"), {})):
+        np.save(tmp_path / f"{name}.npy", array)
+        k, v = ("k", "v") if name == "n" else (-1, 0)
+        got = files.load(spark, str(tmp_path / f"{name}.npy"), key_col=k, value_col=v, **options)
+        assert got.rdd.getNumPartitions() == 15
+        rows = got.orderBy("seq").collect()
+        expected = array["v"] if name == "n" else array[:, 0]
+        assert [(r.seq, r.key, r.value) for r in rows] == list(zip(range(100), keys.tolist(), expected.astype(float).tolist(), strict=True))
+    np.save(tmp_path / "o.npy", np.array([[1, "a"]], object), allow_pickle=True)
+    np.save(tmp_path / "e.npy", np.empty((0, 2)))
+    with pytest.raises(errors.DataLoadError):
+        files.load(spark, str(tmp_path / "o.npy"))
+    with pytest.raises(errors.EmptyStreamError):
+        files.load(spark, str(tmp_path / "e.npy"))
+
+
 def test_bad_files(spark, tmp_path):
     (tmp_path / "only.csv").write_text("only\n1\n")
     (tmp_path / "words.csv").write_text("key,value\na,1\n")

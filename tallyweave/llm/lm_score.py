@@ -56,7 +56,9 @@ ENDINGS = 640
 #: Units whose vectors travel as one row.
 SLICE_UNITS = 128
 #: Of the training of units: noise units a batch and class, tokens a batch, and tokens that wait for being shuffled.
-NOISE, BATCH, WAITING = 24, 16_384, 1_000_000
+NOISE, BATCH, WAITING = 16, 16_384, 1_000_000
+#: Tokens of a bucket that are scored at once: what a processor's cache holds.
+CACHED = 2_048
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -194,11 +196,13 @@ class Units:
         seen = np.zeros((2, n))
         sums = [np.full(R.shape, 1e-6, np.float32), np.full(Q.shape, 1e-6, np.float32), np.full(b.shape, 1e-6, np.float32)]
         shares = [np.exp(self.log_q[m]) for m in self.members]
-        pull = lambda at, g: np.stack([np.bincount(at, g[:, i], n) for i in range(d)], 1).astype(np.float32)
+        pull = lambda at, g: np.stack([np.bincount(at, x, n) for x in np.ascontiguousarray(g.T)], 1).astype(np.float32)
         log_noise = (self.log_q + np.log(NOISE)).astype(np.float32)
         for us, vs, ws in batches:
             keep = self.bucket_of[ws] >= 0
             us, vs, ws = us[keep], vs[keep], ws[keep]
+            seen[0] += np.bincount(us, minlength=n) + np.bincount(vs, minlength=n)
+            seen[1] += np.bincount(ws, minlength=n)
             order = rng.permutation(len(ws))
             step = min(BATCH, max(512, len(order) // 64))  # a short pass takes steps too
             for lo in range(0, len(order), step):
@@ -219,13 +223,11 @@ class Units:
                     gr[x:y] -= real @ Q[noise]
                     np.subtract.at(gQ, noise, real.T @ r[x:y])
                     np.subtract.at(gb, noise, real.sum(0))
-                grads = (pull(u, gr * far) + pull(v, gr * near), gQ, gb)
+                grads = (pull(np.concatenate([u, v]), np.concatenate([gr * far, gr * near])), gQ, gb)
                 for x, one, total in zip((R, Q, b), grads, sums, strict=True):
                     one /= len(w)
                     total += one * one
                     x += rate * one / np.sqrt(total)
-                seen[0] += np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
-                seen[1] += np.bincount(w, minlength=n)
         return np.concatenate([R * seen[0][:, None], Q * seen[1][:, None], (b * seen[1])[:, None]], 1).astype(np.float64), seen
 
     def average(self, sums: np.ndarray, seen: np.ndarray) -> None:
@@ -243,11 +245,15 @@ class Units:
         ends = np.searchsorted(bucket[order], np.arange(-1, len(self.members)), "right")
         for k, m in enumerate(self.members):
             Q, b = self.Q[m].T, self.b[m]
-            for lo in range(int(ends[k]), int(ends[k + 1]), BATCH) if len(m) > 1 else ():
-                at = order[lo : min(lo + BATCH, int(ends[k + 1]))]
+            for lo in range(int(ends[k]), int(ends[k + 1]), CACHED) if len(m) > 1 else ():
+                at = order[lo : min(lo + CACHED, int(ends[k + 1]))]
                 scores = (self.far * self.R[u[at]] + self.near * self.R[v[at]]) @ Q + b
-                scores -= scores.max(1, keepdims=True)
-                out[at] = scores[np.arange(len(at)), self.place[w[at]]] - np.log(np.exp(scores).sum(1))
+                with np.errstate(over="ignore"):
+                    total = np.exp(scores).sum(1)
+                if not np.isfinite(total).all():
+                    scores -= scores.max(1, keepdims=True)
+                    total = np.exp(scores).sum(1)
+                out[at] = scores[np.arange(len(at)), self.place[w[at]]] - np.log(total)
         return out
 
 
@@ -414,11 +420,12 @@ def fit_units(counted: DataFrame, texts: DataFrame, *, heads: int, buckets: int,
     code, n = learn_contexts(texts, units)
     k = model.classes
     model.train(code // (k * (k + 1)), code // k % (k + 1), code % k, n)
+    common.let_go()  # the driver has other things to hold
     all_tokens = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     return units, int(all_tokens[0]), int(all_tokens[1])
 
 
-def lm_scores(docs: DataFrame, train: Column, *, heads: int = 64, buckets: int = 32, vocabulary: int = 4096, size: int = 24, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, train: Column, *, heads: int = 64, buckets: int = 32, vocabulary: int = 2048, size: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10), learning where ``train`` holds."""
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 0

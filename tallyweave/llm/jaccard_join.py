@@ -283,8 +283,11 @@ def _join_group(table: pa.Table, width: int, percent: int) -> pa.Table:
 
 def _beside_low(edges: DataFrame, low: DataFrame) -> DataFrame:
     """Edges (a, b) with m of their a. A node of many edges meets its m where its edges are, not in one task."""
-    hubs = F.broadcast(low.where(F.col("degree") > HUB).orderBy(F.desc("degree"), "a").limit(MOST_BROADCAST).select("a", F.col("m").alias("hub_m")))
-    met = edges.join(hubs, "a", "left")
+    hubs = low.where(F.col("degree") > HUB)
+    if hubs.isEmpty():
+        return edges.join(low.select("a", "m"), "a")
+    hubs = common.materialize(hubs.orderBy(F.desc("degree"), "a").limit(MOST_BROADCAST).select("a", F.col("m").alias("hub_m")), "hubs")
+    met = edges.join(F.broadcast(hubs), "a", "left")
     plain = met.where(F.col("hub_m").isNull()).select("a", "b").join(low.select("a", "m"), "a")
     return met.where(F.col("hub_m").isNotNull()).select("a", "b", F.col("hub_m").alias("m")).unionByName(plain)
 

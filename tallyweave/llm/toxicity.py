@@ -209,7 +209,10 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, most_to
     texts = found.groupBy("k", "y").agg(F.min("t").alias("t"))
     before = F.sum(F.length("t")).over(Window.orderBy(F.xxhash64("k"), "k"))  # of the sample's rows, bounded
     rows = texts.withColumn("held", before).where(F.col("held") <= MOST_BYTES).orderBy("k").select("t", "y").toArrow()
-    return fit(rows["t"].to_pylist(), rows["y"].to_numpy()) if rows.num_rows else None
+    model = fit(rows["t"].to_pylist(), rows["y"].to_numpy()) if rows.num_rows else None
+    del rows
+    common.let_go()  # the driver has other things to hold
+    return model
 
 
 def with_toxicity(docs: DataFrame, model: ToxicSpans | None, *, text_column: str = "text") -> tuple[DataFrame, list[str]]:

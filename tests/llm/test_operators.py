@@ -816,3 +816,14 @@ def test_chat_events(spark):
             assert place(r) > place(call)
     assert Counter((r.conv_id, r.status) for r in found if r.kind == "result") == {(1, "linked"): 2, (1, "orphan"): 1, (2, "orphan"): 1}
     assert chat.chat_events(df.limit(0)).collect() == []
+    # Very long texts and arguments, deep ones, and ties of repeated calls.
+    text, deep = "ü x" * 300_000, {"a": 1}
+    for _ in range(30):
+        deep = {"d": deep}
+    call = {"id": "L", "name": "f", "arguments": {"x": 1, "y": text, "z": 1, "deep": deep}}
+    long = [(9, 0, "system", tools.replace("false", "true")), (9, 1, "user", text), (9, 2, "assistant", say(content=text, tool_calls=[call, call])), (9, 3, "tool", say(tool_call_id="L", content=text))]
+    found = chat.chat_events(spark.createDataFrame(long + long[2:], "conv_id long, turn long, role string, text string")).collect()
+    assert Counter(r.kind for r in found) == {"message": 4, "call": 4, "result": 2}
+    assert all(json.loads(r.event_json)["arguments"] == call["arguments"] and r.valid for r in found if r.kind == "call")
+    assert Counter((r.order_index, r.status) for r in found if r.kind == "call") == {(0, "answered"): 2, (1, "pending"): 2}
+    assert all(json.loads(r.event_json)["content"] == text for r in found if r.kind == "result")

@@ -38,12 +38,12 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["hll_p10", "hll_by_group", "kmv_k256", "bottomk_freq", "cm_point", "hist_as_written", "reservoir", "topk_exact", "error_law_fit", "alloc_grid"])
+@pytest.mark.parametrize("name", ["hll_p10", "hll_by_group", "kmv_k256", "bottomk_freq", "cm_point", "hist_as_written", "reservoir", "topk_exact", "error_law_fit", "alloc_grid", "alloc_water_filling", "merge_kmv", "merge_linear_count", "native_cm_point", "tdigest_by_group", "space_saving_by_group", "family_losses", "law_predictions", "gates_recorded", "budgeted_system", "load_csv", "load_npy", "stream_zipf", "stream_gmm", "hash_index_sign", "hash_text", "stream_running_hll"])
 def test_queries_equal_their_sql(spark, name):
-    from tallyweave.plans import catalog
+    from tallyweave.plans import catalog, catalog_plans, catalog_streams  # noqa: F401
 
     db = duckdb.connect()
-    for table in ("lineitem", "events", "supplier"):
+    for table in ("lineitem", "events", "supplier", "part"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     sql = db.sql(catalog.ORACLE_SQL[name])
     columns = sorted(sql.columns)

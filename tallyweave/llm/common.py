@@ -171,6 +171,11 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
     For operators that keep no memo: those that others kept in this worker are let go.
     """
     let_go()
+    yield from pieces(batches, most_bytes)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """As ``slices``, for operators that keep a memo."""
     for batch in batches:
         if batch.num_rows:
             rows = max(1, batch.num_rows * most_bytes // max(batch.nbytes, 1))

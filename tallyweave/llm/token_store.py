@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 from .chunks import Chunks, id_memo, packed, splits_at_spaces, tokenizer_of
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 
 
 def _memo(data: bytes, code: str) -> Chunks:
@@ -125,7 +125,7 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, uri: str, *, end_id:
         shard = TaskContext.get().partitionId()
         one = _memo(held.value, code)
         doc_ids, offsets, nulls = array("q"), array("Q", [0]), 0
-        rows = common.table_rows(batches)
+        rows = common.table_rows(common.pieces(batches))
         if (first := next(rows, None)) is None:
             return
         with common.new_file(f"{uri}/{shard:06d}.ids") as out:

@@ -18,7 +18,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Entries a memo holds before it starts anew, the longest chunk it keeps, and bytes of text cut at once.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 150_000
 MEMO_CHUNK_BYTES = 96
 SLICE_BYTES = 256 << 10
 

@@ -168,10 +168,12 @@ def map_rows(df: DataFrame, f, schema) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes``, so that what a worker unpacks at once is bounded.
 
-    For operators that keep no memo: those that others kept in this worker are let go.
+    For operators that keep no memo: those that others kept in this worker are let go, and at the end what the slices
+    took, as a worker that has nothing to do in the stages that follow still counts.
     """
     let_go()
     yield from pieces(batches, most_bytes)
+    let_go()
 
 
 def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

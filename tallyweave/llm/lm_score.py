@@ -41,6 +41,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,8 @@ SLICE_UNITS = 128
 NOISE, BATCH, WAITING = 16, 16_384, 1_000_000
 #: Tokens of a bucket that are scored at once: what a processor's cache holds.
 CACHED = 2_048
+#: What a worker unpacks of a text column at once, and the tokens and words that it looks up or scores at once.
+SLICE_BYTES, SLICE_TOKENS = 1 << 20, 1 << 17
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -208,7 +211,7 @@ class Units:
             for lo in range(0, len(order), step):
                 at = order[lo : lo + step]
                 at = at[np.argsort(self.bucket_of[ws[at]], kind="stable")]
-                u, v, w = us[at], vs[at], ws[at]
+                u, v, w = (x[at].astype(np.int64) for x in (us, vs, ws))
                 bucket = self.bucket_of[w]
                 r = far * R[u] + near * R[v]
                 g = 1 - 1 / (1 + np.exp(np.clip(log_noise[w] - b[w] - (r * Q[w]).sum(1), -30, 30)))
@@ -262,24 +265,36 @@ def _blocks(docs: DataFrame, blocks: int, id_column: str, text_column: str, trai
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), common.text_bytes(text_column).alias("text"), key.alias("block"))
 
 
+def text_rows(table: pa.Table) -> Iterator[tuple[bool, bytes]]:
+    """Whether it is one to learn from, and the text, of every row; unpacked in slices."""
+    for batch in common.pieces(table.select(["train", "text"]).to_batches(), SLICE_BYTES):
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def count_block(table: pa.Table) -> pa.Table:
+    """(word, block, n) of the documents of one block."""
+    trained: Counter = Counter()
+    words: set[bytes] = set()
+    for train, text in text_rows(table):
+        found = words_of(text)
+        if train:
+            trained.update(found)
+            trained[END] += 1
+        else:
+            words.update(found)
+    words.difference_update(trained)
+    n = np.zeros(len(trained) + len(words), np.int64)
+    n[: len(trained)] = np.fromiter(trained.values(), np.int64, len(trained))
+    return pa.table([pa.array(chain(trained, words), pa.binary(), size=len(n)), pa.array(np.full(len(n), table["block"][0].as_py(), np.int32)), pa.array(n)], ["word", "block", "n"])
+
+
 def block_words(texts: DataFrame) -> DataFrame:
     """(word, block, n): each block's distinct words with their counts in its training documents."""
 
     def count(table: pa.Table) -> pa.Table:
-        trained: Counter = Counter()
-        words: set[bytes] = set()
-        for train, text in zip(table["train"].to_pylist(), table["text"].to_pylist(), strict=True):
-            found = words_of(text)
-            if train:
-                trained.update(found)
-                trained[END] += 1
-            else:
-                words.update(found)
-        words.difference_update(trained)
-        every = [*trained, *words]
-        n = np.zeros(len(every), np.int64)
-        n[: len(trained)] = np.fromiter(trained.values(), np.int64, len(trained))
-        return pa.table([pa.array(every, pa.binary()), pa.array(np.full(len(every), table["block"][0].as_py(), np.int32)), pa.array(n)], ["word", "block", "n"])
+        found = count_block(table)
+        common.let_go()  # the worker has nothing to do in the stages that follow
+        return found
 
     return texts.groupBy("block").applyInArrow(count, "word binary, block int, n long")
 
@@ -294,6 +309,31 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return asked.join(sums.hint("merge"), "word").select("word", "block", "n", "c", (F.col("block") == F.col("home")).alias("first"))
 
 
+def contexts(batches: Iterator[pa.RecordBatch], units: Units, total: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The tokens of batches of texts as arrays of units (two before, one before, the unit) of ``WAITING`` tokens or a little more;
+    their class triples are added to ``total``."""
+    names, k, start = _Units(units), units.model.classes, units.start
+    end = names[END]
+    waiting, n = [], 0
+    for batch in batches:
+        ids = [start, start]
+        for text in batch.column(0).to_pylist():
+            ids += map(names.__getitem__, words_of(text))
+            ids += (end, start, start)
+        at = np.array(ids, np.int32)
+        del ids
+        c = units.class_of_unit[at]
+        real = at[2:] != start
+        total += np.bincount(((c[:-2] * (k + 1) + c[1:-1]) * k + np.minimum(c[2:], k - 1))[real], minlength=len(total))
+        waiting.append((at[:-2][real], at[1:-1][real], at[2:][real]))
+        n += len(waiting[-1][0])
+        if n >= WAITING:
+            waiting, n = [tuple(map(np.concatenate, zip(*waiting, strict=True)))], 0
+            yield waiting.pop()  # no longer held here while it is learned from
+    if waiting:
+        yield tuple(map(np.concatenate, zip(*waiting, strict=True)))
+
+
 def learn_contexts(texts: DataFrame, units: Units) -> tuple[np.ndarray, np.ndarray]:
     """Class triples of the training texts as (code, n), code = (u * (classes + 1) + v) * classes + w; ``units`` learns from
     the same pass."""
@@ -305,28 +345,7 @@ def learn_contexts(texts: DataFrame, units: Units) -> tuple[np.ndarray, np.ndarr
         from pyspark import TaskContext
 
         one, total = held.value, np.zeros((k + 1) * (k + 1) * k, np.int64)
-        names = _Units(one)
-
-        def contexts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            waiting, n = [], 0
-            for batch in common.slices(batches):
-                ids, start, end = [one.start, one.start], one.start, names[END]
-                for text in batch.column(0).to_pylist():
-                    ids += map(names.__getitem__, words_of(text))
-                    ids += (end, start, start)
-                at = np.array(ids, np.int64)
-                c = one.class_of_unit[at]
-                real = at[2:] != start
-                np.add(total, np.bincount(((c[:-2] * (k + 1) + c[1:-1]) * k + np.minimum(c[2:], k - 1))[real], minlength=len(total)), out=total)
-                waiting.append((at[:-2][real], at[1:-1][real], at[2:][real]))
-                n += int(real.sum())
-                if n >= WAITING:
-                    yield tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
-                    waiting, n = [], 0
-            if waiting:
-                yield tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
-
-        sums, seen = one.trained(contexts())
+        sums, seen = one.trained(contexts(common.slices(batches, SLICE_BYTES), one, total))
         if seen.any():
             where = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(total[where]), pa.nulls(len(where), pa.int32()), pa.nulls(len(where), pa.int64()), pa.nulls(len(where), pa.binary())], list(schema))
@@ -362,15 +381,13 @@ def ending_pairs(texts: DataFrame, endings: list[bytes]) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, total = held.value.get, np.zeros((n + 1) * (n + 1), np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 512):
-                ids = [n]
-                for text in texts[lo : lo + 512]:
-                    ids += [get(w[-3:], n) for w in words_of(text)]
-                    ids.append(n)
-                c = np.array(ids, np.int64)
-                total += np.bincount(c[:-1] * (n + 1) + c[1:], minlength=len(total))
+        for batch in common.slices(batches, SLICE_BYTES):
+            ids = [n]
+            for text in batch.column(0).to_pylist():
+                ids += [get(w[-3:], n) for w in words_of(text)]
+                ids.append(n)
+            c = np.array(ids, np.int64)
+            total += np.bincount(c[:-1] * (n + 1) + c[1:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["code", "n"])
 
@@ -381,17 +398,14 @@ def ending_pairs(texts: DataFrame, endings: list[bytes]) -> np.ndarray:
 
 
 class _Units(dict):
-    """Units by word, filled as words come; starts anew when it is full."""
+    """Units by word: heads and vocabulary are held, which most tokens are, and a rest's words are looked up by their ending each time."""
 
     def __init__(self, units: Units):
-        super().__init__()
-        self.units = units
+        super().__init__(units.model.heads | units.words)
+        self.first_rest, self.endings, self.last = units.first_rest, units.model.endings, units.model.buckets - 1
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = self.units.unit_of(word)
-        return found
+        return self.first_rest + self.endings.get(word[-3:], self.last)
 
 
 def fit_units(counted: DataFrame, texts: DataFrame, *, heads: int, buckets: int, vocabulary: int, size: int) -> tuple[Units, int, int]:
@@ -425,6 +439,58 @@ def fit_units(counted: DataFrame, texts: DataFrame, *, heads: int, buckets: int,
     return units, int(all_tokens[0]), int(all_tokens[1])
 
 
+def score_block(docs: pa.Table, words: pa.Table, units: Units, total: int, distinct: int) -> pa.Table:
+    """The result's rows for the documents of one block; ``words`` has counts of words that other blocks hold too."""
+    ids: dict[bytes, int] = {END: 0}
+    rows, lengths = [np.empty(0, np.int32)], np.zeros(docs.num_rows, np.int64)
+    own: list[int] = []
+    for i, (_, text) in enumerate(text_rows(docs)):
+        found = words_of(text)
+        lengths[i] = len(found) + 1
+        own += [ids.setdefault(w, len(ids)) for w in found]
+        own.append(0)
+        if len(own) >= SLICE_TOKENS:
+            rows.append(np.array(own, np.int32))
+            own.clear()
+    tokens = np.concatenate([*rows, np.array(own, np.int32)])
+    del rows, own
+    train = docs["train"].to_numpy()
+    # Counts of words of this block alone are its own; others came with ``words`` or are the model's.
+    c = np.bincount(tokens[np.repeat(train, lengths)], minlength=len(ids))
+    for batch in words.select(["word", "c"]).to_batches(SLICE_TOKENS):
+        at = np.fromiter(map(ids.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows)
+        c[at] = batch.column(1).to_numpy()
+    unit = np.fromiter(map(_Units(units).__getitem__, ids), np.int32, len(ids))
+    del ids
+    single = unit < units.first_rest
+    c[single] = units.counts[unit[single]]
+    share = np.zeros(len(c))
+    rest = unit[~single] - units.first_rest
+    share[~single] = np.log10(np.where(c[~single] > 0, c[~single], units.once[rest]) / (units.rest + units.once)[rest])
+    base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+    k = units.class_of_unit
+    ends = np.cumsum(lengths)
+    known, bases, scores = np.zeros(len(lengths), np.int64), np.zeros(len(lengths)), np.zeros(len(lengths))
+    lo = 0
+    while lo < len(lengths):  # whole documents of about so many tokens
+        begin = int(ends[lo] - lengths[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + SLICE_TOKENS, "right")))
+        some, starts = tokens[begin : ends[hi - 1]], ends[lo:hi] - lengths[lo:hi] - begin
+        w = unit[some]
+        v, u = np.roll(w, 1), np.roll(w, 2)
+        v[starts], u[starts] = units.start, units.start
+        u[starts[lengths[lo:hi] > 1] + 1] = units.start
+        logs = (units.model.table[k[u], k[v], k[w]] + units.within_class(u, v, w)) / np.log(10) + share[some]
+        known[lo:hi] = np.add.reduceat((c > 0)[some].astype(np.int64), starts)
+        bases[lo:hi] = np.add.reduceat(base[some], starts)
+        scores[lo:hi] = np.add.reduceat(logs, starts)
+        lo = hi
+    return pa.table(
+        [docs["doc_id"], docs["train"], pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), total, np.int64)), pa.array(bases), pa.array(scores)],
+        ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    )
+
+
 def lm_scores(docs: DataFrame, train: Column, *, heads: int = 64, buckets: int = 32, vocabulary: int = 2048, size: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10), learning where ``train`` holds."""
     spark = docs.sparkSession
@@ -436,40 +502,9 @@ def lm_scores(docs: DataFrame, train: Column, *, heads: int = 64, buckets: int =
     held = spark.sparkContext.broadcast((units, total, distinct))  # the class table: (classes + 1)^2 * classes floats; the units' vectors
 
     def score(docs: pa.Table, words: pa.Table) -> pa.Table:
-        units, total, distinct = held.value
-        model = units.model
-        ids: dict[bytes, int] = {END: 0}
-        rows, lengths = [], np.zeros(docs.num_rows, np.int64)
-        for i, text in enumerate(docs["text"].to_pylist()):
-            found = words_of(text)
-            lengths[i] = len(found) + 1
-            own = np.fromiter((ids.setdefault(w, len(ids)) for w in found), np.int64, len(found))
-            rows += (own, np.zeros(1, np.int64))
-        tokens = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        inside = np.repeat(docs["train"].to_numpy(), lengths)
-        unit = np.fromiter(map(units.unit_of, ids), np.int64, len(ids))
-        # Counts of words of this block alone are its own; others came with ``words`` or are the model's.
-        c = np.bincount(tokens[inside], minlength=len(ids))
-        at = np.fromiter((ids[w] for w in words["word"].to_pylist()), np.int64, words.num_rows)
-        c[at] = words["c"].to_numpy()
-        single = unit < units.first_rest
-        c[single] = units.counts[unit[single]]
-        share = np.ones(len(ids))
-        rest = unit[~single] - units.first_rest
-        share[~single] = np.where(c[~single] > 0, c[~single], units.once[rest]) / (units.rest + units.once)[rest]
-        base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        starts = np.cumsum(lengths) - lengths
-        w = unit[tokens]
-        v, u = np.roll(w, 1), np.roll(w, 2)
-        v[starts], u[starts] = units.start, units.start
-        u[starts[lengths > 1] + 1] = units.start
-        k = units.class_of_unit
-        logs = (model.table[k[u], k[v], k[w]] + units.within_class(u, v, w)) / np.log(10) + np.log10(share)[tokens]
-        add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.empty(0)
-        return pa.table(
-            [docs["doc_id"], docs["train"], pa.array(lengths), pa.array(add((c > 0)[tokens].astype(np.int64)).astype(np.int64)), pa.array(np.full(len(lengths), total, np.int64)), pa.array(add(base[tokens]).astype(np.float64)), pa.array(add(logs.astype(np.float64)).astype(np.float64))],
-            ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+        found = score_block(docs, words, *held.value)
+        common.let_go()
+        return found
 
     single = spark.createDataFrame([(bytearray(w),) for w in [*units.model.heads, *units.words]], "word binary")
     answers = counted.where((F.col("c") > 0) & (F.col("c") != F.col("n"))).select("word", "c", "block").join(F.broadcast(single), "word", "left_anti")  # heads + vocabulary rows

@@ -1,11 +1,14 @@
 """What Python workers hold."""
 
 import sys
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 
-from tallyweave.llm import chunks, common
+from tallyweave.llm import chunks, common, lm_score
 
 
 def test_a_memo_of_ids_is_small():
@@ -24,3 +27,76 @@ def test_slices_let_memory_go_at_the_end(monkeypatch):
     for batch in common.slices(iter([pa.record_batch([pa.array(["x" * 100] * 50)], ["t"])]), 1000):
         rows += batch.column(0).to_pylist()
     assert len(rows) == 50 and calls == [0, 50]
+
+
+def untrained_units():
+    words = [b"the", b"of"]
+    return lm_score.Units(lm_score.LogBilinear([b" "], 3, {b"aaa": 0, b"bbb": 1}, 4), words, np.array([9, 5, 4]), np.array([3.0, 2.0, 50.0]), np.array([1.0, 1.0, 20.0]), 4)
+
+
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / (1 << 20)
+    finally:
+        tracemalloc.stop()
+
+
+def test_units_by_word_hold_no_memo_of_rare_words():
+    units = untrained_units()
+    names, held = lm_score._Units(units), lm_score._Units(units)
+    for i in range(300_000):
+        word = b"%xbbb" % i if i % 2 else b"%xz" % i
+        assert names[word] == units.first_rest + (1 if i % 2 else 2)
+    assert names[b" "] == 0 and names[b"of"] == units.unit_of(b"of") == 2
+    assert len(names) == len(held)
+
+
+def invented(n_docs, n_words):
+    """A block of documents of words that are all different."""
+    texts = [b" ".join(b"w%x" % (i * 2654435761 % (1 << 32)) for i in range(d * n_words, (d + 1) * n_words)) for d in range(n_docs)]
+    return pa.table([pa.array(range(n_docs), pa.int64()), pa.array([d % 10 != 0 for d in range(n_docs)]), pa.array(texts, pa.binary()), pa.array([0] * n_docs, pa.int32())], ["doc_id", "train", "text", "block"])
+
+
+NO_WORDS = pa.table([pa.array([], pa.binary()), pa.array([], pa.int64())], ["word", "c"])
+
+
+def test_contexts_of_a_partition_are_small(monkeypatch):
+    """Tokens that wait, their joined arrays and those learned from before: 36 bytes a token that waits (72 when units took eight bytes)."""
+    monkeypatch.setattr(lm_score, "WAITING", 400_000)
+    units = untrained_units()
+    batches = [pa.record_batch([pa.array([b"the of xaaa " * 5_000], pa.binary())], ["text"])] * 80  # 1,200,080 tokens
+    total, sizes = np.zeros(5 * 5 * 4, np.int64), []
+
+    def learn():
+        for u, v, w in lm_score.contexts(iter(batches), units, total):
+            sizes.append(len(w))
+            assert len(u) == len(v) == len(w)
+
+    assert peak_mb(learn) < 36 * 0.4 + 2
+    assert sum(sizes) == total.sum() == 80 * 15_001
+
+
+def test_scores_of_a_block_are_made_by_slices():
+    """Of 1,000,000 tokens of one block, 50 distinct words: what is held at once is a few bytes a token."""
+    units = untrained_units()
+    texts = [b" ".join(b"w%d" % (i % 50) for i in range(4_999))] * 200
+    docs = pa.table([pa.array(range(200), pa.int64()), pa.array([True] * 200), pa.array(texts, pa.binary())], ["doc_id", "train", "text"])
+    assert peak_mb(lambda: lm_score.score_block(docs, NO_WORDS, units, 1_000_000, 51)) < 45
+
+
+@pytest.mark.parametrize("tokens", [1, 7, 100])
+def test_scores_do_not_depend_on_slices(monkeypatch, tokens):
+    docs, units = invented(30, 9), untrained_units()
+    docs = pa.concat_tables([docs, pa.table([pa.array([90, 91], pa.int64()), pa.array([True, False]), pa.array([b"", b"the of waaa W1 " * 30], pa.binary()), pa.array([0, 0], pa.int32())], docs.column_names)])
+    words = pa.table([pa.array([b"w1", b"waaa"], pa.binary()), pa.array([7, 3])], ["word", "c"])
+    rng = np.random.default_rng(2)
+    units.Q[:] = rng.normal(0, 0.5, units.Q.shape)
+    whole, counted = lm_score.score_block(docs, words, units, 300, 280).to_pydict(), lm_score.count_block(docs).to_pydict()
+    monkeypatch.setattr(lm_score, "SLICE_TOKENS", tokens)
+    monkeypatch.setattr(lm_score, "SLICE_BYTES", tokens)
+    cut = lm_score.score_block(docs, words, units, 300, 280).to_pydict()
+    for name in ("base_score", "score"):
+        assert cut.pop(name) == pytest.approx(whole.pop(name), rel=1e-5)
+    assert cut == whole and lm_score.count_block(docs).to_pydict()["n"] == counted["n"]

@@ -21,6 +21,10 @@ from tokenizers import Tokenizer
 MEMO_ENTRIES = 150_000
 MEMO_CHUNK_BYTES = 96
 SLICE_BYTES = 256 << 10
+#: Counters of chunks seen but not kept yet: a chunk is kept when it is met again, so that those met once don't fill the memo.
+SEEN = 1 << 21
+#: ASCII that is neither letter, digit nor white space; the apostrophe, which starts pieces with letters, is left out.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @lru_cache(maxsize=2)
@@ -56,21 +60,46 @@ class Chunks:
     A full memo takes nothing more until most chunks of a slice are missing from it; then it starts anew.
     """
 
-    def __init__(self, of, total, of_led=None):
+    def __init__(self, of, total, of_led=None, marks: bytes = b""):
         self.of, self.total = of, total
+        #: Marks that may be cut off a chunk's end.
+        self.marks = marks
         #: Values of chunks given without their leading space.
         self.of_led = of_led or (lambda parts: of([(b" " + x).decode("utf-8", "replace") for x in parts]))
         #: Values by chunk without its leading space; a text's first chunk, which has none, is kept with one.
         self.memo: dict[bytes, object] = {}
+        self.seen = bytearray(SEEN)
 
-    def _learned(self, new: set[bytes]) -> dict[bytes, object]:
-        """Values of chunks; Ellipsis for those that are empty or end in white space."""
+    def _learned(self, new: set[bytes]) -> tuple[dict[bytes, object], dict[bytes, object]]:
+        """Values of chunks, and of those put together from others; Ellipsis for those that are empty or end in white space."""
+        memo, marks, total = self.memo, self.marks, self.total
         found: dict[bytes, object] = dict.fromkeys((x for x in new if not x or x.endswith(SPACES) and x != b" "), ...)
-        rest = [x for x in new if x not in found]
+        cut, rest = [], set()
+        for x in new.difference(found) if found else new:
+            word = x.rstrip(marks)
+            if word is not x and word[-1:].isalnum():  # of bytes: ASCII alone
+                cut.append((x, word, tail := b" " + x[len(word) :]))
+                if word not in memo:
+                    rest.add(word)
+                if tail not in memo:
+                    rest.add(tail)
+            else:
+                rest.add(x)
         led, first = [x for x in rest if x[0] != 32], [x for x in rest if x[0] == 32]
         found.update(zip(led, self.of_led(led), strict=True))
         found.update(zip(first, self.of([x[1:].decode("utf-8", "replace") for x in first]), strict=True))
-        return found
+        return found, {x: total((found[a] if a in found else memo[a], found[b] if b in found else memo[b])) for x, a, b in cut}
+
+    def _keep(self, found: dict[bytes, object], sights: int) -> None:
+        """Chunks that were met ``sights`` times before, or share a counter with such."""
+        memo, seen = self.memo, self.seen
+        for x, value in found.items():
+            if len(x) <= MEMO_CHUNK_BYTES:
+                at = hash(x) % SEEN
+                if seen[at] < sights:
+                    seen[at] += 1
+                elif len(memo) < MEMO_ENTRIES:
+                    memo[x] = value
 
     def _slowly(self, parts: list[bytes]):
         """A text with parts that are empty or end in white space: they stay with the next one."""
@@ -104,11 +133,14 @@ class Chunks:
             new.update(map(parts.__getitem__, holes))
             n += len(holes)
             rows.append((parts, values, holes))
-        found = self._learned(new)
+        found, joined = self._learned(new)
         if len(memo) >= MEMO_ENTRIES and 3 * n > sum(len(x[0]) for x in rows):
             memo.clear()
-        if len(memo) + len(found) <= MEMO_ENTRIES:
-            memo.update(x for x in found.items() if len(x[0]) <= MEMO_CHUNK_BYTES)
+            self.seen = bytearray(SEEN)
+        if len(memo) < MEMO_ENTRIES:
+            self._keep(found, 1)
+            self._keep(joined, 2)  # which cost less to make again
+        found |= joined
         for parts, values, holes in rows:
             for i in holes:
                 values[i] = found[parts[i]]
@@ -145,4 +177,5 @@ def id_memo(tokenizer: Tokenizer, code: str) -> Chunks:
         raw, cuts = ids.tobytes(), (np.append(at, len(ids)) * ids.itemsize).tolist()
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    return Chunks(of, b"".join, of_led)
+    added = {c for t in tokenizer.get_added_tokens_decoder().values() for c in t.content.encode()}  # a mark in one could belong to it
+    return Chunks(of, b"".join, of_led, bytes(c for c in MARKS if c not in added))

@@ -100,3 +100,46 @@ def test_scores_do_not_depend_on_slices(monkeypatch, tokens):
     for name in ("base_score", "score"):
         assert cut.pop(name) == pytest.approx(whole.pop(name), rel=1e-5)
     assert cut == whole and lm_score.count_block(docs).to_pydict()["n"] == counted["n"]
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        return chunks.tokenizer_of(f.read())
+
+
+def encoded_by(one):
+    """The chunks that the library is given from here on."""
+    given, of_led = [], one.of_led
+    one.of_led = lambda parts: given.extend(parts) or of_led(parts)
+    return given
+
+
+def test_a_word_before_other_marks_is_not_encoded_again(vocabulary):
+    one = chunks.id_memo(vocabulary, "H")
+    given = encoded_by(one)
+    text = " ".join(f"x{w}{marks}" for w in ("worenly", "thblein", "ofingha") for marks in ("", ".", ",", "!!", "%%%", "!"))
+    assert list(one.totals([text.encode()])) == [np.array(vocabulary.encode(text, add_special_tokens=False).ids, "<u2").tobytes()]
+    assert len(given) <= 3  # the first has no space before it
+
+
+def test_words_met_once_leave_room_in_a_memo(vocabulary, monkeypatch):
+    monkeypatch.setattr(chunks, "MEMO_ENTRIES", 1000)
+    one = chunks.id_memo(vocabulary, "H")
+    list(one.totals([b" ".join(b"w%x" % (i * 2654435761 % (1 << 32)) for i in range(999))]))
+    assert len(one.memo) < 100
+    for _ in range(2):
+        list(one.totals([b"a later word"]))
+    assert {b"later", b"word"} <= one.memo.keys()
+
+
+def test_ids_of_words_and_marks_are_the_librarys(vocabulary):
+    rng = np.random.default_rng(5)
+    special = [t.content for t in vocabulary.get_added_tokens_decoder().values()]
+    parts = ["the", "Worenly", "3", "é", "ß", "١", "字", "́", "'", "'s", "’", "…", "\n", "\t", " ", " ", " ", " ", *"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", *special, *(x[:-1] for x in special), *(x[1:] for x in special)]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 40))) for _ in range(4000)]
+    texts += [f"{a}{b}{c} {a}{b}" for a in parts for b in parts for c in (".", "'", "a", " ")]
+    one = chunks.id_memo(vocabulary, "H")
+    for _ in range(2):  # learned, then from the memo
+        found = list(one.totals([t.encode() for t in texts]))
+        assert found == [np.array(e.ids, "<u2").tobytes() for e in vocabulary.encode_batch_fast(texts, add_special_tokens=False)]

@@ -4,6 +4,9 @@ The pre-tokenizer of the byte-level vocabularies never makes a piece that holds
 character that is not white space. So a text may be cut before every such space, each chunk encoded
 alone by the library, and the ids joined. Chunks recur, so their ids are kept in a bounded memo.
 A chunk that ends in white space isn't cut off from what follows it.
+
+Nor does it make a piece that holds an ASCII letter or digit and, at the chunk's end, marks such as ``.`` or ``!!``
+(``MARKS``) behind it. So a chunk that the memo lacks is put together from its word and its marks where it ends so.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ MEMO_CHUNK_BYTES = 96
 SLICE_BYTES = 256 << 10
 #: Counters of chunks seen but not kept yet: a chunk is kept when it is met again, so that those met once don't fill the memo.
 SEEN = 1 << 21
+#: Chunks that the library gets as one text; far longer texts cost it more.
+JOINED = 256
 #: ASCII that is neither letter, digit nor white space; the apostrophe, which starts pieces with letters, is left out.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -168,14 +173,17 @@ def id_memo(tokenizer: Tokenizer, code: str) -> Chunks:
 
     def of_led(parts: list[bytes]) -> list[bytes]:
         """Many chunks as one text: the tokens that start with a space, the only ones, are where chunks start."""
-        if not parts:
-            return []
-        ids = np.array(tokenizer.encode_batch_fast([(b" " + b" ".join(parts)).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype)
-        at = np.flatnonzero(led[ids])
-        if len(at) != len(parts):
-            return of([(b" " + x).decode("utf-8", "replace") for x in parts])
-        raw, cuts = ids.tobytes(), (np.append(at, len(ids)) * ids.itemsize).tolist()
-        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = []
+        for lo in range(0, len(parts), JOINED):
+            some = parts[lo : lo + JOINED]
+            ids = np.array(tokenizer.encode_batch_fast([(b" " + b" ".join(some)).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype)
+            at = np.flatnonzero(led[ids])
+            if len(at) != len(some):
+                out += of([(b" " + x).decode("utf-8", "replace") for x in some])
+                continue
+            raw, cuts = ids.tobytes(), (np.append(at, len(ids)) * ids.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
 
     added = {c for t in tokenizer.get_added_tokens_decoder().values() for c in t.content.encode()}  # a mark in one could belong to it
     return Chunks(of, b"".join, of_led, bytes(c for c in MARKS if c not in added))
